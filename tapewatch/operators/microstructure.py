@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tapewatch.operators.lineage import cut_lineage
 from tapewatch.operators.sequence import (
     DAY,
     HOUR,
@@ -316,7 +317,7 @@ def cooldown_triggers(
         {"_t": F.col("ts_us")}, F.col("ts_us") - F.col("_t") >= cooldown_us, "run",
     )
     width = max(slice_us, 2 * cooldown_us)
-    cut = runs.withColumn("part", F.floor(F.col("ts_us") / width).cast("long"))
+    cut = cut_lineage(runs.withColumn("part", F.floor(F.col("ts_us") / width).cast("long")))
     keys = ["market_id", "run", "part"]
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -134,12 +134,43 @@ def islands(
     the row and those values that opens a new island (the first row of a key always does).
     """
     keys, order = _cols(keys), _cols(order)
-    stepped = previous_row(df, keys, order, pos, width, {**previous, "_seen": F.lit(True)})
-    opens = F.col("_seen").isNull() | F.coalesce(starts, F.lit(True))
-    marked = running(
-        stepped, keys, order, pos, width, {name: ("last", F.when(opens, F.struct(*order)))}
+    sliced = with_slice(df, pos, width)
+    payload = F.struct(*[v.alias(n) for n, v in previous.items()])
+    opens = F.coalesce(starts, F.lit(True))
+    here = F.struct(*order)
+    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
+    marked = (
+        sliced.withColumn("_p", F.lag(payload).over(inside))
+        .withColumn("_inner", F.col("_p").isNotNull())
+        .select(*sliced.columns, "_inner", *[F.col(f"_p.{n}").alias(n) for n in previous])
+        .withColumn("_mark", F.when(F.col("_inner") & opens, here))
+        .select(*sliced.columns, "_mark")
+    )
+    # Per slice: its first row, the values its last row hands on, and its last inner start.
+    summary = marked.groupBy(*keys, SLICE).agg(
+        F.min_by(F.struct(*df.columns), here).alias("_first"),
+        F.max_by(payload, here).alias("_tail"),
+        F.max("_mark").alias("_last_mark"),
     )
-    return marked.drop("_seen", *previous)
+    slices = W.partitionBy(*keys).orderBy(SLICE)
+    bridged = (
+        summary.withColumn("_p", F.lag("_tail").over(slices))
+        .select(*[k for k in keys], SLICE, "_last_mark", "_first", "_p")
+        .select(
+            SLICE, "_last_mark",
+            F.col("_p").isNull().alias("_opening"),
+            *[F.col(f"_first.{c}").alias(c) for c in df.columns],
+            *[F.col(f"_p.{n}").alias(n) for n in previous],
+        )
+        .withColumn("_head", F.when(F.col("_opening") | opens, here))
+    )
+    before = slices.rowsBetween(W.unboundedPreceding, -1)
+    carried = F.last(F.coalesce("_last_mark", "_head"), ignorenulls=True).over(before)
+    carry = bridged.select(*keys, SLICE, F.coalesce(F.col("_head"), carried).alias("_carry"))
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    out = marked.withColumn("_own", F.last("_mark", ignorenulls=True).over(upto))
+    out = _attach(out, carry, keys)
+    return out.select(*df.columns, F.coalesce("_own", "_carry").alias(name))
 
 
 def range_frame(

@@ -211,7 +211,7 @@ def _(t):
    UNION ALL SELECT t.market_id, x.n FROM trig t JOIN nxt x ON x.market_id = t.market_id AND x.ts_us = t.ts_us WHERE x.n IS NOT NULL)
  SELECT c.market_id, c.ts_us, c.event_id, c.usd FROM cand c JOIN trig USING (market_id, ts_us)""")
 def _(t):
-    return M.cooldown_triggers(t.trades, 5.0, 6 * HOUR, slice_us=DAY)
+    return M.cooldown_triggers(t.trades, 5.0, 6 * HOUR, slice_us=10 * DAY)
 
 
 LABEL_SQL = f"""{SWEEPS_SQL},

@@ -209,7 +209,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
             "cast(o_orderkey % 90 + 5 as double) / 100 as entry_price",
             "case when o_orderstatus = 'P' then null else cast(o_orderkey % 97 + 1 as double) / 100 end as exit_price",
             "round(o_totalprice / 100, 2) as position_usd",
-            "round((o_totalprice - 250000) * 0.9, 2) as est",
+            "round((o_totalprice - 250000) * 0.9, 3) as est",
             "round(o_totalprice - 250000, 2) as pnl",
             "US(o_orderdate) as closed_us",
         ],
