@@ -65,13 +65,15 @@ def window_start(epoch_s: Column) -> Column:
     return (F.floor(epoch_s / WINDOW_SECONDS) * WINDOW_SECONDS).cast("long")
 
 
-def window_slugs(starts: DataFrame, start: str, prefixes: DataFrame, prefix: str, windows: int = 3) -> DataFrame:
-    """Slugs of the current and following windows for every asset prefix (a short dimension list)."""
-    offsets = F.sequence(F.lit(0), F.lit(windows - 1))
-    names = prefixes.agg(F.collect_set(prefix).alias("_names"))
-    each = starts.select(start, F.explode(offsets).alias("offset")).join(F.broadcast(names))
-    named = each.select(start, "offset", F.explode("_names").alias("_name"))
-    return named.select(start, F.concat_ws("-", "_name", (F.col(start) + F.col("offset") * WINDOW_SECONDS).cast("string")).alias("slug"))
+# Slug prefixes of the five-minute markets.
+WINDOW_PREFIXES = ["btc-updown-5m", "eth-updown-5m", "sol-updown-5m"]
+
+
+def window_slugs(starts: DataFrame, start: str, windows: int = 3, prefixes: list[str] | None = None) -> DataFrame:
+    """Slugs of the current and following windows for every asset prefix."""
+    each = starts.select(start, F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("_k"))
+    each = each.select(start, "_k", F.explode(F.array(*[F.lit(p) for p in prefixes or WINDOW_PREFIXES])).alias("_name"))
+    return each.select(start, F.concat_ws("-", "_name", (F.col(start) + F.col("_k") * WINDOW_SECONDS).cast("string")).alias("slug"))
 
 
 def live_windows(slug: Column, current_window: Column) -> Column:

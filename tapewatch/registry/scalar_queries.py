@@ -19,12 +19,11 @@ def _(t):
     )
 
 
-@query("x2_window_slugs", """WITH w AS (SELECT DISTINCT ts_us // 300000000 * 300 AS window_ts FROM trades), p AS (SELECT DISTINCT regexp_replace(slug, '-(\\d{9,11})$', '') AS prefix FROM markets WHERE contains(slug, 'updown'))
- SELECT window_ts, prefix || '-' || (window_ts + 300 * k) AS slug FROM w, p, (VALUES (0), (1), (2)) v(k)""")
+@query("x2_window_slugs", """WITH w AS (SELECT DISTINCT ts_us // 300000000 * 300 AS window_ts FROM trades)
+ SELECT window_ts, p || '-updown-5m-' || (window_ts + 300 * k) AS slug FROM w, (VALUES ('btc'), ('eth'), ('sol')) q(p), (VALUES (0), (1), (2)) v(k)""")
 def _(t):
     starts = t.trades.select(S.window_start(F.col("ts_us") / US).alias("window_ts")).distinct()
-    prefixes = t.markets.filter("contains(slug, 'updown')").select(S.rolling_prefix(F.col("slug")).alias("prefix"))
-    return S.window_slugs(starts, "window_ts", prefixes, "prefix", 3)
+    return S.window_slugs(starts, "window_ts", 3)
 
 
 @query("x3_stale_windows", f"""SELECT market_id, slug FROM markets WHERE NOT (contains(slug, 'updown-5m') AND {STAMP_SQL} > 0 AND {STAMP_SQL} < {AS_OF_US // US + 60000} - 300)""")
