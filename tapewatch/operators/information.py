@@ -31,9 +31,10 @@ def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_le
         "block", F.pmod(F.xxhash64("market"), F.col("blocks")).cast("int")
     )
     left = blocked.select("market", "values", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = blocked.select("market", "values", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    right = blocked.select(F.col("market").alias("market_r"), F.col("values").alias("values_r"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
 
     def edges(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns={"market_r": "market", "values_r": "values"})
         out = []
         for la, ga in a.groupby(a["values"].map(len)):
             for lb, gb in b.groupby(b["values"].map(len)):

@@ -55,13 +55,12 @@ def exposure_verdicts(
     # Net exposure of a cluster for a proposal splits into: the sum over positions whose weight does
     # not depend on the proposal, and, for positions without an edge to the proposal's market that
     # is also their reference, the semantic weight. Only the anchor market is such a reference.
-    pos = portfolio.join(known, "market_id").join(anchors, "cluster_id", "left").withColumn("ref", F.coalesce("anchor", "market_id"))
+    pos = held.withColumnRenamed("held", "signed_usd").join(known, "market_id").join(anchors, "cluster_id", "left").withColumn("ref", F.coalesce("anchor", "market_id"))
     e = rho.select(c("market_a").alias("market_id"), c("market_b").alias("ref"), c("rho").alias("edge_rho"))
     pos = pos.join(e, ["market_id", "ref"], "left")
     own = c("market_id") == c("ref")
     fixed = F.when(own, 1.0).otherwise(F.coalesce("edge_rho", F.lit(1.0)))
     free = ~own & c("edge_rho").isNull()
-    direction = S.direction(c("signed_usd"))
     sums = pos.groupBy("cluster_id").agg(
         F.sum(c("signed_usd") * F.when(free, 0.0).otherwise(fixed)).alias("net_fixed"),
         F.sum(F.when(free, c("signed_usd")).otherwise(0.0)).alias("net_free"),

@@ -208,7 +208,7 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
             "o_orderpriority as reason",
             "cast(o_orderkey % 90 + 5 as double) / 100 as entry_price",
             "case when o_orderstatus = 'P' then null else cast(o_orderkey % 97 + 1 as double) / 100 end as exit_price",
-            "round(o_totalprice / 100, 2) as position_usd",
+            "round(o_totalprice / 100, 4) as position_usd",
             "round((o_totalprice - 250000) * 0.9, 3) as est",
             "round(o_totalprice - 250000, 2) as pnl",
             "US(o_orderdate) as closed_us",
@@ -222,10 +222,10 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
             "'m' || cast(o_custkey as string) as market_id",
             "case when o_custkey % 10 = 9 then null else 'c' || cast(o_custkey % 40 as string) end as cluster_id",
             "case when o_orderkey % 2 = 0 then 'YES' else 'NO' end as side",
-            "case when o_orderkey % 2 = 0 then 1 else -1 end * round(o_totalprice / 1000, 2) as signed_usd",
-            "round(o_totalprice / 10000000, 5) as kelly",
+            "case when o_orderkey % 2 = 0 then 1 else -1 end * round(o_totalprice / 1000, 5) as signed_usd",
+            "round(o_totalprice / 10000000, 9) as kelly",
             "cast(o_orderkey % 90 + 5 as double) / 100 as entry_price",
-            "round(o_totalprice / 100, 2) as size",
+            "round(o_totalprice / 100, 4) as size",
             "US(o_orderdate) as opened_us",
         ],
         "o_orderstatus = 'O'",
