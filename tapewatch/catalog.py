@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewatch.sources.bindings import bind, load, with_views, BASE_TABLES
+from tapewatch.sources.bindings import bind, bind_stream, load, with_views, BASE_TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,9 @@ class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def stream(self, view: str) -> DataFrame:
+        return bind_stream(self.spark, self.folder, view)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return load(self.spark, self.folder, name)

@@ -227,12 +227,12 @@ def _(t):
 
 
 @query("a40_book_depth", """WITH RECURSIVE b AS (SELECT event_id, bid, ask, bid_size, ask_size, event_id % 14 AS k FROM quotes), l AS (SELECT b.*, i FROM b, range(14) v(i) WHERE i <= k)
- SELECT event_id, round(sum(CASE WHEN i < 10 THEN (bid - i * 0.001) * bid_size ELSE 0 END), 6) + 0.0 AS bid_depth, round(sum(CASE WHEN i < 10 THEN (ask + i * 0.001) * ask_size ELSE 0 END), 6) + 0.0 AS ask_depth, round(any_value(ask - bid), 6) AS spread FROM l GROUP BY 1""")
+ SELECT event_id, round(sum(CASE WHEN i < 10 THEN (bid - i * 0.001) * bid_size ELSE 0 END), 8) + 0.0 AS bid_depth, round(sum(CASE WHEN i < 10 THEN (ask + i * 0.001) * ask_size ELSE 0 END), 8) + 0.0 AS ask_depth, round(any_value(ask - bid), 6) AS spread FROM l GROUP BY 1""")
 def _(t):
     idx = F.sequence(F.lit(0), (F.col("event_id") % 14).cast("int"))
     lv = lambda p, s, d: F.transform(idx, lambda i: F.struct((F.col(p) + i * d).alias("price"), F.col(s).alias("size")))
     b = t.quotes.select("event_id", lv("bid", "bid_size", -0.001).alias("bids"), lv("ask", "ask_size", 0.001).alias("asks"))
-    return R.book_depth(b).select("event_id", r("bid_depth", 6), r("ask_depth", 6), r("spread", 6))
+    return R.book_depth(b).select("event_id", r("bid_depth", 8), r("ask_depth", 8), r("spread", 6))
 
 
 @query("a42_sample_quality", """WITH s AS (SELECT market_id AS slug, event_id % 4 <> 0 AS ok, price AS a, price - size / 100 AS b, size / 10 AS q FROM trades UNION ALL SELECT market_id, true, price + 0.01, price - 0.01, CASE WHEN event_id % 3 = 0 THEN NULL ELSE size / 20 END FROM trades),

@@ -257,6 +257,19 @@ def bind(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return df.selectExpr(*[_render(e, _SPARK_US, _SPARK_K) for e in exprs])
 
 
+def bind_stream(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """The same view over its base table read as a file stream."""
+    from tapewatch.streaming.jobs import event_stream
+
+    base, exprs, where = VIEWS[view]
+    schema = load(spark, sf_dir, base).schema
+    # A glob matches both one Parquet file and a folder of them.
+    df = event_stream(spark, f"{sf_dir}/{{{base}.parquet}}", schema)
+    if where:
+        df = df.filter(where)
+    return df.selectExpr(*[_render(e, _SPARK_US, _SPARK_K) for e in exprs])
+
+
 def bind_sql(view: str) -> str:
     base, exprs, where = VIEWS[view]
     cols = ", ".join(_render(e, _DUCK_US, _DUCK_K) for e in exprs)
