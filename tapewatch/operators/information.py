@@ -33,28 +33,29 @@ def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_le
     left = blocked.select("market", "values", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = blocked.select(F.col("market").alias("market_r"), F.col("values").alias("values_r"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
 
-    def edges(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.rename(columns={"market_r": "market", "values_r": "values"})
-        out = []
+    def edges(blocks, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        first, second, rhos = [], [], []
         for la, ga in a.groupby(a["values"].map(len)):
-            for lb, gb in b.groupby(b["values"].map(len)):
+            for lb, gb in b.groupby(b["values_r"].map(len)):
                 n = min(la, lb)
                 x = np.array([v[:n] for v in ga["values"]], dtype=float)
-                y = np.array([v[:n] for v in gb["values"]], dtype=float)
+                y = np.array([v[:n] for v in gb["values_r"]], dtype=float)
                 x -= x.mean(axis=1, keepdims=True)
                 y -= y.mean(axis=1, keepdims=True)
                 sx, sy = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    rho = (x @ y.T) / np.outer(sx, sy)
+                    rho = np.clip((x @ y.T) / np.outer(sx, sy), -1.0, 1.0)
                 rho[sx < 1e-12, :] = np.nan
                 rho[:, sy < 1e-12] = np.nan
-                rho = np.clip(rho, -1.0, 1.0)
                 p, q = np.nonzero(np.abs(rho) >= min_abs)
-                ma, mb = ga["market"].to_numpy()[p], gb["market"].to_numpy()[q]
-                out.append(pd.DataFrame({"market_a": np.where(ma < mb, ma, mb), "market_b": np.where(ma < mb, mb, ma), "rho": rho[p, q], "_k": ma != mb}))
-        res = pd.concat(out) if out else pd.DataFrame({"market_a": [], "market_b": [], "rho": [], "_k": []})
-        res = res[res["_k"].astype(bool)].drop_duplicates(["market_a", "market_b"])
-        return res[["market_a", "market_b", "rho"]]
+                left_ids, right_ids = list(ga["market"]), list(gb["market_r"])
+                for i, j in zip(p, q):
+                    ma, mb = left_ids[i], right_ids[j]
+                    if ma < mb or (ma > mb and blocks[0] != blocks[1]):
+                        first.append(min(ma, mb))
+                        second.append(max(ma, mb))
+                        rhos.append(float(rho[i, j]))
+        return pd.DataFrame({"market_a": first, "market_b": second, "rho": rhos})
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(edges, "market_a string, market_b string, rho double")
 

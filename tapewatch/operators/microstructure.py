@@ -392,7 +392,15 @@ def cooldown_triggers(
             keep.append(fires)
             if fires:
                 at = t + cooldown_us
-        return pdf.loc[keep, ["market_id", "ts_us", "event_id", "usd"]]
+        fired = pdf.loc[keep]
+        return pd.DataFrame(
+            {
+                "market_id": [pdf["market_id"].iloc[0]] * len(fired),
+                "ts_us": fired["ts_us"].to_numpy(),
+                "event_id": fired["event_id"].to_numpy(),
+                "usd": fired["usd"].to_numpy(),
+            }
+        )
 
     return ready.groupBy("market_id", "part").applyInPandas(
         replay, "market_id string, ts_us long, event_id long, usd double"

@@ -140,7 +140,7 @@ MEMBERS_SQL = "members AS (SELECT market_id, regexp_replace(slug, '-(\\d{9,11})$
 SOURCES_SQL = f"""{SCORES_SQL}, {SIGNALS_SQL}, {MEMBERS_SQL},
  w AS (SELECT s.*, coalesce(sib.market_id, s.market_id) AS src FROM signals s LEFT JOIN members m ON m.market_id = s.market_id LEFT JOIN members sib ON sib.series_id = m.series_id),
  src AS (SELECT DISTINCT signal_id, o.address AS wallet, score FROM w JOIN observations o ON o.market_id = w.src AND o.ts_us BETWEEN w.signal_us - {DAY} AND w.signal_us
-   JOIN scores c ON c.wallet = o.address WHERE score >= 0.55)"""
+   JOIN scores c ON c.wallet = o.address WHERE score >= 0.55 AND o.address <> '0x0000000000000000000000000000000000000000')"""
 
 
 def signals(t):

@@ -20,7 +20,7 @@ XSIG_SQL = f"""{ZSCORE_SQL}, {SCORES_SQL}, {MEMBERS_SQL},
  bk AS (SELECT asset_id, ts_us, bid, ask FROM quotes), s2 AS (SELECT sg.*, bid, ask FROM sg ASOF LEFT JOIN bk ON sg.asset_id = bk.asset_id AND sg.signal_us >= bk.ts_us),
  st AS (SELECT *, CASE WHEN signal_id % 4 = 0 THEN 0.5 ELSE round(bid + 0.03, 4) END AS last_price FROM s2 WHERE abs(z) >= 0.8),
  wd AS (SELECT st.signal_id, st.signal_us, coalesce(sib.market_id, st.market_id) AS src FROM st LEFT JOIN members m ON m.market_id = st.market_id LEFT JOIN members sib ON sib.series_id = m.series_id),
- so AS (SELECT DISTINCT signal_id, o.address AS wallet, score FROM wd JOIN observations o ON o.market_id = wd.src AND o.ts_us BETWEEN wd.signal_us - {DAY} AND wd.signal_us JOIN scores c ON c.wallet = o.address WHERE score >= 0.55),
+ so AS (SELECT DISTINCT signal_id, o.address AS wallet, score FROM wd JOIN observations o ON o.market_id = wd.src AND o.ts_us BETWEEN wd.signal_us - {DAY} AND wd.signal_us JOIN scores c ON c.wallet = o.address WHERE score >= 0.55 AND o.address <> '0x0000000000000000000000000000000000000000'),
  gr AS (SELECT signal_id, count(*) AS n, sum(ln(score) - ln(1 - score)) AS lo FROM so GROUP BY 1),
  ps AS (SELECT wallet, market_id, avg(price) AS prev_entry FROM trades WHERE side = 'BUY' GROUP BY 1, 2),
  a AS (SELECT st.*, coalesce(n, 0) AS n_sources, coalesce(n, 0) + te::int AS nn, coalesce(lo, 0) AS lo, prev_entry, CASE WHEN ask - bid <= 0.1 THEN (bid + ask) / 2 WHEN last_price <> 0.5 THEN last_price END AS q FROM st LEFT JOIN gr USING (signal_id) LEFT JOIN ps USING (wallet, market_id)),

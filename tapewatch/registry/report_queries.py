@@ -254,7 +254,7 @@ def _(t):
     return R.first_seen(t.observations)
 
 
-@query("a44_recent_wallets", "SELECT address, max(ts_us) AS last_us FROM observations WHERE obs_type = 'clob_trade' GROUP BY 1 ORDER BY last_us DESC, address LIMIT 40")
+@query("a44_recent_wallets", "SELECT address, max(ts_us) AS last_us FROM observations WHERE obs_type = 'clob_trade' AND address <> '0x0000000000000000000000000000000000000000' GROUP BY 1 ORDER BY last_us DESC, address LIMIT 40")
 def _(t):
     return R.recent_wallets(t.observations)
 
