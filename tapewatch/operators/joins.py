@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tapewatch.functions import fixed as X
+from tapewatch.operators.lineage import cut_lineage
 from tapewatch.operators.sequence import DAY, HOUR, US, near_pairs, running, top_per_key
 
 
@@ -232,9 +233,9 @@ def _stake_probes(stake: Column, tolerance: float) -> Column:
 
 
 def similar_stakes(
-    bets: DataFrame, lookback_us: int = HOUR, tolerance: float = 0.20, max_age_us: int = 7 * DAY
+    bets: DataFrame, lookback_us: int = HOUR, tolerance: float = 0.20, max_age_us: int = 7 * DAY, asked: DataFrame | None = None
 ) -> DataFrame:
-    """Per bet: other wallets' similar bets on the market in the lookback, by wallets younger than ``max_age_us``.
+    """Per bet (or per row of ``asked``, bets to evaluate): other wallets' similar bets on the market in the lookback, by wallets younger than ``max_age_us``.
 
     Time and log-stake buckets are both equi keys, so a hot market splits over time and stake.
     Returns ``n_obs`` (bets) and ``n_wallets``.
@@ -244,8 +245,9 @@ def similar_stakes(
         "market_id", F.col("wallet").alias("o_wallet"), F.col("ts_us").alias("o_ts"), F.col("stake").alias("o_stake"), "first_seen_us",
         F.floor(F.col("ts_us") / lookback_us).cast("long").alias("tb"), _stake_bucket(F.col("stake")).alias("sb"),
     )
+    asked = bets if asked is None else asked
     probe = (
-        bets.select("bet_id", "market_id", "wallet", "ts_us", "stake")
+        asked.select("bet_id", "market_id", "wallet", "ts_us", "stake")
         .withColumn("tb", F.explode(F.sequence(F.floor((F.col("ts_us") - lookback_us) / lookback_us).cast("long"), F.floor(F.col("ts_us") / lookback_us).cast("long"))))
         .withColumn("sb", F.explode(_stake_probes(F.col("stake"), tolerance)))
     )
@@ -257,7 +259,7 @@ def similar_stakes(
     )
     per_wallet = near.groupBy("bet_id", "o_wallet").agg(F.count(F.lit(1)).alias("n"))
     found = per_wallet.groupBy("bet_id").agg(F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_wallets"))
-    return bets.select("bet_id").join(found, "bet_id", "left").select(
+    return asked.select("bet_id").join(found, "bet_id", "left").select(
         "bet_id", F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_wallets", F.lit(0)).alias("n_wallets")
     )
 
@@ -370,11 +372,27 @@ def sync_pairs(times: DataFrame, within_us: int = 3 * US, threshold: float = 0.6
         levels.withColumn("_n", F.sum("_c").over(by_wallet)).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
         .filter(F.col("_before") < F.col("_n") - need + 1).select("wallet", "_crowd")
     )
-    quiet = sized.join(probed, ["wallet", "_crowd"], "left_semi").select(F.col("wallet").alias("wallet_a"), "ts_us")
-    other = slots.select(F.col("wallet").alias("wallet_b"), F.col("ts_us").alias("ts_b"))
-    found = near_pairs(quiet, other, [], "ts_us", "ts_b", within_us, F.col("wallet_a") != F.col("wallet_b"))
-    candidates = found.select("wallet_a", "wallet_b").distinct()
-    return sync_scores(candidates, slots, within_us).filter(F.col("sync") >= threshold - 1e-12)
+    flagged = sized.join(probed.withColumn("_quiet", F.lit(True)), ["wallet", "_crowd"], "left").withColumn("_quiet", F.coalesce("_quiet", F.lit(False)))
+    times_a = flagged.select(F.col("wallet").alias("wallet_a"), "ts_us", "_quiet")
+    times_b = slots.select(F.col("wallet").alias("wallet_b"), F.col("ts_us").alias("ts_b"))
+
+    def hits(left: DataFrame, on: list[str], name: str) -> DataFrame:
+        near = near_pairs(left, times_b, on, "ts_us", "ts_b", within_us, F.col("wallet_a") != F.col("wallet_b"))
+        return near.groupBy("wallet_a", "wallet_b").agg(F.countDistinct("ts_us").alias(name))
+
+    size = flagged.groupBy(F.col("wallet").alias("wallet_a")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_quiet").alias("_q")
+    ).withColumn("_need", F.ceil(F.lit(threshold) * F.col("_n") - 1e-9))
+    # Hits at quiet times plus every other time bound the score; only pairs that can still reach
+    # the threshold look at the crowded times.
+    possible = hits(times_a.filter("_quiet").drop("_quiet"), [], "_h").join(size, "wallet_a").filter("_h + _n - _q >= _need")
+    possible = cut_lineage(possible)
+    rest = possible.filter("_q < _n").select("wallet_a", "wallet_b").join(times_a.filter("not _quiet").drop("_quiet"), "wallet_a")
+    more = hits(rest, ["wallet_b"], "_more")
+    total = F.col("_h") + F.coalesce("_more", F.lit(0))
+    return possible.join(more, ["wallet_a", "wallet_b"], "left").withColumn("_t", total).filter("_t >= _need").select(
+        "wallet_a", "wallet_b", (F.col("_t") / F.col("_n")).alias("sync")
+    )
 
 
 def fires_against_trades(fires: DataFrame, trades: DataFrame, bucket_us: int) -> DataFrame:

@@ -153,16 +153,18 @@ def entropy_zscore(
     """z of the latest entropy step against the spread of the preceding entropy levels."""
     keys = list(keys)
     defined = entropies.filter(F.col("entropy").isNotNull())
-    stepped = previous_row(defined, keys, TIME_ORDER, "ts_us", slice_us, {"_h": F.col("entropy")})
+    stepped = running(
+        defined, keys, TIME_ORDER, "ts_us", slice_us, {"_h": ("lag", F.col("entropy")), "_no": ("count", F.lit(1))}
+    )
     framed = row_frame(
         stepped, keys, TIME_ORDER, "ts_us", slice_us, history - 1,
-        {"n_prior": F.count("entropy"), "_var": F.var_samp("entropy")},
+        {"n_prior": F.count("entropy"), "_var": F.var_samp("entropy")}, number="_no",
     )
     sigma = F.when(F.col("_var") > 1e-12, F.sqrt("_var")).otherwise(F.lit(1e-6))
     delta = F.col("entropy") - F.col("_h")
     z = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), delta / sigma))
     ready = (F.col("n_prior") + 1 >= min_history) & (F.col("n_prior") >= 2)
-    return framed.withColumn("delta_h", F.when(ready, delta)).withColumn("z", F.when(ready, z)).drop("_h", "_var")
+    return framed.withColumn("delta_h", F.when(ready, delta)).withColumn("z", F.when(ready, z)).drop("_h", "_no", "_var")
 
 
 def warmup_entropy(
@@ -193,7 +195,7 @@ def warmup_entropy(
         "_step", F.coalesce(F.least(F.col("ts_us") - F.col("_t"), F.lit(window_us)), F.lit(0))
     )
     span = running(stepped, keys, TIME_ORDER, "ts_us", slice_us, {"healthy_us": ("sum", F.col("_step"))})
-    framed = rolling_entropy(span, window_us, 2, keys)
+    framed = rolling_entropy(cut_lineage(span), window_us, 2, keys)
     free = (F.col("session") == 0) | (F.col("n_events") >= min_events) | (F.col("healthy_us") >= healthy_us)
     opened = running(
         framed, keys, TIME_ORDER, "ts_us", slice_us, {"unlocked": ("max", free.cast("int"))}
@@ -239,7 +241,7 @@ def price_impact_by_order(
 ) -> DataFrame:
     """Price impact divided by the USD total of the fill's reconstructed order."""
     keys = ["wallet", "market_id", "side", "order_start"]
-    tagged = with_orders(with_mid, order_gap_us, slice_us)
+    tagged = cut_lineage(with_orders(with_mid, order_gap_us, slice_us))
     totals = tagged.groupBy(*keys).agg(F.sum("usd").alias("order_usd"))
     sized = tagged.join(totals, keys).drop("order_start")
     return price_impact(sized, ttl_us, slice_us, F.col("order_usd"))
@@ -296,6 +298,7 @@ def flow_shocks(
         & (F.col("total_usd") >= min_notional)
         & (F.abs("ofi") / F.greatest("total_usd", F.lit(1e-12)) >= imbalance)
     )
+    hits = cut_lineage(hits)
     after = as_of(hits, lead_quotes.withColumnRenamed("mid", "price_after"), "coin", "ts_us", "ts_us", ["price_after"], "event_id", slice_us)
     both = as_of(after, lead_quotes.withColumnRenamed("mid", "price_before"), "coin", "first_us", "ts_us", ["price_before"], "event_id", slice_us)
     return both.withColumn("delta_us", F.col("ts_us") - F.col("first_us"))
@@ -445,7 +448,7 @@ def burstiness(parents: DataFrame, slice_us: int = DAY) -> DataFrame:
     gaps = stepped.filter(F.col("_last").isNotNull()).withColumn(
         "gap_us", F.greatest(F.lit(0), F.col("first_us") - F.col("_last"))
     )
-    return gini(gaps, "wallet", "gap_us").select("wallet", F.col("gini").alias("burst"))
+    return gini(cut_lineage(gaps.select("wallet", "gap_us")), "wallet", "gap_us").select("wallet", F.col("gini").alias("burst"))
 
 
 def wallet_labels(
@@ -459,6 +462,7 @@ def wallet_labels(
     burst_high: float = 0.8,
 ) -> DataFrame:
     """Four-way wallet label from parent count, imbalance, burstiness and taker ratio."""
+    parents = cut_lineage(parents)
     feats = imbalance_index(parents).join(burstiness(parents), "wallet", "left").withColumn(
         "burst", F.coalesce("burst", F.lit(0.0))
     )

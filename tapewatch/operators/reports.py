@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.functions import fixed as X
 from tapewatch.operators import scalars as S
-from tapewatch.operators.joins import signal_stats
+from tapewatch.operators.lineage import cut_lineage
 from tapewatch.operators.performance import one_row
 from tapewatch.operators.sequence import DAY, HOUR, US, top_per_key, value_at_rank
 
@@ -320,6 +320,7 @@ def tier1_entities(entities: DataFrame, tags: list[str], min_trust: float = 70.0
 
 def entropy_diagnostics(z: DataFrame, key: str, threshold: float, unlocked: str = "unlocked") -> DataFrame:
     """Evaluation counts by state and nearest-rank P50 and P90 of z per key (Python-style rounding to even)."""
+    z = cut_lineage(z)
     ready = F.col("z").isNotNull()
     counts = z.groupBy(key).agg(
         F.count(F.lit(1)).alias("evaluations"), F.count_if(~ready & ~F.col(unlocked)).alias("locked"), F.count_if(~ready & F.col(unlocked)).alias("warming"),

@@ -67,6 +67,7 @@ _COMBINE = {
     "max": lambda head, own: F.greatest(head, own),
     "min": lambda head, own: F.least(head, own),
     "last": lambda head, own: F.coalesce(own, head),
+    "lag": lambda head, own: F.coalesce(own, head)["v"],
 }
 
 
@@ -80,13 +81,13 @@ def running(
 ) -> DataFrame:
     """Inclusive running aggregates per key; ``aggs`` maps name -> (kind, expression).
 
-    Kinds: ``sum``, ``count`` (of non-null values), ``max``, ``min`` and ``last`` (latest
-    non-null value so far).
+    Kinds: ``sum``, ``count`` (of non-null values), ``max``, ``min``, ``last`` (latest non-null
+    value so far) and ``lag`` (value of the preceding row).
     """
     keys, order = _cols(keys), _cols(order)
     sliced = with_slice(df, pos, width)
-    for i, (_, (_, expr)) in enumerate(aggs.items()):
-        sliced = sliced.withColumn(f"_v{i}", expr)
+    for i, (_, (kind, expr)) in enumerate(aggs.items()):
+        sliced = sliced.withColumn(f"_v{i}", F.struct(expr.alias("v")) if kind == "lag" else expr)
     per_slice, heads, own = [], [], []
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -97,6 +98,10 @@ def running(
             per_slice.append(F.max_by(v, stamp).alias(f"_s{i}"))
             heads.append(F.last(s, ignorenulls=True).over(before).alias(name))
             own.append(F.last(v, ignorenulls=True).over(inside))
+        elif kind == "lag":
+            per_slice.append(F.max_by(v, F.struct(*order)).alias(f"_s{i}"))
+            heads.append(F.last(s).over(before).alias(name))
+            own.append(F.lag(v).over(W.partitionBy(*keys, SLICE).orderBy(*order)))
         else:
             fold = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
             merge = F.sum if kind in ("sum", "count") else fold
@@ -217,15 +222,17 @@ def row_frame(
     aggs: dict[str, Column],
     include_current: bool = False,
     block: int | None = None,
+    number: str | None = None,
 ) -> DataFrame:
     """Aggregates over the ``rows_before`` preceding rows of each key.
 
     Rows are numbered exactly, cut into blocks of consecutive numbers, and the last
-    ``rows_before`` rows of each block are copied into the next one.
+    ``rows_before`` rows of each block are copied into the next one. ``number`` names an existing
+    exact row number.
     """
     keys = _cols(keys)
     block = max(block or 64 * rows_before, rows_before)
-    num = numbered(df, keys, order, pos, width, "_rn")
+    num = df.withColumn("_rn", F.col(number)) if number else numbered(df, keys, order, pos, width, "_rn")
     home = F.floor((F.col("_rn") - 1) / block).cast("long")
     last = F.floor((F.col("_rn") - 1 + rows_before) / block).cast("long")
     copies = num.withColumn("_home", home).withColumn("_block", F.explode(F.sequence(home, last)))

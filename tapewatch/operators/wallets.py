@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.functions import fixed as X
 from tapewatch.operators import scalars as S
+from tapewatch.operators.lineage import cut_lineage
 from tapewatch.operators.sequence import DAY, US, previous_row, range_frame, running, top_per_key
 
 
@@ -137,9 +138,11 @@ def pattern_factors(
         F.max((F.col("stake") >= large).cast("int")).alias("_large"),
         F.max(((F.col("stake") > 0) & (F.col("stake") <= small)).cast("int")).alias("_small"),
     )
-    totals = pair.groupBy("wallet").agg(F.sum("_recent").alias("_recent_all"), F.sum("_small").alias("_small_all"))
+    pair = cut_lineage(pair)
     window = pair.filter(F.col("ts_us") > as_of_us - hours * 3600 * US)
-    cluster = similar_stakes(observations, cluster_us, 0.20, max_age_us).select(
+    totals = pair.groupBy("wallet").agg(F.sum("_recent").alias("_recent_all"), F.sum("_small").alias("_small_all"))
+    asked = window.select(F.col("_l.bet_id").alias("bet_id"), "market_id", "wallet", "ts_us", F.col("_l.stake").alias("stake"))
+    cluster = similar_stakes(observations, cluster_us, 0.20, max_age_us, asked).select(
         F.col("bet_id").alias("_bet"), F.col("n_obs").alias("cluster_bets"), F.col("n_wallets").alias("cluster_wallets")
     )
     same = same_time_bets(observations, same_time_us)
@@ -263,13 +266,14 @@ def replay_positions(fills: DataFrame, slice_us: int = DAY) -> DataFrame:
     base = fills.filter(F.col("side").isin("BUY", "SELL") & (F.col("size") > 0)).select(*keys, *order, "side", "size", "price")
     summed = running(base, keys, order, "ts_us", slice_us, {"_s": ("sum", signed)})
     floored = running(summed, keys, order, "ts_us", slice_us, {"_low": ("min", F.col("_s"))})
-    held = floored.withColumn("_q", F.col("_s") - F.least(F.lit(0.0), F.col("_low")))
+    held = cut_lineage(floored).withColumn("_q", F.col("_s") - F.least(F.lit(0.0), F.col("_low")))
     stepped = previous_row(held, keys, order, "ts_us", slice_us, {"_qp": F.col("_q")}).withColumn("_qp", F.coalesce("_qp", F.lit(0.0)))
     opens = (F.col("side") == "BUY") & (F.col("_qp") <= 1e-9)
     log_ratio = F.when((F.col("side") == "BUY") & ~opens, F.log(F.col("_qp") / F.col("_q"))).otherwise(0.0)
     logged = running(
         stepped, keys, order, "ts_us", slice_us, {"_l": ("sum", log_ratio), "_seg": ("sum", opens.cast("int"))}
     )
+    logged = cut_lineage(logged)
     last = logged.groupBy(*keys).agg(
         F.max_by(F.struct("_q", "_l", "_seg"), F.struct(*order)).alias("_e"), F.max("ts_us").alias("updated_us")
     ).filter(F.col("_e._seg") > 0)

@@ -254,14 +254,15 @@ def _(t):
     return J.sync_scores(root_pairs(t), t.trades, 3 * HOUR).withColumn("sync", F.round("sync", 6))
 
 
+SYNC_US = HOUR // 12
 SYNC_PAIRS_SQL = f"""st AS (SELECT DISTINCT wallet, ts_us, (SELECT count(*) FROM trades x WHERE x.wallet = t.wallet) AS n FROM trades t),
- hit AS (SELECT a.wallet AS wallet_a, b.wallet AS wallet_b, any_value(a.n) AS n, count(DISTINCT a.ts_us) AS hits FROM st a JOIN st b ON a.wallet <> b.wallet AND b.ts_us BETWEEN a.ts_us - {HOUR} AND a.ts_us + {HOUR} GROUP BY 1, 2),
- synced AS (SELECT wallet_a, wallet_b, hits / n AS sync FROM hit WHERE hits / n >= 0.25)"""
+ hit AS (SELECT a.wallet AS wallet_a, b.wallet AS wallet_b, any_value(a.n) AS n, count(DISTINCT a.ts_us) AS hits FROM st a JOIN st b ON a.wallet <> b.wallet AND b.ts_us BETWEEN a.ts_us - {SYNC_US} AND a.ts_us + {SYNC_US} GROUP BY 1, 2),
+ synced AS (SELECT wallet_a, wallet_b, hits / n AS sync FROM hit WHERE hits / n >= 0.06)"""
 
 
 @query("j21_sync_pairs", f"WITH {SYNC_PAIRS_SQL} SELECT wallet_a, wallet_b, round(sync, 6) AS sync FROM synced")
 def _(t):
-    return J.sync_pairs(t.trades, HOUR, 0.25).withColumn("sync", F.round("sync", 6))
+    return J.sync_pairs(t.trades, SYNC_US, 0.06).withColumn("sync", F.round("sync", 6))
 
 
 @query("j23_fires_vs_trades", f"""WITH f AS (SELECT ts_us // {HOUR} * {HOUR} AS bucket_us, count(*) AS fires FROM trades WHERE event_type = 'purchase' GROUP BY 1),

@@ -9,7 +9,7 @@ from tapewatch.operators import information as I
 from tapewatch.operators import risk as RK
 from tapewatch.operators import series as SR
 from tapewatch.operators.sequence import DAY, HOUR
-from tapewatch.registry.join_queries import FUNDED_SQL, PAIRS_SQL, SYNC_PAIRS_SQL, TAKERS_SQL, TEMPORAL_SQL, roots, takers
+from tapewatch.registry.join_queries import FUNDED_SQL, SYNC_PAIRS_SQL, SYNC_US, TAKERS_SQL, TEMPORAL_SQL, roots, takers
 from tapewatch.registry.micro import FILLS, fills
 from tapewatch.registry.predicate_queries import RISK_SQL
 from tapewatch.registry.scalar_queries import DEADLINE_SQL, STAMP_SQL
@@ -174,7 +174,7 @@ ENTITY_OF = "substr(sha256(CASE WHEN root_b IS NULL THEN root_a ELSE least(root_
  SELECT node AS wallet, entity_id, size FROM comp JOIN ow ON node = wallet JOIN g USING (component)""")
 def _(t):
     w = roots(t).join(t.trades.select("wallet").distinct(), "wallet", "left_semi")
-    return G.sybil_groups(w, t.trades, HOUR, 0.25)
+    return G.sybil_groups(w, t.trades, SYNC_US, 0.06)
 
 
 EFF_SQL = f"""{FILLS}, tr AS (SELECT market_id || '|' || outcome AS mk, wallet, ts_us FROM fills), sy AS (SELECT DISTINCT x.mk || '|' || x.wallet AS a, y.mk || '|' || y.wallet AS b FROM tr x JOIN tr y ON x.mk = y.mk AND abs(x.ts_us - y.ts_us) <= {HOUR}),

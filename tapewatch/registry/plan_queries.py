@@ -6,10 +6,10 @@ from tapewatch.catalog import query
 from tapewatch.operators import joins as J
 from tapewatch.operators import sequence as Q
 from tapewatch.operators.lineage import cut_lineage
-from tapewatch.operators.sequence import DAY, HOUR
+from tapewatch.operators.sequence import DAY
 from tapewatch.plans.discovery import discovery_cycle
 from tapewatch.plans.signals import signal_decisions
-from tapewatch.registry.join_queries import MEMBERS_SQL, SCORES_SQL, rolling_members, roots, scores
+from tapewatch.registry.join_queries import MEMBERS_SQL, SCORES_SQL, SYNC_US, rolling_members, roots, scores
 from tapewatch.registry.micro import ZSCORE_SQL, zscores
 from tapewatch.registry.model_queries import ENTITY_OF, reach
 from tapewatch.registry.wallet_queries import WALLET_PNL_SQL, wallet_pnl
@@ -54,7 +54,7 @@ A32_SQL = f"""{WALLET_PNL_SQL}, ta AS (SELECT wallet, sum((price - 0.5) * size)
  h AS (SELECT wallet, side, usd, ts_us FROM trades WHERE usd > 0), hs AS (SELECT wallet, count(*) AS sample_size, abs(sum(CASE WHEN side = 'BUY' THEN usd ELSE -usd END)) / sum(usd) AS idi FROM h GROUP BY 1),
  surv AS (SELECT c.wallet, c.win_rate, coalesce(sample_size, 0) AS sample_size FROM cand c LEFT JOIN hs USING (wallet) WHERE sample_size IS NULL OR idi >= 0.1),
  st AS (SELECT DISTINCT h.wallet, ts_us, (SELECT count(DISTINCT ts_us) FROM h x WHERE x.wallet = h.wallet) AS n FROM h JOIN surv USING (wallet)),
- hit AS (SELECT a.wallet AS wa, b.wallet AS wb, any_value(a.n) AS n, count(DISTINCT a.ts_us) AS hits FROM st a JOIN st b ON a.wallet <> b.wallet AND b.ts_us BETWEEN a.ts_us - {HOUR} AND a.ts_us + {HOUR} GROUP BY 1, 2), sync AS (SELECT wa, wb FROM hit WHERE hits / n >= 0.3),
+ hit AS (SELECT a.wallet AS wa, b.wallet AS wb, any_value(a.n) AS n, count(DISTINCT a.ts_us) AS hits FROM st a JOIN st b ON a.wallet <> b.wallet AND b.ts_us BETWEEN a.ts_us - {SYNC_US} AND a.ts_us + {SYNC_US} GROUP BY 1, 2), sync AS (SELECT wa, wb FROM hit WHERE hits / n >= 0.07),
  ow AS (SELECT wallet, 've_' || {ENTITY_OF} AS entity, win_rate, sample_size FROM surv JOIN funding USING (wallet)),
  sy AS (SELECT wallet AS a, entity AS b FROM ow UNION SELECT entity, wallet FROM ow UNION SELECT wa, wb FROM sync UNION SELECT wb, wa FROM sync), {reach('sy')},
  comp AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a), g AS (SELECT component, count(*) AS wallets, avg(win_rate) AS wr, sum(sample_size) AS n, arg_min(entity, wallet) AS entity_id FROM comp JOIN ow ON node = wallet GROUP BY 1),
@@ -66,14 +66,14 @@ def cycle(t):
     b = wallet_pnl(t).groupBy("wallet").agg(F.max("pnl").alias("pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.lit("LEADERBOARD").alias("discovery_source"))
     hist = t.trades.filter("usd > 0").select("wallet", "side", "usd", F.lit(0.0).alias("balance_before"), "ts_us", F.lit("observation").alias("source"))
     prev = t.entities.limit(0).select("entity_id", "trust_score")
-    return discovery_cycle(a, b, hist, roots(t), prev, HOUR, 0.3, 0.1)
+    return discovery_cycle(a, b, hist, roots(t), prev, SYNC_US, 0.07, 0.1)
 
 
 @query("a32_discovery_entities", f"""WITH RECURSIVE {A32_SQL} SELECT entity_id, wallets, round(wr, 6) AS avg_win_rate, cast(n AS bigint) AS sample_size, tag AS primary_tag,
- round(greatest(0, least(1, (1 - least(1, n / 100)) * 0.5 + least(1, n / 100) * (wr * 0.7 + CASE tag WHEN 'ALGO_SLICING' THEN 0.75 ELSE 0.55 END * 0.3))) * 100, 3) AS trust_score FROM tr""")
+ round(greatest(0, least(1, (1 - least(1, n / 100)) * 0.5 + least(1, n / 100) * (wr * 0.7 + CASE tag WHEN 'ALGO_SLICING' THEN 0.75 ELSE 0.55 END * 0.3))) * 100, 1) AS trust_score FROM tr""")
 def _(t):
     e = cycle(t)[0]
-    return e.select("entity_id", "wallets", F.round("avg_win_rate", 6).alias("avg_win_rate"), "sample_size", "primary_tag", "trust_score")
+    return e.select("entity_id", "wallets", F.round("avg_win_rate", 6).alias("avg_win_rate"), "sample_size", "primary_tag", F.round("trust_score", 1).alias("trust_score"))
 
 
 @query("a32_discovery_summary", f"""WITH RECURSIVE {A32_SQL} SELECT (SELECT count(*) FROM cand) AS fetched_candidates, (SELECT count(*) FROM cand) - (SELECT count(*) FROM surv) AS dropped, (SELECT count(*) FROM ow) AS survivors, 0::bigint AS hybrid, (SELECT count(*) FROM tr) AS entities""")
