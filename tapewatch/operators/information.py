@@ -55,8 +55,13 @@ def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_le
                         first.append(min(ma, mb))
                         second.append(max(ma, mb))
                         rhos.append(float(rho[i, j]))
-        return pd.DataFrame({"market_a": first, "market_b": second, "rho": rhos})
+        return pd.DataFrame(
+            {"market_a": pd.Series(first, dtype=object), "market_b": pd.Series(second, dtype=object), "rho": pd.Series(rhos, dtype=float)}
+        )
 
+    # A pair of blocks with an empty side holds no pair of keys.
+    both = left.select("i", "j").distinct().join(right.select("i", "j").distinct(), ["i", "j"])
+    left, right = left.join(both, ["i", "j"], "left_semi"), right.join(both, ["i", "j"], "left_semi")
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(edges, "market_a string, market_b string, rho double")
 
 

@@ -320,44 +320,38 @@ def cooldown_triggers(
         {"_t": F.col("ts_us")}, F.col("ts_us") - F.col("_t") >= cooldown_us, "run",
     )
     width = max(slice_us, 2 * cooldown_us)
-    cut = cut_lineage(runs.withColumn("part", F.floor(F.col("ts_us") / width).cast("long")))
-    keys = ["market_id", "run", "part"]
+    cut = cut_lineage(
+        runs.select(
+            "market_id", *TIME_ORDER, "usd", F.col("run.ts_us").alias("run_us"), F.col("run.event_id").alias("run_event"),
+            F.floor(F.col("ts_us") / width).cast("long").alias("part"),
+            # Quiet markets share a task; a hot market is already cut by part.
+            F.pmod(F.xxhash64("market_id"), F.lit(64)).alias("batch"),
+        )
+    )
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = pdf["ts_us"].sort_values().to_numpy()
-        lo = int(pdf["part"].iloc[0]) * width
-        entries = sorted({lo, *(int(t) for t in ts if t < lo + cooldown_us), lo + cooldown_us})
-        memo: dict[int, int] = {}
-
-        def leave(i: int) -> int:
-            path = []
-            while i < len(ts) and i not in memo:
-                path.append(i)
-                i = int(ts.searchsorted(ts[i] + cooldown_us))
-            end = memo[i] if i < len(ts) else int(ts[path[-1]]) + cooldown_us if path else lo
-            for p in path:
-                memo[p] = end
-            return end
-
         rows = []
-        for e in entries:
-            i = int(ts.searchsorted(e))
-            rows.append((e, leave(i) if i < len(ts) else e))
-        return pd.DataFrame(
-            {
-                "market_id": pdf["market_id"].iloc[0],
-                "run_us": pdf["run"].iloc[0]["ts_us"],
-                "run_event": pdf["run"].iloc[0]["event_id"],
-                "part": pdf["part"].iloc[0],
-                "free_from": [r[0] for r in rows],
-                "free_after": [r[1] for r in rows],
-            }
-        )
+        for (market, run_us, run_event, part), group in pdf.groupby(["market_id", "run_us", "run_event", "part"]):
+            ts = group["ts_us"].sort_values().to_numpy()
+            lo = int(part) * width
+            memo: dict[int, int] = {}
+            for entry in sorted({lo, *(int(t) for t in ts if t < lo + cooldown_us), lo + cooldown_us}):
+                path, end = [], entry
+                i = int(ts.searchsorted(entry))
+                while i < len(ts) and i not in memo:
+                    path.append(i)
+                    end = int(ts[i]) + cooldown_us
+                    i = int(ts.searchsorted(end))
+                end = memo.get(i, end)
+                memo.update(dict.fromkeys(path, end))
+                rows.append((market, run_us, run_event, part, entry, end))
+        return pd.DataFrame(rows, columns=["market_id", "run_us", "run_event", "part", "free_from", "free_after"])
 
     # Only runs spanning several parts need the maps; one small row set per part remains.
-    spans = cut.groupBy("market_id", "run").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b")
-    long_runs = cut.join(spans.select("market_id", "run"), ["market_id", "run"])
-    maps = long_runs.groupBy(*keys).applyInPandas(
+    run_key = ["market_id", "run_us", "run_event"]
+    spans = cut.groupBy(*run_key).agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a < _b")
+    long_runs = cut.join(spans.select(*run_key), run_key, "left_semi")
+    maps = long_runs.groupBy("part", "batch").applyInPandas(
         exits, "market_id string, run_us long, run_event long, part long, free_from long, free_after long"
     )
     by_part = maps.groupBy("market_id", "run_us", "run_event", "part").agg(
@@ -383,29 +377,23 @@ def cooldown_triggers(
     )
     # The first run of a (market, part) may start before the part; later runs start inside it.
     heads = free.groupBy("market_id", "part").agg(F.min_by("free_from", "run_us").alias("free_from"))
-    ready = cut.drop("run").join(heads, ["market_id", "part"], "left")
+    ready = cut.join(heads, ["market_id", "part"], "left")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "event_id"])
-        at = pdf["free_from"].iloc[0]
-        at = 0 if pd.isna(at) else int(at)
-        keep = []
-        for t in pdf["ts_us"].to_numpy():
-            fires = t >= at
-            keep.append(fires)
-            if fires:
+        pdf = pdf.sort_values(["market_id", "ts_us", "event_id"])
+        fired, market, at = [], None, 0
+        starts = pdf["free_from"].fillna(0)
+        for m, t, e, u, start in zip(pdf["market_id"], pdf["ts_us"], pdf["event_id"], pdf["usd"], starts):
+            if m != market:
+                market, at = m, int(start)
+            if t >= at:
                 at = t + cooldown_us
-        fired = pdf.loc[keep]
-        return pd.DataFrame(
-            {
-                "market_id": [pdf["market_id"].iloc[0]] * len(fired),
-                "ts_us": fired["ts_us"].to_numpy(),
-                "event_id": fired["event_id"].to_numpy(),
-                "usd": fired["usd"].to_numpy(),
-            }
-        )
+                fired.append((m, t, e, u))
+        columns = list(zip(*fired)) if fired else [[], [], [], []]
+        types = {"market_id": object, "ts_us": "int64", "event_id": "int64", "usd": "float64"}
+        return pd.DataFrame({n: pd.Series(c, dtype=d) for (n, d), c in zip(types.items(), columns)})
 
-    return ready.groupBy("market_id", "part").applyInPandas(
+    return ready.groupBy("part", "batch").applyInPandas(
         replay, "market_id string, ts_us long, event_id long, usd double"
     )
 

@@ -130,6 +130,7 @@ def pattern_factors(
     """
     from tapewatch.operators.joins import same_time_bets, similar_stakes
 
+    observations = cut_lineage(observations)
     first = observations.groupBy("wallet").agg(F.min("ts_us").alias("first_seen_us"))
     pair = observations.groupBy("wallet", "market_id").agg(
         F.max_by(F.struct("stake", "bet_id"), F.struct("ts_us", "bet_id")).alias("_l"),
