@@ -47,7 +47,7 @@ def impact_p75(samples: DataFrame, min_samples: int = 10, min_assets: int = 3) -
     """75th-percentile price impact per asset; assets with few samples fall back to the overall value."""
     rank = F.floor(F.col("n") * 0.75)
     own = value_at_rank(samples, "asset_id", "lambda_obs", rank, "own_p75")
-    whole = value_at_rank(samples.withColumn("_all", F.lit(1)), "_all", "lambda_obs", rank, "global_p75")
+    whole = value_at_rank(samples.withColumn("_all", F.lit(1)), "_all", "lambda_obs", rank, "global_p75", one_key=True)
     assets = samples.agg(F.countDistinct("asset_id").alias("_assets")).withColumn("_all", F.lit(1))
     fallback = whole.join(assets, "_all").select(
         "_all", F.when((F.col("n") >= min_samples) & (F.col("_assets") >= min_assets), F.col("global_p75")).alias("global_p75")
@@ -224,7 +224,7 @@ def metric_snapshot(
     n = F.count(F.lit(1))
     g = since(gates, "created_us", window_us).agg(n.alias("gate_evaluated"), F.count_if(OK()).alias("gate_passed"), F.avg(F.when(OK(), F.col("ev_net"))).alias("avg_ev"), F.avg("posterior").alias("mean_posterior"))
     recent = since(samples, "ts_us", impact_us)
-    p75 = value_at_rank(recent.withColumn("_all", F.lit(1)), "_all", "lambda_obs", F.floor(F.col("n") * 0.75), "impact_p75").select(F.col("n").alias("impact_samples"), "impact_p75")
+    p75 = value_at_rank(recent.withColumn("_all", F.lit(1)), "_all", "lambda_obs", F.floor(F.col("n") * 0.75), "impact_p75", one_key=True).select(F.col("n").alias("impact_samples"), "impact_p75")
     wins = settled.agg(n.alias("paper_trades"), F.count_if(F.col("pnl") > 0).alias("paper_wins"))
     row = one_row(
         since(ticks, "ts_us", window_us).agg(n.alias("trade_ticks")), since(books, "ts_us", window_us).agg(n.alias("book_events")), g,

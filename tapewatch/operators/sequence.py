@@ -302,14 +302,16 @@ def top_per_key(df: DataFrame, keys, order: list[Column], k: int, rank: str | No
 
 
 def value_at_rank(
-    df: DataFrame, keys, value: str, rank: Column, out: str = "value_at_rank", accuracy: int = 2000
+    df: DataFrame, keys, value: str, rank: Column, out: str = "value_at_rank", accuracy: int = 2000, one_key: bool = False
 ) -> DataFrame:
     """Exact order statistic per key: the ``rank``-th (0-based, expression over ``n``) smallest value.
 
     Values are pre-counted, a mergeable quantile sketch brackets the wanted rank, and only the
     counted values inside the bracket are ordered, so no task sorts a whole key. The bracket is
-    widened by four times the sketch error on each side.
+    widened by four times the sketch error on each side. ``one_key`` says that ``keys`` is a
+    constant, so the one-row sketch is broadcast instead of shuffling all values to one task.
     """
+    small = F.broadcast if one_key else (lambda d: d)
     keys = _cols(keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     grid = [i / 200 for i in range(201)]
@@ -328,11 +330,11 @@ def value_at_rank(
         F.when(hi_i < 200, F.element_at("_grid", hi_i + 1)).alias("_hi"),
     )
     below = F.col("_lo").isNotNull() & (F.col(value) < F.col("_lo"))
-    joined = counted.join(wanted, keys)
+    joined = counted.join(small(wanted), keys)
     offset = joined.groupBy(*keys).agg(F.sum(F.when(below, F.col("_c")).otherwise(0)).alias("_below"))
     inside = joined.filter(~below & (F.col("_hi").isNull() | (F.col(value) <= F.col("_hi"))))
     w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = inside.join(offset, keys).withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
+    ranked = inside.join(small(offset), keys).withColumn("_upto", F.col("_below") + F.sum("_c").over(w))
     hit = ranked.filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
     return sketch.select(*keys, "n").join(hit.select(*keys, F.col(value).alias(out)), keys, "left")
 

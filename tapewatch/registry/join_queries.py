@@ -231,10 +231,10 @@ def _(t):
     return J.funding_pairs(takers(t), roots(t))
 
 
-@query("j20_shared_market_pairs", """WITH h AS (SELECT DISTINCT address AS wallet, market_id FROM observations WHERE ts_us >= 1706400000000000)
+@query("j20_shared_market_pairs", """WITH h AS (SELECT DISTINCT address AS wallet, market_id FROM observations)
  SELECT a.wallet AS wallet_a, b.wallet AS wallet_b, count(*) AS shared_markets FROM h a JOIN h b ON a.market_id = b.market_id AND a.wallet < b.wallet GROUP BY 1, 2 HAVING count(*) >= 2""")
 def _(t):
-    o = t.observations.filter("ts_us >= 1706400000000000").select(F.col("address").alias("wallet"), "market_id")
+    o = t.observations.select(F.col("address").alias("wallet"), "market_id")
     return J.shared_market_pairs(o)
 
 
