@@ -85,3 +85,18 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root}/v{version:012d}")
+
+
+def newest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """Number of the newest completely written version (below ``before``), or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    found = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit() and fs.exists(path(status.getPath(), "_SUCCESS")):
+            found.append(int(name[1:]))
+    return max((v for v in found if before is None or v < before), default=None)

@@ -116,20 +116,19 @@ def upsert_sink(stream: DataFrame, merge, table_root: str) -> DataFrame:
     """Run a stream into a versioned keyed table.
 
     ``merge(old_or_none, batch) -> DataFrame`` builds the next version. Each batch id writes its
-    own version folder, so a retried batch rewrites the same folder.
+    own version folder from the newest complete version below it, so a retried batch rewrites the
+    same folder and a restarted query goes on from the stored table.
     """
     from tapewatch.sources import sinks as K
 
     spark = stream.sparkSession
-    seen: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        prior = [b for b in seen if b < batch_id]
-        old = K.read_version(batch.sparkSession, table_root, prior[-1]) if prior else None
+        session = batch.sparkSession
+        prior = K.newest_version(session, table_root, before=batch_id)
+        old = None if prior is None else K.read_version(session, table_root, prior)
         K.write_version(merge(old, batch), table_root, batch_id)
-        if batch_id not in seen:
-            seen.append(batch_id)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{table_root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return K.read_version(spark, table_root, seen[-1])
+    return K.read_version(spark, table_root, K.newest_version(spark, table_root))
