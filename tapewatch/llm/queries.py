@@ -39,3 +39,11 @@ def op10_huffman_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = new_folder(docs)
     write_token_files(docs, out, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query("op5_covering_simhash")
+def op5_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
