@@ -47,3 +47,14 @@ def op5_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_decision_list")
+def op3_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.common import cut_lineage
+    from tapewatch.llm.quality import COUNTS, base_failed, kept, learn_rules, with_statistics
+
+    docs = cut_lineage(with_statistics(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False))
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    rules = learn_rules(docs.join(labels, "doc_id"))
+    return docs.select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept(rules).alias("kept"))
