@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import cut_lineage, map_batches
+from tapewatch.llm.common import broadcast_if_small, cut_lineage, map_batches
 
 MAX_BITS = 16
 CHECKPOINT_IDS = 256
@@ -242,5 +242,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
         return step
 
+    # At most one row per writing task, so it may go to every executor; decoded ids then needn't be shuffled.
+    bases = broadcast_if_small(bases)
     docs = map_batches(blocks, make, "part int, doc_id bigint, offset bigint, n_tokens bigint, token_ids binary")
     return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "token_ids")
