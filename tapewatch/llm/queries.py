@@ -58,3 +58,14 @@ def op3_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     rules = learn_rules(docs.join(labels, "doc_id"))
     return docs.select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept(rules).alias("kept"))
+
+
+@query("op2_contextual_pii")
+def op2_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.pii import KINDS, personal_spans
+
+    found = personal_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    every = F.flatten(F.array(*[F.expr(f"array_sort(filter(concat(base, added), s -> s.kind = '{k}'))") for k in KINDS]))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
