@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from tapewatch.llm.common import map_batches
 
 #: Distinct chunks and fragments that a task remembers; beyond this its memory of them starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: str.split also cuts at these separators, which are no white space to the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
 class ForcedBoundaryCodec:
-    """Encoder and decoder for a word-end BPE in the file format of the tokenizers library."""
+    """Encoder for a word-end BPE in the file format of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,11 +47,6 @@ class ForcedBoundaryCodec:
         self.inside = {a + b for token in vocab for body in [token.removesuffix(self.end) if self.end else token] for a, b in zip(body, body[1:])}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        names = vocab | self.special
-        self.tokens = np.empty(max(names.values(), default=-1) + 1, dtype=object)
-        self.tokens[:] = ""
-        for token, i in names.items():
-            self.tokens[i] = token
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # On printable ASCII the letter and digit classes are these, and byte characters are the characters themselves.
         self.plain = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[", "[").replace("]]", "]"), re.ASCII)
@@ -104,8 +99,21 @@ class ForcedBoundaryCodec:
                 out.append(got)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(self.tokens[np.frombuffer(ids, dtype="<u4")])
+
+def token_table(path: str) -> np.ndarray:
+    """Token text by id, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    names = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    tokens = np.empty(max(names.values(), default=-1) + 1, dtype=object)
+    tokens[:] = ""
+    for token, i in names.items():
+        tokens[i] = token
+    return tokens
+
+
+def decode(tokens: np.ndarray, ids: bytes) -> str:
+    return " ".join(tokens[np.frombuffer(ids, dtype="<u4")])
 
 
 @functools.lru_cache(maxsize=2)
@@ -144,10 +152,10 @@ def with_decoded(df: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataF
     df = _replaced(df, "decoded")
 
     def make():
-        codec = codec_of(tokenizer)
+        tokens = token_table(tokenizer)
 
         def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            texts = [codec.decode(x or b"") for x in batch.column(ids).to_pylist()]
+            texts = [decode(tokens, x or b"") for x in batch.column(ids).to_pylist()]
             return [pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])]
 
         return step
