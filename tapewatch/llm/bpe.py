@@ -14,15 +14,16 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tapewatch.llm.common import map_batches
+from tapewatch.llm.common import map_batches, slices
 
-#: Distinct chunks and fragments that a task remembers; beyond this its memory of them starts anew.
-REMEMBERED = 100_000
+#: Distinct chunks, and as many fragments, that a worker remembers: the first it meets, among them the frequent ones.
+REMEMBERED = 200_000
 #: str.split also cuts at these separators, which are no white space to the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -62,10 +63,9 @@ class ForcedBoundaryCodec:
     def fragment(self, text: str, final: bool) -> bytes:
         got = self.fragments.get((text, final))
         if got is None:
-            if len(self.fragments) >= REMEMBERED:
-                self.fragments.clear()
             got = np.array([t.id for t in (self.last if final else self.inner).tokenize(text)], dtype="<u4").tobytes()
-            self.fragments[text, final] = got
+            if len(self.fragments) < REMEMBERED:
+                self.fragments[text, final] = got
         return got
 
     def chunk(self, text: str) -> bytes:
@@ -92,9 +92,7 @@ class ForcedBoundaryCodec:
                 got = known.get(chunk)
                 if got is None:
                     got = self.chunk(chunk)
-                    if len(chunk) <= 64:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
+                    if len(chunk) <= 64 and len(known) < REMEMBERED:
                         known[chunk] = got
                 out.append(got)
         return b"".join(out)
@@ -137,10 +135,11 @@ def with_token_ids(df: DataFrame, tokenizer: str, text: str = "text") -> DataFra
     def make():
         codec = codec_of(tokenizer)
 
-        def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            ids = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
-            added = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            return [pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "n_tokens", "token_ids"])]
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for rows in slices(batch):
+                ids = [codec.encode(t or "") for t in rows.column(text).to_pylist()]
+                added = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*rows.schema.names, "n_tokens", "token_ids"])
 
         return step
 
@@ -154,9 +153,10 @@ def with_decoded(df: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataF
     def make():
         tokens = token_table(tokenizer)
 
-        def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            texts = [decode(tokens, x or b"") for x in batch.column(ids).to_pylist()]
-            return [pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])]
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for rows in slices(batch):
+                texts = [decode(tokens, x or b"") for x in rows.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*rows.schema.names, "decoded"])
 
         return step
 
