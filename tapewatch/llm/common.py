@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tapewatch.operators.lineage import checkpoint_folder
 
-#: Rows of a table that may be sent to every executor; one row of such tables is a few words long.
+#: Rows and bytes of a table that may be sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def new_folder(df: DataFrame) -> str:
@@ -42,9 +43,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` is counted to have at most ``rows`` rows; else a shuffled join is left to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if ``df`` is found to have at most ``rows`` rows and ``size`` bytes; else a shuffled join is left to Spark."""
+    length = F.lit(0)
+    for c in df.columns:
+        length = length + F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(length)).head()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
