@@ -91,3 +91,38 @@ def op7_positional_index(spark: SparkSession, folder: str) -> DataFrame:
 
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP6_SHARDS = [f"shard-{k:03d}" for k in range(16)]
+
+# The table is filled turn by turn: the list `free` marks the slots that no shard has claimed.
+OP6_SQL = """
+WITH RECURSIVE size AS (SELECT 1601 AS m),
+place AS (SELECT k, 'shard-' || lpad(CAST(k AS VARCHAR), 3, '0') AS shard FROM range(16) AS r(k)),
+pref AS (SELECT k, shard, ('0x' || substr(md5('offset:' || shard), 1, 15))::BIGINT % m AS o, ('0x' || substr(md5('step:' || shard), 1, 15))::BIGINT % (m - 1) + 1 AS s FROM place, size),
+ranked AS (SELECT k, list((o + s * j) % 1601 ORDER BY j) AS slots FROM pref, range(1601) AS r(j) GROUP BY k),
+fill AS (
+  SELECT 0 AS turn, CAST(-1 AS BIGINT) AS slot, list_transform(range(1601), lambda x: true) AS free
+  UNION ALL
+  SELECT turn + 1, c, list_concat(free[1 : c], [false], free[c + 2 :])
+  FROM (SELECT turn, free, list_filter(slots, lambda x: free[x + 1])[1] AS c FROM fill JOIN ranked ON k = turn % 16 WHERE turn < 1601)
+)
+SELECT d.doc_id, h.slot, p.shard
+FROM documents d, LATERAL (SELECT ('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 15))::BIGINT % 1601 AS slot) h
+JOIN (SELECT slot, (turn - 1) % 16 AS k FROM fill WHERE turn > 0) f ON f.slot = h.slot JOIN place p USING (k)
+"""
+
+
+@query("op6_lookup_sharding", OP6_SQL)
+def op6_lookup_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.sharding import place
+
+    return place(table(spark, folder, "documents").select("doc_id"), OP6_SHARDS).select("doc_id", "slot", "shard")
+
+
+@query("op9_secret_forest")
+def op9_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.secrets import scan
+
+    found = scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "start", F.length("candidate").cast("bigint").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "times", "score", "secret")
