@@ -126,3 +126,28 @@ def op9_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
 
     found = scan(table(spark, folder, "documents"))
     return found.select("doc_id", "start", F.length("candidate").cast("bigint").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "times", "score", "secret")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS winner FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN winner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN winner <> page_id THEN winner END AS refers_to FROM w
+"""
+
+
+@query("op1_warc_chain", OP1_SQL)
+def op1_warc_chain(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.warc import read_archives, write_archives
+
+    pages = table(spark, folder, "pages")
+    out = new_folder(pages)
+    write_archives(pages, out)
+    read = read_archives(spark, out)
+    response = F.col("type") == "response"
+    return read.select(
+        F.col("record_id").cast("bigint").alias("page_id"),
+        F.when(response, F.col("length")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+        F.when(response, F.col("digest")).otherwise(F.col("declared_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
