@@ -45,9 +45,9 @@ def benchmark_postings(items: DataFrame, item_id: str = "item_id", text: str = "
     return cut_lineage(exploded.join(vocabulary, "word").drop("word")), vocabulary
 
 
-def training_postings(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index ``row, doc_id, pos, term``, written once; ``doc_id`` is only in the posting of a text's length."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.array_append(words(F.col(text)), "").alias("words"))
+def training_postings(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
+    """The index ``row, doc_id, pos, term``, written once; ``doc_id`` is only in the posting of a text's length. ``row`` may give stored row numbers."""
+    rows = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(doc_id).alias("doc_id"), F.array_append(words(F.col(text)), "").alias("words"))
     each = rows.select("row", "doc_id", F.posexplode("words").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
     found = each.join(broadcast_if_small(vocabulary), "word")
     return cut_lineage(found.select("row", F.when(F.col("term") == LENGTH, F.col("doc_id")).alias("doc_id"), "pos", "term"), compression="zstd")
@@ -94,14 +94,14 @@ def proximity_matches(index: DataFrame, postings: DataFrame, window: int = WINDO
     return near.groupBy("row", "item").agg(F.min("gap").alias("gap")).join(postings.select("item", "item_id").distinct(), "item").select("row", "item", "item_id", "gap")
 
 
-def build_index(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     postings, vocabulary = benchmark_postings(items, item_id, item_text)
-    return training_postings(docs, vocabulary, doc_id, text), postings
+    return training_postings(docs, vocabulary, doc_id, text, row), postings
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, row: Column | None = None) -> DataFrame:
     """``row, doc_id, n_words, n_hit, items`` for every row of ``docs``: words inside any occurrence of a window, and the sorted ids of the items concerned."""
-    index, postings = build_index(docs, items, doc_id, text, item_id, item_text)
+    index, postings = build_index(docs, items, doc_id, text, item_id, item_text, row)
     counts = index.filter(F.col("term") != LENGTH).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     places = cut_lineage(anchors(postings, counts, window))
     found = cut_lineage(phrase_matches(index, postings, places, window))
@@ -111,3 +111,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     listed = found.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     texts = index.filter(F.col("term") == LENGTH).select("row", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
     return texts.join(hit.join(listed, "row"), "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, keep: bool, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with hits (``keep``), or those without, with their columns."""
+    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that numbers stay what they are
+    found = contamination(numbered, items, doc_id, text, item_id, item_text, window, F.col("_row")).filter("n_hit > 0").select(F.col("row").alias("_row"))
+    return numbered.join(broadcast_if_small(cut_lineage(found)), "_row", "left_semi" if keep else "left_anti").select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import cut_lineage, map_batches
+from tapewatch.llm.common import broadcast_if_small, cut_lineage, map_batches
 from tapewatch.llm.components import components
 
 RADIUS = 3
@@ -162,3 +162,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     # One row per distinct fingerprint, written so that the join below can split a fingerprint that many rows share.
     known = cut_lineage(classes.join(named, "bits", "left").select("bits", F.coalesce("low", "least").alias("component_id")))
     return docs.join(known, "bits").select("doc_id", "bits", "component_id")
+
+
+def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of ``df`` per component, with its columns: the row of the smallest id, of repeated rows the first; rows without id stand for themselves only
+    if their component has no other.
+    """
+    columns = {f"_c{k}": c for k, c in enumerate(df.columns)}
+    named = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()], F.monotonically_increasing_id().alias("_row"))
+    rows = cut_lineage(named)  # written, so that numbers stay what they are
+    own = {c: k for k, c in columns.items()}
+    # Components are found for row numbers in the order of ids, so that the smallest number of a component is the row that stays.
+    ranked = rows.select(F.struct(F.col(own[doc_id]).isNull().alias("null"), F.col(own[doc_id]).alias("id"), F.col("_row").alias("row")).alias("order"), F.col(own[text]).alias("_text"))
+    found = near_duplicates(ranked, "order", "_text", **options)
+    kept = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row")))
+    return rows.join(broadcast_if_small(kept), "_row", "left_semi").select(*[F.col(k).alias(c) for k, c in columns.items()])
