@@ -160,5 +160,5 @@ def op8_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(True))
     labels = table(spark, folder, "labels").filter(~held_out("doc_id")).select("doc_id", "toxic")
-    scores = toxicity(docs, docs.join(labels, "doc_id"))
+    scores = toxicity(docs, labels)
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

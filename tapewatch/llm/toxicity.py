@@ -265,15 +265,15 @@ class Scorer:
         return 1 - (1 - worst) * (1 - second)
 
 
-def toxicity(df: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, restored: bool = False) -> DataFrame:
-    """``doc_id, score`` of every row of ``df`` (and ``restored``, the text that was scored), learned from the rows ``labelled`` (id, text, label)."""
+def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, restored: bool = False) -> DataFrame:
+    """``doc_id, score`` of every row of ``df`` (and ``restored``, the text that was scored), learned from the texts that ``labels`` (id, label) names."""
     chars = character_counts(df, text).orderBy("trigram").toArrow()  # at most SYMBOLS**3 rows
     model = CharacterModel(chars["trigram"].to_numpy(), chars["n"].to_numpy())
-    known = labelled.filter(F.col(label).isNotNull())
-    # Ids are chosen first, so that only chosen texts are sorted or moved.
-    chosen = known.select(F.xxhash64(F.col(doc_id)).alias("_hash")).orderBy("_hash").limit(max_labelled).agg(F.max("_hash")).head()[0]
-    sample = known.filter(F.xxhash64(F.col(doc_id)) <= F.lit(chosen)) if chosen is not None else known
-    features, share = learn_features(cut_lineage(sample.select(text, label)), model, text, label)
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
+    chosen = cut_lineage(known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_labelled))
+    # At most max_labelled ids and labels, so texts needn't be moved to find theirs.
+    sample = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    features, share = learn_features(cut_lineage(sample.select("_text", "_label")), model, "_text", "_label")
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def make():
