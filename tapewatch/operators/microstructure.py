@@ -289,7 +289,6 @@ def flow_shocks(
             "n_events": F.count(F.lit(1)),
             "total_usd": F.sum("notional"),
             "ofi": F.sum(F.col("notional") * signed()),
-            "first_us": F.min("ts_us"),
         },
         width=slice_us,
     )
@@ -298,6 +297,9 @@ def flow_shocks(
         & (F.col("total_usd") >= min_notional)
         & (F.abs("ofi") / F.greatest("total_usd", F.lit(1e-12)) >= imbalance)
     )
+    # The window's first trade: the earliest one at or after its start, an as-of lookup on negated times.
+    starts = kept.select("coin", (-F.col("ts_us")).alias("_back"), F.col("ts_us").alias("first_us"))
+    hits = as_of(hits.withColumn("_from", F.lit(window_us) - F.col("ts_us")), starts, "coin", "_from", "_back", ["first_us"], "event_id", slice_us).drop("_from")
     hits = cut_lineage(hits)
     after = as_of(hits, lead_quotes.withColumnRenamed("mid", "price_after"), "coin", "ts_us", "ts_us", ["price_after"], "event_id", slice_us)
     both = as_of(after, lead_quotes.withColumnRenamed("mid", "price_before"), "coin", "first_us", "ts_us", ["price_before"], "event_id", slice_us)

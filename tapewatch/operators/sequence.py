@@ -9,12 +9,10 @@ not by the number of input rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-SLICE = "_slice"
+SLICE, KEY = "_slice", "_key"
 US = 1_000_000
 HOUR = 3600 * US
 DAY = 24 * HOUR
@@ -24,40 +22,57 @@ def _cols(names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def with_slice(df: DataFrame, pos: str, width: float) -> DataFrame:
-    """Add the slice number ``floor(pos / width)``."""
-    return df.withColumn(SLICE, F.floor(F.col(pos) / F.lit(width)).cast("long"))
+#: Rows of one key that a slice should hold at most; more than these fit in memory beside each other in one task.
+SLICE_ROWS = 500_000
 
 
-def _attach(sliced: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Join one carry row per (key, slice) onto the sliced rows; null keys match null keys."""
-    right = carry.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(SLICE).alias("_kslice"),
-        "_carry",
-    )
-    cond = F.col(SLICE) == F.col("_kslice")
-    for i, k in enumerate(keys):
-        cond = cond & sliced[k].eqNullSafe(F.col(f"_k{i}"))
-    return sliced.join(right, cond, "left").drop("_kslice", *[f"_k{i}" for i in range(len(keys))])
+def fit_width(df: DataFrame, keys, pos: str, width: int, rows: int = SLICE_ROWS) -> int:
+    """A slice width of at most ``width`` for which no (key, slice) of ``df`` holds more than ``rows`` rows.
+
+    Rows are counted per key and slice (one column-pruned pass with map-side sums); while the fullest slice holds too many, the width
+    shrinks by the excess and only the slices that are too full are counted again. Rows of one position cannot be parted, so the
+    width ends at 1. Call it on source rows, before operators that would be evaluated again.
+    """
+    keys, rest = _cols(keys), df.select(*_cols(keys), pos)
+    while width > 1:
+        cells = rest.groupBy(*keys, F.floor(F.col(pos) / F.lit(width)).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+        fullest = cells.agg(F.max("_n")).head()[0] or 0
+        if fullest <= rows:
+            break
+        width = max(1, int(width * rows / fullest / 2))
+    return width
+
+
+def with_slice(df: DataFrame, keys, pos: str, width: float) -> DataFrame:
+    """Add the slice number ``floor(pos / width)`` and the keys as one struct.
+
+    Struct keys compare null with null as equal, so that a plain equality join on (key, slice) reuses the rows' partitioning and
+    sorting for null keys too.
+    """
+    return df.withColumn(KEY, F.struct(*_cols(keys))).withColumn(SLICE, F.floor(F.col(pos) / F.lit(width)).cast("long"))
+
+
+def _attach(sliced: DataFrame, carry: DataFrame) -> DataFrame:
+    """Join one carry row per (key, slice) onto the sliced rows, which stay where the window put them."""
+    return sliced.join(carry.select(KEY, SLICE, "_carry"), [KEY, SLICE], "left")
 
 
 def previous_row(
     df: DataFrame, keys, order, pos: str, width: float, values: dict[str, Column]
 ) -> DataFrame:
     """``lag`` over each key: adds ``values`` (name -> expression) taken from the preceding row."""
-    keys, order = _cols(keys), _cols(order)
-    sliced = with_slice(df, pos, width)
+    order = _cols(order)
+    sliced = with_slice(df, keys, pos, width)
     payload = F.struct(*[v.alias(n) for n, v in values.items()])
-    tails = sliced.groupBy(*keys, SLICE).agg(
+    tails = sliced.groupBy(KEY, SLICE).agg(
         F.max_by(payload, F.struct(*order)).alias("_tail")
     )
     carry = tails.select(
-        *keys, SLICE, F.lag("_tail").over(W.partitionBy(*keys).orderBy(SLICE)).alias("_carry")
+        KEY, SLICE, F.lag("_tail").over(W.partitionBy(KEY).orderBy(SLICE)).alias("_carry")
     )
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
+    inside = W.partitionBy(KEY, SLICE).orderBy(*order)
     out = sliced.withColumn("_own", F.lag(payload).over(inside))
-    out = _attach(out, carry, keys).withColumn("_prev", F.coalesce("_own", "_carry"))
+    out = _attach(out, carry).withColumn("_prev", F.coalesce("_own", "_carry"))
     return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values])
 
 
@@ -84,13 +99,13 @@ def running(
     Kinds: ``sum``, ``count`` (of non-null values), ``max``, ``min``, ``last`` (latest non-null
     value so far) and ``lag`` (value of the preceding row).
     """
-    keys, order = _cols(keys), _cols(order)
-    sliced = with_slice(df, pos, width)
+    order = _cols(order)
+    sliced = with_slice(df, keys, pos, width)
     for i, (_, (kind, expr)) in enumerate(aggs.items()):
         sliced = sliced.withColumn(f"_v{i}", F.struct(expr.alias("v")) if kind == "lag" else expr)
     per_slice, heads, own = [], [], []
-    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(KEY).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(KEY, SLICE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     for i, (name, (kind, _)) in enumerate(aggs.items()):
         v, s = F.col(f"_v{i}"), F.col(f"_s{i}")
         if kind == "last":
@@ -101,19 +116,19 @@ def running(
         elif kind == "lag":
             per_slice.append(F.max_by(v, F.struct(*order)).alias(f"_s{i}"))
             heads.append(F.last(s).over(before).alias(name))
-            own.append(F.lag(v).over(W.partitionBy(*keys, SLICE).orderBy(*order)))
+            own.append(F.lag(v).over(W.partitionBy(KEY, SLICE).orderBy(*order)))
         else:
             fold = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind]
             merge = F.sum if kind in ("sum", "count") else fold
             per_slice.append(fold(v).alias(f"_s{i}"))
             heads.append(merge(s).over(before).alias(name))
             own.append(F.coalesce(F.sum(v).over(inside), F.lit(0)) if kind == "sum" else fold(v).over(inside))
-    carry = sliced.groupBy(*keys, SLICE).agg(*per_slice)
-    carry = carry.select(*keys, SLICE, F.struct(*heads).alias("_carry"))
+    carry = sliced.groupBy(KEY, SLICE).agg(*per_slice)
+    carry = carry.select(KEY, SLICE, F.struct(*heads).alias("_carry"))
     out = sliced
     for i, expr in enumerate(own):
         out = out.withColumn(f"_o{i}", expr)
-    out = _attach(out, carry, keys)
+    out = _attach(out, carry)
     return out.select(
         *[c for c in df.columns if c not in aggs],
         *[
@@ -138,12 +153,12 @@ def islands(
     ``previous`` names the values taken from the preceding row; ``starts`` is a condition over
     the row and those values that opens a new island (the first row of a key always does).
     """
-    keys, order = _cols(keys), _cols(order)
-    sliced = with_slice(df, pos, width)
+    order = _cols(order)
+    sliced = with_slice(df, keys, pos, width)
     payload = F.struct(*[v.alias(n) for n, v in previous.items()])
     opens = F.coalesce(starts, F.lit(True))
     here = F.struct(*order)
-    inside = W.partitionBy(*keys, SLICE).orderBy(*order)
+    inside = W.partitionBy(KEY, SLICE).orderBy(*order)
     marked = (
         sliced.withColumn("_p", F.lag(payload).over(inside))
         .withColumn("_inner", F.col("_p").isNotNull())
@@ -152,17 +167,16 @@ def islands(
         .select(*sliced.columns, "_mark")
     )
     # Per slice: its first row, the values its last row hands on, and its last inner start.
-    summary = marked.groupBy(*keys, SLICE).agg(
+    summary = marked.groupBy(KEY, SLICE).agg(
         F.min_by(F.struct(*df.columns), here).alias("_first"),
         F.max_by(payload, here).alias("_tail"),
         F.max("_mark").alias("_last_mark"),
     )
-    slices = W.partitionBy(*keys).orderBy(SLICE)
+    slices = W.partitionBy(KEY).orderBy(SLICE)
     bridged = (
         summary.withColumn("_p", F.lag("_tail").over(slices))
-        .select(*[k for k in keys], SLICE, "_last_mark", "_first", "_p")
         .select(
-            SLICE, "_last_mark",
+            KEY, SLICE, "_last_mark",
             F.col("_p").isNull().alias("_opening"),
             *[F.col(f"_first.{c}").alias(c) for c in df.columns],
             *[F.col(f"_p.{n}").alias(n) for n in previous],
@@ -171,10 +185,10 @@ def islands(
     )
     before = slices.rowsBetween(W.unboundedPreceding, -1)
     carried = F.last(F.coalesce("_last_mark", "_head"), ignorenulls=True).over(before)
-    carry = bridged.select(*keys, SLICE, F.coalesce(F.col("_head"), carried).alias("_carry"))
+    carry = bridged.select(KEY, SLICE, F.coalesce(F.col("_head"), carried).alias("_carry"))
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     out = marked.withColumn("_own", F.last("_mark", ignorenulls=True).over(upto))
-    out = _attach(out, carry, keys)
+    out = _attach(out, carry)
     return out.select(*df.columns, F.coalesce("_own", "_carry").alias(name))
 
 
@@ -186,11 +200,13 @@ def range_frame(
     aggs: dict[str, Column],
     width: int | None = None,
 ) -> DataFrame:
-    """Aggregates over rows with ``pos`` in ``[current - before, current]`` of the same key.
+    """Sums and counts over rows with ``pos`` in ``[current - before, current]`` of the same key.
 
     A row lying within ``before`` of its slice's end is copied once into the next slice, so
     each slice can be evaluated alone; copies are dropped afterwards. Rows of equal ``pos``
-    count together.
+    count together. A frame is the difference of two growing frames, each of which Spark adds up once
+    per slice, so the cost does not depend on how many rows a frame holds. What rounding leaves of a
+    sum that is gone from the frame counts as zero.
     """
     keys = _cols(keys)
     width = max(width or 8 * before, before, 1)
@@ -200,10 +216,13 @@ def range_frame(
         df.withColumn("_home", first)
         .withColumn(SLICE, F.explode(F.sequence(first, last)))
     )
-    frame = W.partitionBy(*keys, SLICE).orderBy(pos).rangeBetween(-before, 0)
-    out = copies
-    for name, agg in aggs.items():
-        out = out.withColumn(name, agg.over(frame))
+    by_pos = W.partitionBy(*keys, SLICE).orderBy(pos)
+    until, gone = by_pos.rangeBetween(W.unboundedPreceding, 0), by_pos.rangeBetween(W.unboundedPreceding, -before - 1)
+    out = copies.select("*", *[a.over(until).alias(f"_u{i}") for i, a in enumerate(aggs.values())], *[a.over(gone).alias(f"_g{i}") for i, a in enumerate(aggs.values())])
+    for i, name in enumerate(aggs):
+        rest = F.col(f"_u{i}") - F.coalesce(F.col(f"_g{i}"), F.lit(0))
+        out = out.withColumn(name, F.when(F.abs(rest) <= F.abs(F.col(f"_u{i}")) * 1e-12, rest - rest).otherwise(rest))
+    out = out.drop(*[f"_{c}{i}" for i in range(len(aggs)) for c in "ug"])
     return out.filter(F.col("_home") == F.col(SLICE)).drop("_home", SLICE)
 
 
@@ -357,11 +376,3 @@ def near_pairs(
         .filter((F.abs(F.col(left_pos) - F.col(right_pos)) <= within) & residual)
         .drop("_bucket")
     )
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
