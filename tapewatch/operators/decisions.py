@@ -24,8 +24,8 @@ def posterior(prior: Column, z: Column, k_eff: Column, z_threshold: float = -4.0
 
 
 def mean_log_odds(score: Column, extra: Column) -> Column:
-    """Aggregate: geometric-mean likelihood ratio of source scores, clamped to [0.1, 20]."""
-    n = F.count(score) + extra
+    """Aggregate: geometric-mean likelihood ratio of source scores, clamped to [0.1, 20]; scores are held off 0 and 1."""
+    n, score = F.count(score) + extra, clip(score, 1e-6, 1 - 1e-6)
     return F.when(n > 0, clip(F.exp(F.sum(F.log(score) - F.log(1.0 - score)) / n), 0.1, 20.0))
 
 

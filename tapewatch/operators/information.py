@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.operators.sequence import top_per_key
+from tapewatch.operators.sequence import numbered, top_per_key
 
 
 def latest_series(rows: DataFrame, key: str, order: list[str], value: str, length: int) -> DataFrame:
@@ -73,14 +73,20 @@ def paired_correlations(series: DataFrame, key: str, pairs: DataFrame, min_lengt
     return j.groupBy("market_a", "market_b").agg(F.count(F.lit(1)).alias("n"), F.corr("va", "vb").alias("rho")).filter(F.col("n") >= min_length)
 
 
-def transfer_entropy(pairs: DataFrame, key: list[str], threshold: float = 0.05) -> DataFrame:
+def numbered_back(rows: DataFrame, keys: list[str], order: list[str], pos: str, width: int) -> DataFrame:
+    """Add ``back``: 1 for the newest row of each key, 2 for the one before it, and so on, over all rows."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return numbered(rows, keys, order, pos, width, "_rn").join(counted, keys).withColumn("back", F.col("_n") - F.col("_rn") + 1).drop("_n", "_rn")
+
+
+def transfer_entropy(pairs: DataFrame, key: list[str], threshold: float = 0.05, min_ticks: int = 50) -> DataFrame:
     """Lag-one transfer entropy X to Y in bits per key, from equal-width bins.
 
-    ``pairs`` carries ``key, idx (0-based), x, y`` with a bounded number of rows per key. Each of
+    ``pairs`` carries ``key, idx, x, y`` with consecutive ``idx``; keys of fewer than ``min_ticks`` pairs have no result. Each of
     the three series (Y now, Y before, X before) is binned over its own range.
     """
-    n = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    now = pairs.filter("idx > 0").select(*key, (F.col("idx") - 1).alias("idx"), F.col("y").alias("yt"))
+    n = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_ticks)
+    now = pairs.select(*key, (F.col("idx") - 1).alias("idx"), F.col("y").alias("yt"))
     rows = now.join(pairs.select(*key, "idx", F.col("y").alias("yl"), F.col("x").alias("xl")), [*key, "idx"])
     ranges = rows.groupBy(*key).agg(*[f(v).alias(f"{v}_{s}") for v in ("yt", "yl", "xl") for f, s in ((F.min, "lo"), (F.max, "hi"))])
     j = rows.join(ranges, key).join(n, key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.functions import fixed as X
 from tapewatch.operators.lineage import cut_lineage
-from tapewatch.operators.sequence import DAY, HOUR, US, near_pairs, running, top_per_key
+from tapewatch.operators.sequence import DAY, HOUR, US, as_of, islands, near_pairs, running, top_per_key
 
 
 def with_link(observations: DataFrame, links: DataFrame, tier: str | None = None) -> DataFrame:
@@ -182,6 +182,31 @@ def consensus_sources(
     return hits.groupBy("signal_id", "wallet").agg(F.max("score").alias("score"))
 
 
+def consensus_totals(
+    signals: DataFrame, observations: DataFrame, scores: DataFrame, members: DataFrame, lookback_us: int, min_score: float = 0.55, slice_us: int = DAY
+) -> DataFrame:
+    """Number of qualified wallets of each signal (as ``consensus_sources``) and the sum of their log-odds, without forming pairs.
+
+    A wallet counts for a market from a sighting until the lookback after it. Overlapping spells merge into intervals; an interval adds the wallet at its
+    start and takes it away after its end, and a signal reads the running totals as of its time.
+    """
+    rolling = members.filter("series_type = 'ROLLING_WINDOW'").select("series_id", "market_id")
+    # Sibling markets of a rolling series act as one.
+    grouped = lambda df: df.join(rolling, "market_id", "left").withColumn("_group", F.coalesce("series_id", "market_id")).drop("series_id")
+    fit = scores.filter((F.col("score") >= min_score) & (F.col("wallet") != X.ZERO_ADDRESS)).select("wallet", "score")
+    seen = grouped(observations.select("market_id", "ts_us", F.col("address").alias("wallet")).join(fit, "wallet")).select("_group", "wallet", "ts_us", "score").distinct()
+    spells = islands(seen, ["_group", "wallet"], ["ts_us"], "ts_us", slice_us, {"_t": F.col("ts_us")}, F.col("ts_us") - F.col("_t") > lookback_us, "_spell")
+    spells = spells.groupBy("_group", "wallet", "_spell").agg(F.min("ts_us").alias("_in"), (F.max("ts_us") + lookback_us + 1).alias("_out"), F.max("score").alias("score"))
+    odds = F.log("score") - F.log(1.0 - F.col("score"))
+    steps = spells.select("_group", F.inline(F.array(F.struct(F.col("_in").alias("_at"), F.lit(1).alias("_n"), odds.alias("_lo")), F.struct(F.col("_out").alias("_at"), F.lit(-1).alias("_n"), (-odds).alias("_lo")))))
+    steps = steps.groupBy("_group", "_at").agg(F.sum("_n").alias("_n"), F.sum("_lo").alias("_lo"))
+    totals = running(steps, "_group", ["_at"], "_at", slice_us, {"n_sources": ("sum", F.col("_n")), "log_odds": ("sum", F.col("_lo"))})
+    asked = grouped(signals.select("signal_id", "market_id", "signal_us"))
+    found = as_of(asked, totals, "_group", "signal_us", "_at", ["n_sources", "log_odds"], "signal_id", slice_us)
+    none = F.coalesce("n_sources", F.lit(0)) == 0
+    return found.select("signal_id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.when(none, 0.0).otherwise(F.col("log_odds")).alias("log_odds"))
+
+
 def consensus_ready(observations: DataFrame, entities: DataFrame, since_us: int, min_wallets: int, min_score: float = 0.55) -> DataFrame:
     """Markets with enough distinct qualified wallets since a time."""
     fit = entities.filter(F.col("insider_score") >= min_score).select(F.lower("wallet").alias("_w")).distinct()
@@ -425,7 +450,7 @@ def arbitrage_legs(asks: DataFrame, max_total: float = 0.97, min_depth: float =
         both.filter(fresh & F.col("yes.p").isNotNull() & F.col("no.p").isNotNull())
         .select("market_id", "event_id", "ts_us", F.col("yes.p").alias("yes_price"), F.col("no.p").alias("no_price"), total.alias("total"),
                 F.least("yes.s", "no.s").alias("depth"))
-        .filter((F.col("total") < max_total) & (F.col("depth") >= min_depth))
+        .filter((F.round("total", 6) < max_total) & (F.col("depth") >= min_depth))
         .withColumn("profit_per_100", F.round((1.0 - F.col("total")) * 100, 4))
     )
 

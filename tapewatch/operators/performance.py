@@ -50,13 +50,13 @@ def performance(settled: DataFrame, key: str, slice_us: int = 30 * DAY) -> DataF
     )
 
 
-def backtest_summary(trades: DataFrame, key: str, capital: float = 2000.0, recent: int = 30, minimum: int = 10) -> DataFrame:
-    """Sharpe, drawdown on capital and profit of each group's latest trades (a bounded window per group)."""
+def backtest_summary(trades: DataFrame, key: str, capital: float = 2000.0, recent: int | None = None, minimum: int = 10, slice_us: int = 180 * DAY) -> DataFrame:
+    """Sharpe, drawdown on capital and profit of each group's trades, or of its ``recent`` latest ones."""
     enough = trades.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select(key)
-    last = top_per_key(trades, key, [F.desc("closed_us"), F.desc("trade_id")], recent).join(enough, key, "left_semi")
-    w = W.partitionBy(key).orderBy("closed_us", "trade_id").rowsBetween(W.unboundedPreceding, 0)
-    curve = last.withColumn("_e", capital + F.sum("pnl").over(w))
-    curve = curve.withColumn("_p", F.greatest(F.lit(capital), F.max("_e").over(w)))
+    last = top_per_key(trades, key, [F.desc("closed_us"), F.desc("trade_id")], recent) if recent else trades
+    rows, order = last.join(enough, key, "left_semi").select(key, "closed_us", "trade_id", "pnl"), ["closed_us", "trade_id"]
+    curve = running(rows, key, order, "closed_us", slice_us, {"_e": ("sum", F.col("pnl"))}).withColumn("_e", capital + F.col("_e"))
+    curve = running(curve, key, order, "closed_us", slice_us, {"_p": ("max", F.col("_e"))}).withColumn("_p", F.greatest(F.lit(capital), F.col("_p")))
     return curve.groupBy(key).agg(
         F.count(F.lit(1)).alias("trades"),
         sharpe(F.count(F.lit(1)), F.avg("pnl"), F.stddev_pop("pnl")).alias("sharpe"),

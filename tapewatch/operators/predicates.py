@@ -164,7 +164,7 @@ def market_kind(
 
 def quote_price(bid: Column, ask: Column, last: Column, max_spread: float = 0.10) -> Column:
     """Mid of a tight book, else a last trade that is not the 0.5 placeholder, else null."""
-    return F.when(ask - bid <= max_spread, (bid + ask) / 2).when(last.isNotNull() & (last != 0.5), last)
+    return F.when(F.round(ask - bid, 6) <= max_spread, (bid + ask) / 2).when(last.isNotNull() & (last != 0.5), last)
 
 
 def time_weight(end_us: Column, as_of_us: int) -> Column:

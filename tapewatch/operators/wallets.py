@@ -163,19 +163,21 @@ def pattern_factors(
 
 
 def whale_scores(
-    trades: DataFrame, depths: DataFrame, history_rows: int = 20, multiplier: float = 3.0, threshold: float = 2.0, min_usd: dict | None = None
+    trades: DataFrame, depths: DataFrame, history_rows: int | None = None, multiplier: float = 3.0, threshold: float = 2.0, min_usd: dict | None = None
 ) -> DataFrame:
     """Suspicion score 0 to 10 of each large trade with flags; keeps those reaching ``threshold``.
 
     ``trades`` carries ``tier``; ``depths`` the book value per market. Market averages and wallet
-    histories are aggregated before they are joined back.
+    histories are aggregated before they are joined back; ``history_rows`` keeps only the newest rows of a history.
     """
     c = F.col
     usd = c("size") * c("price")
     sized = trades.withColumn("size_usd", usd)
     averages = sized.groupBy("market_id").agg(F.avg("size_usd").alias("market_avg"))
-    latest = top_per_key(trades.select("wallet", "market_id", "ts_us", "event_id"), "wallet", [F.desc("ts_us"), F.desc("event_id")], history_rows)
-    history = latest.groupBy("wallet").agg(F.count(F.lit(1)).alias("hist_n"), F.countDistinct("market_id").alias("hist_markets"))
+    rows = trades.select("wallet", "market_id", "ts_us", "event_id")
+    latest = top_per_key(rows, "wallet", [F.desc("ts_us"), F.desc("event_id")], history_rows) if history_rows else rows
+    # Two levels keep the distinct markets of a hot wallet spread over tasks.
+    history = latest.groupBy("wallet", "market_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("wallet").agg(F.sum("_n").alias("hist_n"), F.count(F.lit(1)).alias("hist_markets"))
     floor = S.lookup(min_usd or X.WHALE_MIN_USD, c("tier"), X.WHALE_MIN_USD_DEFAULT)
     j = (
         sized.filter(c("size_usd") >= floor).join(averages, "market_id").join(history, "wallet")
@@ -247,11 +249,12 @@ def alerts(
     l3 = week.filter((F.col("_k") >= 5) & (F.col("_b") > 0) & (ratio >= sell_ratio)).withColumn(
         "trigger", F.concat(F.lit("L3_WINRATE "), whole(ratio * 100), F.lit("% 7d=$"), whole(F.col("_t")))
     )
-    cols = ["market_id", "wallet", "trigger", "event_id", "ts_us", "usd"]
+    cols = ["market_id", "wallet", "outcome", "trigger", "event_id", "ts_us", "usd"]
     every = l1.select(cols).unionByName(l2.select(cols)).unionByName(l3.select(cols))
-    keyed = every.withColumn("trigger", F.substring("trigger", 1, 25))
-    first = keyed.groupBy("market_id", "wallet", "trigger").agg(F.min(F.struct("ts_us", "event_id", "usd")).alias("f"))
-    return first.select("market_id", "wallet", "trigger", "f.*")
+    # The first 25 characters tell alerts apart; the alert itself keeps its full text.
+    keyed = every.withColumn("_same", F.substring("trigger", 1, 25))
+    first = keyed.groupBy("market_id", "wallet", "_same").agg(F.min(F.struct("ts_us", "event_id", "trigger", "outcome", "usd")).alias("f"))
+    return first.select("market_id", "wallet", "f.*")
 
 
 def replay_positions(fills: DataFrame, slice_us: int = DAY) -> DataFrame:
@@ -292,7 +295,7 @@ def series_positions(trades: DataFrame, exits: DataFrame) -> DataFrame:
     )
     out = pos.join(exits.select("wallet", "slug", "sell_ratio", "exit_prob"), ["wallet", "slug"], "left")
     left = F.col("total_size") * (1 - F.col("sell_ratio"))
-    status = F.when(F.col("sell_ratio").isNull(), "OPEN").when(1 - F.col("sell_ratio") < 0.10, "CLOSED").otherwise("PARTIALLY_CLOSED")
+    status = F.when(F.col("sell_ratio").isNull(), "OPEN").when(F.round(1 - F.col("sell_ratio"), 6) < 0.10, "CLOSED").otherwise("PARTIALLY_CLOSED")
     return out.withColumn("position_status", status).withColumn("remaining_size", F.coalesce(left, "total_size"))
 
 

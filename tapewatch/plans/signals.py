@@ -24,14 +24,12 @@ def signal_decisions(
     """One execution row per signal whose |z| reaches ``min_z``.
 
     ``signals`` carries ``signal_id, market_id, tier, z, wallet, bid, ask, last_price, end_us,
-    signal_us, te_significant``; ``sources`` the qualified wallets per signal with their score.
+    signal_us, te_significant``; ``sources`` the number of qualified wallets per signal and the sum of their log-odds.
     The signals table is the only large input; sources and positions join on their keys.
     """
     c = F.col
     strong = signals.filter(F.abs("z") >= min_z)
-    grouped = sources.groupBy("signal_id").agg(
-        F.count(F.lit(1)).alias("n_sources"), F.sum(F.log("score") - F.log(1.0 - c("score"))).alias("_log_odds")
-    )
+    grouped = sources.select("signal_id", "n_sources", F.col("log_odds").alias("_log_odds"))
     held = positions.select("wallet", "market_id", F.col("avg_entry_price").alias("prev_entry"))
     j = (
         strong.join(grouped, "signal_id", "left").join(held, ["wallet", "market_id"], "left")

@@ -295,7 +295,7 @@ LEGS_SQL = f"""asks AS (SELECT event_id, market_id, ts_us, outcome, price AS ask
 
 def arbs(t):
     asks = t.trades.select("event_id", "market_id", "ts_us", "outcome", F.col("price").alias("ask"), (F.col("size") * 10).alias("ask_size"))
-    return J.arbitrage_legs(asks, max_total=0.9699999, slice_us=2 * DAY)
+    return J.arbitrage_legs(asks, max_total=0.97, slice_us=2 * DAY)
 
 
 @query("j26_arbitrage_legs", f"WITH {LEGS_SQL} SELECT * FROM arbs")

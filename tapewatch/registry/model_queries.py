@@ -70,32 +70,34 @@ def _(t):
     return RK.max_abs_rho(edges(t), peers).withColumn("max_rho", F.round("max_rho", 6))
 
 
+TE_KEY = "market_id, lead, w"
+TE_SPAN = 31 * DAY
+
+
 def te_bin(v):
     return f"CASE WHEN max({v}) OVER g > min({v}) OVER g THEN least(floor(({v} - min({v}) OVER g) / (max({v}) OVER g - min({v}) OVER g) * bins + 1e-9), bins - 1) ELSE 0 END"
 
 
 def h_sql(cols, name):
-    return f"{name} AS (SELECT market_id, w, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS {name} FROM (SELECT market_id, w, count(*) AS c FROM bb GROUP BY market_id, w, {cols}) GROUP BY 1, 2)"
+    return f"{name} AS (SELECT {TE_KEY}, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS {name} FROM (SELECT {TE_KEY}, count(*) AS c FROM bb GROUP BY {TE_KEY}, {cols}) GROUP BY ALL)"
 
 
-@query("a23_transfer_entropy", f"""WITH y AS (SELECT market_id, ts_us // {6 * DAY} AS w, price AS y, row_number() OVER (PARTITION BY market_id, ts_us // {6 * DAY} ORDER BY ts_us, event_id) - 1 AS idx, cast(substr(market_id, 2) AS bigint) // 20 AS c FROM trades),
- x AS (SELECT cast(substr(coin, 4) AS bigint) AS c, ts_us // {6 * DAY} AS w, price AS x, row_number() OVER (PARTITION BY coin, ts_us // {6 * DAY} ORDER BY ts_us, event_id) - 1 AS idx FROM lead_trades WHERE starts_with(coin, 'BTC')),
- p AS (SELECT market_id, y.w, y.idx, x, y FROM y JOIN x ON x.c = y.c AND x.w = y.w AND x.idx = y.idx WHERE y.idx < 300), rw AS (SELECT a.market_id, a.w, b.y AS yt, a.y AS yl, a.x AS xl FROM p a JOIN p b ON a.market_id = b.market_id AND a.w = b.w AND b.idx = a.idx + 1),
- nn AS (SELECT market_id, w, count(*) AS n, least(10, greatest(3, floor(sqrt(count(*))))) AS bins FROM p GROUP BY 1, 2),
- bb AS (SELECT market_id, w, {te_bin('yt')} AS yt, {te_bin('yl')} AS yl, {te_bin('xl')} AS xl FROM rw JOIN nn USING (market_id, w) WINDOW g AS (PARTITION BY market_id, w)),
+@query("a23_transfer_entropy", f"""WITH y AS (SELECT market_id, ts_us // {TE_SPAN} AS w, price AS y, row_number() OVER (PARTITION BY market_id, ts_us // {TE_SPAN} ORDER BY ts_us DESC, event_id DESC) AS back, cast(substr(market_id, 2) AS bigint) // 20 AS c FROM trades),
+ x AS (SELECT substr(coin, 1, 3) AS lead, cast(substr(coin, 4) AS bigint) AS c, ts_us // {TE_SPAN} AS w, price AS x, row_number() OVER (PARTITION BY coin, ts_us // {TE_SPAN} ORDER BY ts_us DESC, event_id DESC) AS back FROM lead_trades),
+ p AS (SELECT market_id, lead, y.w, -y.back AS idx, x, y FROM y JOIN x ON x.c = y.c AND x.w = y.w AND x.back = y.back), rw AS (SELECT a.market_id, a.lead, a.w, b.y AS yt, a.y AS yl, a.x AS xl FROM p a JOIN p b ON a.market_id = b.market_id AND a.lead = b.lead AND a.w = b.w AND b.idx = a.idx + 1),
+ nn AS (SELECT {TE_KEY}, count(*) AS n, least(10, greatest(3, floor(sqrt(count(*))))) AS bins FROM p GROUP BY ALL HAVING count(*) >= 50),
+ bb AS (SELECT {TE_KEY}, {te_bin('yt')} AS yt, {te_bin('yl')} AS yl, {te_bin('xl')} AS xl FROM rw JOIN nn USING ({TE_KEY}) WINDOW g AS (PARTITION BY {TE_KEY})),
  {h_sql('yt, yl', 'h1')}, {h_sql('yl', 'h2')}, {h_sql('yt, yl, xl', 'h3')}, {h_sql('yl, xl', 'h4')}
- SELECT market_id, w, n, round(greatest(0.0, (h1 - h2) - (h3 - h4)), 5) AS transfer_entropy FROM nn JOIN h1 USING (market_id, w) JOIN h2 USING (market_id, w) JOIN h3 USING (market_id, w) JOIN h4 USING (market_id, w)""")
+ SELECT market_id, lead, w, n, round(greatest(0.0, (h1 - h2) - (h3 - h4)), 5) AS transfer_entropy FROM nn JOIN h1 USING ({TE_KEY}) JOIN h2 USING ({TE_KEY}) JOIN h3 USING ({TE_KEY}) JOIN h4 USING ({TE_KEY})""")
 def _(t):
-    from tapewatch.operators.sequence import top_per_key
-
-    w = F.floor(F.col("ts_us") / (6 * DAY)).alias("w")
+    w = F.floor(F.col("ts_us") / TE_SPAN).alias("w")
     grp = F.floor(F.substring("market_id", 2, 20).cast("long") / 20)
-    y = top_per_key(t.trades.select("market_id", w, grp.alias("c"), F.col("price").alias("y"), "ts_us", "event_id"), ["market_id", "w"], [F.asc("ts_us"), F.asc("event_id")], 300, "i")
-    lead = t.lead_trades.filter("coin like 'BTC%'").select(F.substring("coin", 4, 20).cast("long").alias("c"), w, F.col("price").alias("x"), "ts_us", "event_id")
-    x = top_per_key(lead, ["c", "w"], [F.asc("ts_us"), F.asc("event_id")], 300, "i")
-    pairs = y.select("market_id", "w", "c", "i", "y").join(x.select("c", "w", "i", "x"), ["c", "w", "i"]).select("market_id", "w", (F.col("i") - 1).alias("idx"), "x", "y")
-    te = I.transfer_entropy(pairs, ["market_id", "w"])
-    return te.select("market_id", "w", "n", F.round("transfer_entropy", 5).alias("transfer_entropy"))
+    y = I.numbered_back(t.trades.select("market_id", w, grp.alias("c"), F.col("price").alias("y"), "ts_us", "event_id"), ["market_id", "w"], ["ts_us", "event_id"], "ts_us", DAY)
+    lead = t.lead_trades.select(F.substring("coin", 1, 3).alias("lead"), F.substring("coin", 4, 20).cast("long").alias("c"), w, F.col("price").alias("x"), "ts_us", "event_id")
+    x = I.numbered_back(lead, ["lead", "c", "w"], ["ts_us", "event_id"], "ts_us", DAY)
+    pairs = y.select("market_id", "w", "c", "back", "y").join(x.select("lead", "c", "w", "back", "x"), ["c", "w", "back"]).select("market_id", "lead", "w", (-F.col("back")).alias("idx"), "x", "y")
+    te = I.transfer_entropy(pairs, ["market_id", "lead", "w"])
+    return te.select("market_id", "lead", "w", "n", F.round("transfer_entropy", 5).alias("transfer_entropy"))
 
 
 CLUSTER_SQL = "cl AS (SELECT market_id, 'c' || (market_no % 40) AS cluster_id, CASE WHEN market_no % 3 = 0 THEN -1 ELSE 1 END AS dir FROM markets WHERE market_no % 10 <> 9), an AS (SELECT cluster_id, min(market_id) AS anchor FROM cl WHERE cluster_id NOT IN ('c1', 'c2') GROUP BY 1)"
@@ -156,7 +158,8 @@ def reach(edge_cte, name="reach"):
 
 G1_SQL = f"""{TAKERS_SQL.replace(str(DAY), str(DAY))}, {TEMPORAL_SQL}, {FUNDED_SQL}, ed AS (SELECT wallet_a, wallet_b, max(weight) AS weight FROM (SELECT wallet_a, wallet_b, weight FROM temporal UNION ALL SELECT wallet_a, wallet_b, weight FROM funded) GROUP BY 1, 2),
  sy AS (SELECT wallet_a AS a, wallet_b AS b FROM ed UNION SELECT wallet_b, wallet_a FROM ed), {reach('sy')}, comp AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a),
- cw AS (SELECT component, avg(weight) AS avg_weight, count(*) AS edges FROM ed JOIN comp ON node = wallet_a GROUP BY 1), cs AS (SELECT component, count(*) AS size, string_agg(node, '|' ORDER BY node) AS m FROM comp GROUP BY 1)"""
+ cw AS (SELECT component, avg(weight) AS avg_weight, count(*) AS edges FROM ed JOIN comp ON node = wallet_a GROUP BY 1), cs AS (SELECT component, count(*) AS size,
+  concat_ws('|', min(node), count(*), sum(('0x' || substr(md5(node), 1, 15))::BIGINT), bit_xor(('0x' || substr(md5(node), 16, 15))::BIGINT)) AS m FROM comp GROUP BY 1)"""
 
 
 @query("g1_shock_clusters", f"""WITH RECURSIVE {G1_SQL} SELECT 've_hft_' || substr(sha256(m), 1, 16) AS entity_id, size, edges, round(avg_weight, 6) AS avg_weight, round(least(95, 30 + avg_weight * 65), 4) AS trust_score FROM cw JOIN cs USING (component) WHERE avg_weight >= 0.5 OR (size >= 3 AND avg_weight >= 0.3)""")

@@ -23,7 +23,7 @@ XSIG_SQL = f"""{ZSCORE_SQL}, {SCORES_SQL}, {MEMBERS_SQL},
  so AS (SELECT DISTINCT signal_id, o.address AS wallet, score FROM wd JOIN observations o ON o.market_id = wd.src AND o.ts_us BETWEEN wd.signal_us - {DAY} AND wd.signal_us JOIN scores c ON c.wallet = o.address WHERE score >= 0.55 AND o.address <> '0x0000000000000000000000000000000000000000'),
  gr AS (SELECT signal_id, count(*) AS n, sum(ln(score) - ln(1 - score)) AS lo FROM so GROUP BY 1),
  ps AS (SELECT wallet, market_id, avg(price) AS prev_entry FROM trades WHERE side = 'BUY' GROUP BY 1, 2),
- a AS (SELECT st.*, coalesce(n, 0) AS n_sources, coalesce(n, 0) + te::int AS nn, coalesce(lo, 0) AS lo, prev_entry, CASE WHEN ask - bid <= 0.1 THEN (bid + ask) / 2 WHEN last_price <> 0.5 THEN last_price END AS q FROM st LEFT JOIN gr USING (signal_id) LEFT JOIN ps USING (wallet, market_id)),
+ a AS (SELECT st.*, coalesce(n, 0) AS n_sources, coalesce(n, 0) + te::int AS nn, coalesce(lo, 0) AS lo, prev_entry, CASE WHEN round(ask - bid, 6) <= 0.1 THEN (bid + ask) / 2 WHEN last_price <> 0.5 THEN last_price END AS q FROM st LEFT JOIN gr USING (signal_id) LEFT JOIN ps USING (wallet, market_id)),
  b AS (SELECT *, CASE WHEN nn > 0 THEN greatest(0.1, least(20.0, exp(lo / nn))) END AS lr FROM a),
  c AS (SELECT *, coalesce(greatest(0.001, least(0.999, lr / (lr + 1))), 0.5) AS cons, CASE WHEN end_us <= signal_us THEN 0.30 ELSE CASE WHEN (end_us - signal_us) / 3.6e9 < 6 THEN 1.0 WHEN (end_us - signal_us) / 3.6e9 < 24 THEN 0.85 WHEN (end_us - signal_us) / 3.6e9 < 72 THEN 0.65 WHEN (end_us - signal_us) / 3.6e9 < 168 THEN 0.45 ELSE 0.30 END END AS wt,
    CASE WHEN tier = 't1' THEN 'T1_SHORT_CIRCUIT' WHEN nn < 2 THEN 'INSUFFICIENT_CONSENSUS' WHEN q IS NULL OR ask IS NULL THEN 'NO_PRICE_DATA' END AS early FROM b),
@@ -41,7 +41,7 @@ def _(t):
     priced = cut_lineage(
         priced.withColumn("last_price", F.when(F.col("signal_id") % 4 == 0, 0.5).otherwise(F.round(F.col("bid") + 0.03, 4))).withColumn("te_significant", F.col("signal_id") % 5 == 0)
     )
-    src = J.consensus_sources(priced.select("signal_id", "market_id", "signal_us"), t.observations, scores(t), rolling_members(t), DAY)
+    src = J.consensus_totals(priced.select("signal_id", "market_id", "signal_us"), t.observations, scores(t), rolling_members(t), DAY)
     held = t.trades.filter("side = 'BUY'").groupBy("wallet", "market_id").agg(F.avg("price").alias("avg_entry_price"))
     # A paper stake of a twentieth of the notional keeps some signals profitable on these views.
     out = signal_decisions(priced, src, held, 0.8, 2, 10.0, {"capital_share": 0.05})

@@ -117,12 +117,11 @@ def _(t):
 
 
 @query("p13_quote_price", """WITH q AS (SELECT event_id, bid, ask, CASE WHEN event_id % 4 = 0 THEN 0.5 WHEN event_id % 4 = 1 THEN NULL ELSE bid END AS last FROM quotes)
- SELECT event_id, round(CASE WHEN ask - bid <= 0.1 THEN (bid + ask) / 2 WHEN last <> 0.5 THEN last END, 6) AS price FROM q WHERE abs(ask - bid - 0.1) > 1e-9""")
+ SELECT event_id, round(CASE WHEN round(ask - bid, 6) <= 0.1 THEN (bid + ask) / 2 WHEN last <> 0.5 THEN last END, 6) AS price FROM q""")
 def _(t):
     k = F.col("event_id") % 4
     last = F.when(k == 0, 0.5).when(k == 1, F.lit(None).cast("double")).otherwise(F.col("bid"))
-    q = t.quotes.filter(F.abs(F.col("ask") - F.col("bid") - 0.1) > 1e-9)
-    return q.select("event_id", F.round(P.quote_price(F.col("bid"), F.col("ask"), last), 6).alias("price"))
+    return t.quotes.select("event_id", F.round(P.quote_price(F.col("bid"), F.col("ask"), last), 6).alias("price"))
 
 
 @query("p14_time_weight", f"""SELECT market_id, CASE WHEN h < 6 THEN 1.0::double WHEN h < 24 THEN 0.85 WHEN h < 72 THEN 0.65 WHEN h < 168 THEN 0.45 ELSE 0.30 END AS weight

@@ -61,11 +61,11 @@ def _(t):
     return e.select("execution_id", F.round(D.posterior(F.col("posterior"), -F.col("qty") / 8, F.col("ev_net") * 40 + 1), 6).alias("posterior"))
 
 
-@query("x8_consensus_posterior", """WITH s AS (SELECT market_id, insider_score AS sc FROM trades JOIN entities USING (wallet) WHERE insider_score BETWEEN 0.01 AND 0.94),
+@query("x8_consensus_posterior", """WITH s AS (SELECT market_id, least(0.999999, greatest(0.000001, insider_score)) AS sc FROM trades JOIN entities USING (wallet)),
  r AS (SELECT market_id, count(*) AS n, greatest(0.1, least(20.0, exp(sum(ln(sc) - ln(1 - sc)) / (count(*) + 1)))) AS lr FROM s GROUP BY 1)
  SELECT market_id, n, round(lr, 5) AS lr, round(greatest(0.001, least(0.999, lr / (lr + 1))), 5) AS posterior FROM r""")
 def _(t):
-    s = t.trades.join(t.entities, "wallet").filter("insider_score between 0.01 and 0.94")
+    s = t.trades.join(t.entities, "wallet")
     r = s.groupBy("market_id").agg(F.count(F.lit(1)).alias("n"), D.mean_log_odds(F.col("insider_score"), F.lit(1)).alias("lr"))
     return r.select("market_id", "n", F.round("lr", 5).alias("lr"), F.round(D.consensus_posterior(F.col("lr")), 5).alias("posterior"))
 

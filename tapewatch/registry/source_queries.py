@@ -105,9 +105,9 @@ def raw_transfers(t):
 
 
 @query("s5_token_transfers", f"""WITH r AS (SELECT wallet, {MS_SQL} * 1000 AS ts_us, side, size, market_id FROM trades)
- SELECT wallet, ts_us, side, round(size, 4) AS size, market_id FROM r QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY ts_us DESC, size DESC, side) <= 50""")
+ SELECT wallet, ts_us, side, round(size, 4) AS size, market_id FROM r""")
 def _(t):
-    return R.transfer_history(raw_transfers(t), 50).withColumn("size", F.round("size", 4))
+    return R.transfer_history(raw_transfers(t)).withColumn("size", F.round("size", 4))
 
 
 @query("s6_event_envelopes", """SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'L1' ELSE 'L3' END AS layer, event_type, ts_us AS received_us FROM trades""")

@@ -13,8 +13,8 @@ from tapewatch.registry.micro import FILLS, LABEL_SQL, fills, sweeps
 from tapewatch.sources.bindings import AS_OF_US, ORDERS_AS_OF_US
 
 FEATURE_SQL = """ft AS (SELECT address, count(*) FILTER (WHERE tr) AS trade_count, coalesce(sum(amt) FILTER (WHERE tr), 0) AS volume, count(DISTINCT market_id) FILTER (WHERE tr) AS unique_markets
-  FROM (SELECT *, obs_type = 'clob_trade' AS tr, cast(coalesce(json_extract_string(payload_json, '$.size'), json_extract_string(payload_json, '$.amount')) AS double) AS amt,
-    row_number() OVER (PARTITION BY address ORDER BY ts_us DESC, obs_id DESC) AS rn FROM observations) WHERE rn <= 160 GROUP BY 1),
+  FROM (SELECT *, obs_type = 'clob_trade' AS tr, cast(coalesce(json_extract_string(payload_json, '$.size'), json_extract_string(payload_json, '$.amount')) AS double) AS amt
+    FROM observations) GROUP BY 1),
  fb AS (SELECT *, least(1.0, trade_count / 25.0::double) AS burst_score FROM ft),
  risk AS (SELECT *, least(1.0, CASE WHEN trade_count >= 8 THEN 0.28 WHEN trade_count >= 4 THEN 0.12 ELSE 0 END + CASE WHEN volume >= 5000 THEN 0.22 WHEN volume >= 1500 THEN 0.10 ELSE 0 END
    + CASE WHEN unique_markets >= 2 THEN 0.18 ELSE 0 END + 0.22 * burst_score) AS score FROM fb)"""
@@ -24,7 +24,7 @@ FEATURE_SQL = """ft AS (SELECT address, count(*) FILTER (WHERE tr) AS trade_coun
  concat_ws(',', CASE WHEN trade_count >= 8 THEN 'high_trade_count' WHEN trade_count >= 4 THEN 'elevated_trade_count' END, CASE WHEN volume >= 5000 THEN 'large_notional_proxy' WHEN volume >= 1500 THEN 'medium_notional_proxy' END,
   CASE WHEN unique_markets >= 2 THEN 'multi_market_activity' END, CASE WHEN burst_score >= 0.45 THEN 'burst_activity' END) AS reasons, score < 0.06 AND trade_count < 1 AS skipped FROM risk""")
 def _(t):
-    r = A.insider_risk(A.wallet_features(t.observations, 160))
+    r = A.insider_risk(A.wallet_features(t.observations))
     return r.select(
         "address", "trade_count", F.round("volume", 4).alias("volume"), "unique_markets", F.round("burst_score", 6).alias("burst_score"),
         F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"), "skipped",
@@ -124,7 +124,7 @@ def _(t):
 
 MIN_USD = {"t1": 0.5, "t2": 2.0, "t3": 4.0, "t5": 1.0}
 WHALE_SQL = """tt AS (SELECT t.*, m.tier, size * price AS size_usd FROM trades t JOIN markets m USING (market_id)), av AS (SELECT market_id, avg(size_usd) AS market_avg FROM tt GROUP BY 1),
- hh AS (SELECT wallet, count(*) AS hist_n, count(DISTINCT market_id) AS hist_markets FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts_us DESC, event_id DESC) AS rn FROM tt) WHERE rn <= 12 GROUP BY 1),
+ hh AS (SELECT wallet, count(*) AS hist_n, count(DISTINCT market_id) AS hist_markets FROM tt GROUP BY 1),
  dp AS (SELECT market_id, volume / 20 AS book_usd FROM markets),
  wj AS (SELECT *, size_usd / market_avg AS ratio FROM tt JOIN av USING (market_id) JOIN hh USING (wallet) LEFT JOIN dp USING (market_id) WHERE size_usd >= CASE tier WHEN 't1' THEN 0.5 WHEN 't2' THEN 2.0 WHEN 't3' THEN 4.0 WHEN 't5' THEN 1.0 ELSE 500.0 END),
  ws AS (SELECT *, least(10.0, CASE WHEN hist_n <= 3 THEN 2 WHEN hist_n <= 10 THEN 1 ELSE 0 END + CASE WHEN ratio >= 9 THEN 3 WHEN ratio >= 3 THEN 1.5 ELSE 0 END
@@ -134,7 +134,7 @@ WHALE_SQL = """tt AS (SELECT t.*, m.tier, size * price AS size_usd FROM trades t
 
 def whales(t):
     tiers = t.trades.join(t.markets.select("market_id", "tier"), "market_id")
-    return A.whale_scores(tiers, t.markets.select("market_id", (F.col("volume") / 20).alias("book_usd")), 12, 3.0, 1.0, MIN_USD)
+    return A.whale_scores(tiers, t.markets.select("market_id", (F.col("volume") / 20).alias("book_usd")), None, 3.0, 1.0, MIN_USD)
 
 
 @query("a17_whale_scores", f"""WITH {WHALE_SQL} SELECT event_id, wallet, round(size_usd, 4) AS size_usd, hist_n, hist_markets, score,
@@ -161,12 +161,12 @@ def _(t):
 ALERT_SQL = f"""b AS (SELECT * FROM fills WHERE usd >= 1),
  rp AS (SELECT *, count(*) OVER w AS n, sum(usd) OVER w AS v FROM b WINDOW w AS (PARTITION BY market_id, wallet, outcome ORDER BY ts_us RANGE BETWEEN {4 * DAY} PRECEDING AND CURRENT ROW)),
  wk AS (SELECT *, count(*) OVER w AS k, sum(CASE WHEN side = 'BUY' THEN usd ELSE 0 END) OVER w AS bv, sum(CASE WHEN side = 'SELL' THEN usd ELSE 0 END) OVER w AS sv, sum(usd) OVER w AS tv FROM b WINDOW w AS (PARTITION BY wallet ORDER BY ts_us RANGE BETWEEN {7 * DAY} PRECEDING AND CURRENT ROW)),
- al AS (SELECT market_id, wallet, 'L1_LARGE $' || cast(round_even(usd, 0) AS bigint) AS trigger, event_id, ts_us, usd FROM b WHERE usd >= 40
-  UNION ALL SELECT market_id, wallet, 'L2_RAPID x' || n || ' ' || outcome || ' $' || cast(round_even(round(v, 4), 0) AS bigint), event_id, ts_us, usd FROM rp WHERE n >= 2
-  UNION ALL SELECT market_id, wallet, 'L3_WINRATE ' || cast(round_even(round(sv / bv * 100, 4), 0) AS bigint) || '% 7d=$' || cast(round_even(round(tv, 4), 0) AS bigint), event_id, ts_us, usd FROM wk WHERE k >= 5 AND bv > 0 AND sv / bv >= 0.7)"""
+ al AS (SELECT market_id, wallet, outcome, 'L1_LARGE $' || cast(round_even(usd, 0) AS bigint) AS trigger, event_id, ts_us, usd FROM b WHERE usd >= 40
+  UNION ALL SELECT market_id, wallet, outcome, 'L2_RAPID x' || n || ' ' || outcome || ' $' || cast(round_even(round(v, 4), 0) AS bigint), event_id, ts_us, usd FROM rp WHERE n >= 2
+  UNION ALL SELECT market_id, wallet, outcome, 'L3_WINRATE ' || cast(round_even(round(sv / bv * 100, 4), 0) AS bigint) || '% 7d=$' || cast(round_even(round(tv, 4), 0) AS bigint), event_id, ts_us, usd FROM wk WHERE k >= 5 AND bv > 0 AND sv / bv >= 0.7)"""
 
 
-@query("w9_alert_layers", f"""WITH {FILLS}, {ALERT_SQL} SELECT market_id, wallet, substr(trigger, 1, 25) AS trigger, min(ts_us) AS ts_us, arg_min(event_id, ts_us) AS event_id, arg_min(usd, ts_us) AS usd FROM al GROUP BY 1, 2, 3""")
+@query("w9_alert_layers", f"""WITH {FILLS}, {ALERT_SQL} SELECT market_id, wallet, arg_min(trigger, ts_us) AS trigger, arg_min(outcome, ts_us) AS outcome, min(ts_us) AS ts_us, arg_min(event_id, ts_us) AS event_id, arg_min(usd, ts_us) AS usd FROM al GROUP BY market_id, wallet, substr(trigger, 1, 25)""")
 def _(t):
     return A.alerts(fills(t), 40.0, 4 * DAY, 2, 7 * DAY, 1.0, 0.7)
 
@@ -186,13 +186,13 @@ SERIES_POS_SQL = """sp AS (SELECT t.wallet, m.slug, any_value(m.brand) AS series
 
 
 @query("w11_series_positions", f"""WITH {SERIES_POS_SQL} SELECT sp.wallet, sp.slug, round(p, 6) AS avg_entry_prob, round(s, 2) AS total_size, trade_count, first_us, last_us,
- CASE WHEN sell_ratio IS NULL THEN 'OPEN' WHEN 1 - sell_ratio < 0.10 THEN 'CLOSED' ELSE 'PARTIALLY_CLOSED' END AS position_status, round(coalesce(s * (1 - sell_ratio), s), 4) AS remaining_size
- FROM sp LEFT JOIN ex USING (wallet, slug) WHERE coalesce(abs(sell_ratio - 0.9) > 1e-9, true)""")
+ CASE WHEN sell_ratio IS NULL THEN 'OPEN' WHEN round(1 - sell_ratio, 6) < 0.10 THEN 'CLOSED' ELSE 'PARTIALLY_CLOSED' END AS position_status, round(coalesce(s * (1 - sell_ratio), s), 4) AS remaining_size
+ FROM sp LEFT JOIN ex USING (wallet, slug)""")
 def _(t):
     m = t.markets.select("market_id", "slug", F.col("brand").alias("series_id"))
     tr = t.trades.join(m, "market_id")
     ex = tr.filter("side = 'SELL' and size > 20").groupBy("wallet", "slug").agg(F.max("price").alias("sell_ratio")).withColumn("exit_prob", F.col("sell_ratio"))
-    p = A.series_positions(tr.filter("side = 'BUY'"), ex).filter(F.coalesce(F.abs(F.col("sell_ratio") - 0.9) > 1e-9, F.lit(True)))
+    p = A.series_positions(tr.filter("side = 'BUY'"), ex)
     return p.select(
         "wallet", "slug", F.round("avg_entry_prob", 6).alias("avg_entry_prob"), F.round("total_size", 2).alias("total_size"), "trade_count", "first_us", "last_us",
         "position_status", F.round("remaining_size", 4).alias("remaining_size"),
@@ -345,12 +345,12 @@ def _(t):
     )
 
 
-@query("a27_backtest_summary", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY closed_us DESC, trade_id DESC) AS rn, count(*) OVER (PARTITION BY market_id) AS c FROM settlements),
- e AS (SELECT *, 200000 + sum(pnl) OVER (PARTITION BY market_id ORDER BY closed_us, trade_id) AS eq FROM n WHERE rn <= 8 AND c >= 10), p AS (SELECT *, greatest(200000, max(eq) OVER (PARTITION BY market_id ORDER BY closed_us, trade_id)) AS pk FROM e)
- SELECT market_id, count(*) AS trades, round(avg(pnl) / stddev_pop(pnl) * sqrt(count(*)), 6) + 0.0 AS sharpe, round(greatest(0, max((pk - eq) / pk)), 6) AS max_drawdown, round(sum(pnl), 2) + 0.0 AS net_profit FROM p GROUP BY 1""")
+@query("a27_backtest_summary", """WITH n AS (SELECT *, count(*) OVER (PARTITION BY market_id) AS c FROM settlements),
+ e AS (SELECT *, 200000 + sum(pnl) OVER (PARTITION BY market_id ORDER BY closed_us, trade_id) AS eq FROM n WHERE c >= 10), p AS (SELECT *, greatest(200000, max(eq) OVER (PARTITION BY market_id ORDER BY closed_us, trade_id)) AS pk FROM e)
+ SELECT market_id, count(*) AS trades, round(avg(pnl) / stddev_pop(pnl) * sqrt(count(*)), 6) + 0.0 AS sharpe, round(greatest(0, max((pk - eq) / pk)), 4) AS max_drawdown, round(sum(pnl), 2) + 0.0 AS net_profit FROM p GROUP BY 1""")
 def _(t):
-    b = PF.backtest_summary(t.settlements, "market_id", 200000.0, 8, 10)
-    return b.select("market_id", "trades", F.round("sharpe", 6).alias("sharpe"), F.round("max_drawdown", 6).alias("max_drawdown"), F.round("net_profit", 2).alias("net_profit"))
+    b = PF.backtest_summary(t.settlements, "market_id", 200000.0, None, 10)
+    return b.select("market_id", "trades", F.round("sharpe", 6).alias("sharpe"), F.round("max_drawdown", 4).alias("max_drawdown"), F.round("net_profit", 2).alias("net_profit"))
 
 
 @query("a4_readiness", f"""SELECT count(*) AS paper_trades, ({ORDERS_AS_OF_US} - min(closed_us)) // {DAY} AS running_days, round(count(*) FILTER (WHERE pnl > 0) / count(*) FILTER (WHERE pnl <> 0), 6) AS win_rate,
@@ -382,10 +382,9 @@ def hybrid(t):
     return PF.hybrid_rows(t.holdings, prices(t).withColumnRenamed("settlement_price", "mark"), t.settlements)
 
 
-@query("u1_hybrid_rows", f"WITH {HYBRID_SQL} SELECT row_id, market_id, status, direction, realized, round(unrealized, 4) + 0.0 AS unrealized, updated_us FROM hy ORDER BY updated_us DESC, row_id LIMIT 200")
+@query("u1_hybrid_rows", f"WITH {HYBRID_SQL} SELECT row_id, market_id, status, direction, realized, round(unrealized, 4) + 0.0 AS unrealized, updated_us FROM hy")
 def _(t):
-    h = hybrid(t).orderBy(F.desc("updated_us"), "row_id").limit(200)
-    return h.select("row_id", "market_id", "status", "direction", "realized", F.round("unrealized", 4).alias("unrealized"), "updated_us")
+    return hybrid(t).select("row_id", "market_id", "status", "direction", "realized", F.round("unrealized", 4).alias("unrealized"), "updated_us")
 
 
 @query("a41_live_report", f"""WITH {HYBRID_SQL}, a AS (SELECT count(*) FILTER (WHERE status = 'open') AS open_trades, count(*) FILTER (WHERE status = 'closed') AS closed_trades, sum(realized) AS r, sum(unrealized) AS u, count(DISTINCT market_id) AS unique_markets FROM hy),

@@ -152,8 +152,8 @@ def lead_mids(raw: DataFrame) -> DataFrame:
     return top.filter("bid > 0 and ask > 0").withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
 
 
-def transfer_history(raw: DataFrame, rows_per_wallet: int) -> DataFrame:
-    """Token transfers as history rows; the newest ``rows_per_wallet`` of each wallet."""
+def transfer_history(raw: DataFrame, rows_per_wallet: int | None = None) -> DataFrame:
+    """Token transfers as history rows, or the newest ``rows_per_wallet`` of each wallet."""
     from tapewatch.operators.sequence import top_per_key
 
     j = parsed(raw, TRANSFER_SCHEMA)
@@ -164,7 +164,7 @@ def transfer_history(raw: DataFrame, rows_per_wallet: int) -> DataFrame:
         F.abs(F.expr("coalesce(try_cast(value as double), 0)") / F.pow(F.lit(10.0), F.coalesce("token_decimals", F.lit(6)))).alias("size"),
         F.coalesce("token_symbol", F.lit("erc20")).alias("market_id"),
     )
-    return top_per_key(rows, "wallet", [F.desc("ts_us"), F.desc("size"), F.asc("side")], rows_per_wallet)
+    return top_per_key(rows, "wallet", [F.desc("ts_us"), F.desc("size"), F.asc("side")], rows_per_wallet) if rows_per_wallet else rows
 
 
 def once_per_event(envelopes: DataFrame) -> DataFrame:
