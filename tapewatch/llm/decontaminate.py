@@ -45,9 +45,9 @@ def benchmark_postings(items: DataFrame, item_id: str = "item_id", text: str = "
     return cut_lineage(exploded.join(vocabulary, "word").drop("word")), vocabulary
 
 
-def training_postings(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
-    """The index ``row, doc_id, pos, term``, written once; ``doc_id`` is only in the posting of a text's length. ``row`` may give stored row numbers."""
-    rows = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col(doc_id).alias("doc_id"), F.array_append(words(F.col(text)), "").alias("words"))
+def training_postings(docs: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index ``row, doc_id, pos, term``, written once; ``doc_id`` is only in the posting of a text's length."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.array_append(words(F.col(text)), "").alias("words"))
     each = rows.select("row", "doc_id", F.posexplode("words").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
     found = each.join(broadcast_if_small(vocabulary), "word")
     return cut_lineage(found.select("row", F.when(F.col("term") == LENGTH, F.col("doc_id")).alias("doc_id"), "pos", "term"), compression="zstd")
@@ -69,8 +69,9 @@ def aligned(index: DataFrame, places: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, postings: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFrame:
     """``row, item, item_id, begin, end``: maximal runs of exactly matching words of at least a window; word places, end exclusive."""
-    both = aligned(index, places).groupBy("row", "item", "delta").agg(F.max("first").alias("first"), F.max("second").alias("second"), F.max("alone").alias("alone"))
-    candidates = cut_lineage(both.filter("(first and second) or alone").select("row", "item", "delta"))
+    # A window needs the places of its two rarest terms; a place may be the rarest of one window and the second of another.
+    both = aligned(index, places).groupBy("row", "item", "delta").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("places"), F.max("alone").alias("alone"))
+    candidates = cut_lineage(both.filter("(first and places >= 2) or alone").select("row", "item", "delta"))
     group = F.pmod(F.xxhash64("row"), F.lit(GROUPS)).alias("group")
     groups = candidates.select(group).distinct()  # at most GROUPS rows
     near = index.filter(F.col("term") != LENGTH).select("row", "pos", "term", group).join(F.broadcast(groups), "group", "left_semi")
@@ -94,14 +95,14 @@ def proximity_matches(index: DataFrame, postings: DataFrame, window: int = WINDO
     return near.groupBy("row", "item").agg(F.min("gap").alias("gap")).join(postings.select("item", "item_id").distinct(), "item").select("row", "item", "item_id", "gap")
 
 
-def build_index(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     postings, vocabulary = benchmark_postings(items, item_id, item_text)
-    return training_postings(docs, vocabulary, doc_id, text, row), postings
+    return training_postings(docs, vocabulary, doc_id, text), postings
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, row: Column | None = None) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``row, doc_id, n_words, n_hit, items`` for every row of ``docs``: words inside any occurrence of a window, and the sorted ids of the items concerned."""
-    index, postings = build_index(docs, items, doc_id, text, item_id, item_text, row)
+    index, postings = build_index(docs, items, doc_id, text, item_id, item_text)
     counts = index.filter(F.col("term") != LENGTH).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     places = cut_lineage(anchors(postings, counts, window))
     found = cut_lineage(phrase_matches(index, postings, places, window))
@@ -114,7 +115,12 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def contaminated_rows(docs: DataFrame, items: DataFrame, keep: bool, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with hits (``keep``), or those without, with their columns."""
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that numbers stay what they are
-    found = contamination(numbered, items, doc_id, text, item_id, item_text, window, F.col("_row")).filter("n_hit > 0").select(F.col("row").alias("_row"))
-    return numbered.join(broadcast_if_small(cut_lineage(found)), "_row", "left_semi" if keep else "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with hits (``keep``), or those without, with their columns.
+
+    A verdict depends on the text alone, so texts are told apart by their MD5 and no copy of the documents is made.
+    """
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    found = contamination(docs.select(digest.alias("_digest"), F.col(text).alias("_text")), items, "_digest", "_text", item_id, item_text, window)
+    hit = cut_lineage(found.filter("n_hit > 0").select("doc_id").distinct())
+    marked = docs.withColumn("_digest", digest)
+    return marked.join(broadcast_if_small(hit), F.col("_digest") == hit["doc_id"], "left_semi" if keep else "left_anti").select(*docs.columns)

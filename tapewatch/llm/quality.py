@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import map_batches
+from tapewatch.llm.common import cut_lineage, map_batches
 
 MAX_LABELLED = 50_000
 WHITE = " \t\n\r\x0b\x0c"
@@ -191,8 +191,10 @@ def kept(rules: list[list[Condition]]) -> Column:
 
 def keep_good(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of ``df`` that the list learned from their labels keeps, with the columns of ``df``."""
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
-    marked = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(known, "_id")
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
+    # At most MAX_LABELLED ids and labels, so texts needn't be moved to find theirs.
+    chosen = cut_lineage(known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(MAX_LABELLED))
+    marked = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     rules = learn_rules(with_statistics(marked, "_text", keep_text=False), "_label", "_id")
     columns = {f"_c{k}": c for k, c in enumerate(df.columns)}
     renamed = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()], F.col(text).alias("_text"))

@@ -165,15 +165,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of ``df`` per component, with its columns: the row of the smallest id, of repeated rows the first; rows without id stand for themselves only
-    if their component has no other.
+    """One row of ``df`` per component, with its columns: the row of the smallest id, of equal ids the one of the smallest text digest, of rows that
+    repeat both the first; a row without id stays only if its component has no other.
+
+    Rows are told apart by id and MD5 of the text, so no copy of the documents is made.
     """
-    columns = {f"_c{k}": c for k, c in enumerate(df.columns)}
-    named = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()], F.monotonically_increasing_id().alias("_row"))
-    rows = cut_lineage(named)  # written, so that numbers stay what they are
-    own = {c: k for k, c in columns.items()}
-    # Components are found for row numbers in the order of ids, so that the smallest number of a component is the row that stays.
-    ranked = rows.select(F.struct(F.col(own[doc_id]).isNull().alias("null"), F.col(own[doc_id]).alias("id"), F.col("_row").alias("row")).alias("order"), F.col(own[text]).alias("_text"))
-    found = near_duplicates(ranked, "order", "_text", **options)
-    kept = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row")))
-    return rows.join(broadcast_if_small(kept), "_row", "left_semi").select(*[F.col(k).alias(c) for k, c in columns.items()])
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), digest.alias("digest"))
+    found = near_duplicates(df.select(order.alias("_order"), F.col(text).alias("_text")), "_order", "_text", **options)
+    kept = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
+    joined = df.withColumn("_order", order).join(broadcast_if_small(kept), F.col("_order") == F.col("_key"))
+    once = joined.filter("_n = 1")
+    if not kept.filter("_n > 1").isEmpty():
+        once = once.union(joined.filter("_n > 1").dropDuplicates(["_key"]))
+    return once.select(*df.columns)
