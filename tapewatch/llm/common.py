@@ -59,5 +59,5 @@ def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only. The cheap general form is used where it gives the same string."""
+    """Lower-case A-Z only, and no other letter."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

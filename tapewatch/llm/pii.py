@@ -1,10 +1,11 @@
 """Personal data: fixed base patterns, and bootstrapped contextual extraction beyond them.
 
-The spans of the base patterns are the seed entities. The word before a seed is a lexical pattern of the seed's kind, for example ``phone:``. Every text
-is also scanned for slots: loosely written identifiers (spaced, bracketed, spelled out) with the word before them. Patterns and instances form a
-bipartite graph, scored in rounds: a seed has score 1, another instance the noisy-or of its patterns, and a pattern the share of all occurrences of its word in the whole
-corpus that introduce scored instances, so that a common word that happens to stand before some seeds scores low. Slots after patterns of high score become spans of that
-kind. Base spans always stay; a slot that overlaps one is dropped.
+The spans of the base patterns are the seed entities. A seed induces two lexical patterns of its kind: the word before it, for example ``phone:``, and its own
+shape, for example ``+9 (999) 999-9999``. Every text is also scanned for slots: identifiers that are loosely written (spaced, bracketed, spelled out) or that the base
+patterns lose, as a phone number right before a card number. Patterns and instances form a bipartite graph, scored in rounds: a seed has score 1,
+another instance the noisy-or of its patterns, and a pattern the share of scored instances among all its occurrences: of a word, wherever it stands in the whole corpus, so that a
+common word that happens to stand before some seeds scores low; of a shape, among all slots. Slots with patterns of high score become spans of that kind. Base spans
+always stay; a slot that overlaps one is dropped.
 
 Null texts count as empty. Any length is scanned whole, by patterns that take linear time. Repeated rows are scanned each. Without seeds nothing is added. Empty tables give no rows.
 """
@@ -41,7 +42,7 @@ LOOSE = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]++(?: ?(?:@|[\[(]at[\])]) ?[\w-]++(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]++)+| at [\w-]++(?: dot [\w-]++)+)", re.I),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ .-][0-9]{2,6}){2,4}(?![0-9])|(?<![0-9])[0-9]{12,19}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9(+])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9])|(?<![0-9])[0-9]{8,11}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9(+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9])|(?<![0-9])[0-9]{8,11}(?![0-9])"),
 }
 NEAR_AT = re.compile(r"@|[\[(]at[\])]| at (?=[\w-]{1,63} dot )", re.I)
 NUMBERS = re.compile(r"[0-9][0-9 ()\[\].,/-]{5,}[0-9]")
@@ -88,17 +89,22 @@ def _word_before(text: str, at: int) -> str | None:
     return m[1].lower() if m else None
 
 
+def shape(kind: str, value: str) -> str:
+    """Digits as 9 and letters as a; of addresses, whose parts vary in length, once per run."""
+    out = re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", value))
+    return re.sub(r"(.)\1+", r"\1", out) if kind in ("email", "ip") else out
+
+
 def slots(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple]:
-    """``kind, start, end, value, before, seed`` of seeds and of loose forms that touch no base span."""
+    """``kind, start, end, value, before, shape, seed`` of seeds and of loose forms that touch no base span."""
     out, taken = [], []
     for kind in KINDS:
         for a, b in base[kind]:
             taken.append((a, b))
-            if word := _word_before(text, a):
-                out.append((kind, a, b, text[a:b].lower(), word, True))
+            out.append((kind, a, b, text[a:b].lower(), _word_before(text, a), shape(kind, text[a:b]), True))
     taken.sort()
     # Loose number forms lie inside runs of digits and their separators.
-    runs = [(m.start() - (text[m.start() - 1 : m.start()] == "("), m.end()) for m in NUMBERS.finditer(text)]
+    runs = [(m.start() - (text[m.start() - 1 : m.start()] in ("(", "+")), m.end()) for m in NUMBERS.finditer(text)]
     for kind, pattern in LOOSE.items():
         if kind == "email":
             # Only around an "at": a form starts at most so many characters before it.
@@ -112,15 +118,14 @@ def slots(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple]:
                 continue
             last = b
             digits = sum(map(str.isdigit, m[0]))
-            if kind == "phone" and not 7 <= digits <= 15 or kind == "card" and not 12 <= digits <= 19:
+            if kind == "phone" and not 7 <= digits <= 15 or kind == "card" and not (12 <= digits <= 19 and luhn(re.sub("[^0-9]", "", m[0]))):
                 continue
-            if word := _word_before(text, a):
-                out.append((kind, a, b, m[0].lower(), word, False))
+            out.append((kind, a, b, m[0].lower(), _word_before(text, a), shape(kind, m[0]), False))
     return out
 
 
-SLOT = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("seed", pa.bool_())])
-SCANNED = "doc_id {}, base array<struct<kind:string,start:bigint,end:bigint>>, slots array<struct<kind:string,start:bigint,end:bigint,value:string,before:string,seed:boolean>>"
+SLOT = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("shape", pa.string()), ("seed", pa.bool_())])
+SCANNED = "doc_id {}, base array<struct<kind:string,start:bigint,end:bigint>>, slots array<struct<kind:string,start:bigint,end:bigint,value:string,before:string,shape:string,seed:boolean>>"
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +139,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
             for t in batch.column("text").to_pylist():
                 spans = base_spans(t or "")
                 base.append([{"kind": k, "start": a, "end": b} for k in KINDS for a, b in spans[k]])
-                found.append([dict(zip(("kind", "start", "end", "value", "before", "seed"), x)) for x in slots(t or "", spans)])
+                found.append([dict(zip(SLOT.names, x)) for x in slots(t or "", spans)])
             return [pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(found, pa.list_(SLOT))], names=["doc_id", "base", "slots"])]
 
         return step
@@ -163,22 +168,30 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).mapInArrow(run, "before string, n bigint").groupBy("before").agg(F.sum("n").alias("total"))
 
 
-def score_graph(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Patterns ``before, kind, score, seeds`` and instances ``kind, value, score`` after the last round.
+def patterns_of(found: DataFrame) -> DataFrame:
+    """A row per slot and pattern, word patterns as ``w:...`` and shapes as ``s:...``."""
+    both = F.array_compact(F.array(F.concat(F.lit("w:"), "before"), F.concat(F.lit("s:"), "shape")))
+    return found.withColumn("pattern", F.explode(both)).drop("before", "shape")
+
+
+def score_graph(found: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Patterns ``pattern, kind, seeds, score`` and instances ``kind, value, score`` after the last round.
 
-    ``found`` has a row per slot (``kind, value, before, seed``). Occurrences are added up per edge before anything is joined.
+    ``found`` has a row per slot and pattern (``kind, value, pattern, seed``), ``words`` the occurrences of each word. Occurrences are added up per edge before anything is joined.
     """
-    edges = found.groupBy("before", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
-    support = edges.groupBy("before", "kind").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
-    # Words that aren't before at least MIN_SEEDS different seeds of a kind never become patterns.
-    kept = cut_lineage(edges.join(support, ["before", "kind"]))
-    known = cut_lineage(kept.select("before").distinct().join(totals, "before"))
+    edges = found.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
+    support = edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"), F.sum("n").alias("slots")).filter(F.col("seeds") >= MIN_SEEDS)
+    # What isn't found at MIN_SEEDS different seeds of a kind never becomes a pattern.
+    kept = cut_lineage(edges.join(support, ["pattern", "kind"]))
+    asked = kept.select("pattern", "kind", "slots").distinct()
+    total = words.select(F.concat(F.lit("w:"), "before").alias("pattern"), "total")
+    known = cut_lineage(asked.filter("pattern like 'w:%'").join(total, "pattern").select("pattern", "kind", "total").union(asked.filter("pattern like 's:%'").select("pattern", "kind", "slots")))
     instances = None
     for _ in range(rounds):
         scored = kept.withColumn("score", F.col("seed").cast("double")) if instances is None else kept.join(instances, ["kind", "value"])
-        patterns = scored.groupBy("before", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.max("seeds").alias("seeds"))
-        patterns = patterns.join(known, "before").select("before", "kind", "seeds", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + SMOOTHING)).alias("p"))
-        instances = kept.join(patterns.select("before", "kind", "p"), ["before", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("noisy_or"), F.max("seed").alias("is_seed"))
+        patterns = scored.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.max("seeds").alias("seeds"))
+        patterns = patterns.join(known, ["pattern", "kind"]).select("pattern", "kind", "seeds", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + SMOOTHING)).alias("p"))
+        instances = kept.join(patterns.select("pattern", "kind", "p"), ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("noisy_or"), F.max("seed").alias("is_seed"))
         instances = instances.select("kind", "value", F.when(F.col("is_seed") == 1, 1.0).otherwise(F.col("noisy_or")).alias("score"))
     return patterns.withColumnRenamed("p", "score"), instances
 
@@ -186,10 +199,10 @@ def score_graph(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> tu
 def personal_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, base, added`` per row: base spans in order of kind and place, and the spans that high-confidence patterns discover."""
     rows = cut_lineage(scan(df, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
-    found = rows.select("row", F.inline("slots"))
+    found = patterns_of(rows.select("row", F.inline("slots")))
     patterns, instances = score_graph(found, word_counts(df, text))
-    strong = patterns.filter(F.col("score") >= PATTERN_SCORE).select("before", "kind")
+    strong = patterns.filter(F.col("score") >= PATTERN_SCORE).select("pattern", "kind")
     believed = instances.filter(F.col("score") >= INSTANCE_SCORE).select("kind", "value")
-    new = found.filter("not seed").join(strong, ["before", "kind"]).join(believed, ["kind", "value"])
+    new = found.filter("not seed").join(strong, ["pattern", "kind"]).join(believed, ["kind", "value"])
     added = new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     return rows.join(added, "row", "left").select("doc_id", "base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")).alias("added"))

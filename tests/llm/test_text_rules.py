@@ -122,6 +122,18 @@ def test_pii_query(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_shapes_recover_what_base_patterns_lose(spark):
+    """A phone number right before a card number is one failing match for either base pattern."""
+
+    def card(k):
+        body = f"45395787636{k:04d}"
+        return body + next(str(d) for d in range(10) if pii.luhn(body + str(d)))
+
+    rows = [(k, f"call +1 (2{k:02d}) 555-01{k:02d} or pay {card(k)} now") for k in range(12)] + [(50, f"of +1 (415) 555-0177 {card(99)} the"), (51, "number 4539578763621487 of 99887766 things")]
+    got = {r.doc_id: ([tuple(s) for s in r.base], [tuple(s) for s in r.added]) for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == ([], [("card", 21, 37), ("phone", 3, 20)]) and got[51] == ([], []) and all(not got[k][1] and len(got[k][0]) == 2 for k in range(12))
+
+
 def test_patterns_discover_unseen_identifiers_only_where_they_are_sure(spark):
     seeds = [(k, f"Fine words. Phone: +1 (2{k:02d}) 555-01{k:02d} and the +1 (3{k:02d}) 555-01{k:02d}") for k in range(20)] + [(50 + k, f"E-mail: j{k}@mail.org") for k in range(5)]
     more = [(100, "Phone: (415) 555-0199 too"), (101, None), (102, ""), (103, "the (415) 555-0188 of the house and the garden"), (104, "E-mail: joe (at) mail (dot) org"), (104, "E-mail: joe (at) mail (dot) org"), (105, "the dog " * 50_000)]
