@@ -21,6 +21,10 @@ class Inputs:
     def stream(self, view: str) -> DataFrame:
         return bind_stream(self.spark, self.folder, view)
 
+    def since(self, view: str, since_us: int) -> DataFrame:
+        """A view without rows before a time, a bound that reaches the scan."""
+        return bind(self.spark, self.folder, view, since_us)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return load(self.spark, self.folder, name)

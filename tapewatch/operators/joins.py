@@ -318,18 +318,19 @@ def temporal_pairs(takers: DataFrame, within_us: int = 100_000) -> DataFrame:
     return pairs.groupBy("shock_id", "wallet_a", "wallet_b").agg(F.max(weight).alias("weight"))
 
 
-def funding_pairs(takers: DataFrame, roots: DataFrame, salts: int = 8) -> DataFrame:
+def funding_pairs(takers: DataFrame, roots: DataFrame, group_rows: int = 1000) -> DataFrame:
     """Wallet pairs of a shock sharing a funding root.
 
-    A (shock, root) group is split by a salt of its first wallet: the second side is copied to
-    every salt, so one group's pairs come from ``salts`` tasks.
+    A (shock, root) group is split by a salt of its first wallet into as many parts as it has ``group_rows`` members; the second
+    side is copied to those parts only, so small groups are not copied and large ones spread over many tasks.
     """
     members = takers.select("shock_id", "wallet").distinct().join(roots, "wallet").select(
         "shock_id", "wallet", F.explode(F.array_distinct("roots")).alias("root")
     )
-    left = members.select("shock_id", "root", F.col("wallet").alias("wallet_a"), F.pmod(F.xxhash64("wallet"), F.lit(salts)).alias("salt"))
-    right = members.select("shock_id", "root", F.col("wallet").alias("wallet_b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = right.withColumn("salt", F.col("salt").cast("long"))
+    parts = members.groupBy("shock_id", "root").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("parts"))
+    sized = members.join(parts, ["shock_id", "root"])
+    left = sized.select("shock_id", "root", F.col("wallet").alias("wallet_a"), F.pmod(F.xxhash64("wallet"), F.col("parts")).alias("salt"))
+    right = sized.select("shock_id", "root", F.col("wallet").alias("wallet_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     hits = left.join(right, ["shock_id", "root", "salt"]).filter(F.col("wallet_a") < F.col("wallet_b"))
     return hits.groupBy("shock_id", "wallet_a", "wallet_b").agg(F.lit(1.0).alias("weight"))
 

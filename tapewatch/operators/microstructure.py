@@ -7,7 +7,7 @@ Trades carry ``event_id, ts_us, wallet, market_id, asset_id, side, outcome, pric
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.operators.lineage import cut_lineage
@@ -16,6 +16,7 @@ from tapewatch.operators.sequence import (
     HOUR,
     US,
     as_of,
+    fit_width,
     islands,
     previous_row,
     range_frame,
@@ -39,6 +40,7 @@ def taker_sweeps(trades: DataFrame, gap_us: int = 10_000, slice_us: int = DAY) -
         | (F.col("ts_us") - F.col("_t") > gap_us)
     )
     prev = {"_w": F.col("wallet"), "_s": F.col("side"), "_t": F.col("ts_us")}
+    slice_us = fit_width(trades, "market_id", "ts_us", slice_us)
     marked = islands(trades, "market_id", TIME_ORDER, "ts_us", slice_us, prev, starts)
     return (
         marked.groupBy("market_id", "island")
@@ -61,6 +63,7 @@ def cross_wallet_bursts(
     """Same-side chains of a market with enough trades and enough distinct takers."""
     starts = (F.col("side") != F.col("_s")) | (F.col("ts_us") - F.col("_t") > gap_us)
     prev = {"_s": F.col("side"), "_t": F.col("ts_us")}
+    slice_us = fit_width(trades, "market_id", "ts_us", slice_us)
     marked = islands(trades, "market_id", TIME_ORDER, "ts_us", slice_us, prev, starts)
     per_wallet = marked.groupBy("market_id", "island", "wallet").agg(
         F.first("side").alias("side"),
@@ -87,8 +90,9 @@ def cross_wallet_bursts(
 
 def with_orders(trades: DataFrame, gap_us: int = 30 * US, slice_us: int = DAY) -> DataFrame:
     """Tag every fill with its order: fills of (wallet, market, side) at most ``gap_us`` apart."""
+    keys = ["wallet", "market_id", "side"]
     return islands(
-        trades, ["wallet", "market_id", "side"], TIME_ORDER, "ts_us", slice_us,
+        trades, keys, TIME_ORDER, "ts_us", fit_width(trades, keys, "ts_us", slice_us),
         {"_t": F.col("ts_us")}, F.col("ts_us") - F.col("_t") > gap_us, "order_start",
     )
 

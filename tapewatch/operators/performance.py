@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.operators.sequence import DAY, previous_row, running, top_per_key
+from tapewatch.operators.sequence import DAY, fit_width, previous_row, running, top_per_key
 
 
 def equity_curve(settled: DataFrame, key: str, slice_us: int = 30 * DAY) -> DataFrame:
     """Cumulative PnL, running peak (above zero), drawdown and the row that set the peak."""
-    order = ["closed_us", "trade_id"]
+    order, slice_us = ["closed_us", "trade_id"], fit_width(settled, key, "closed_us", slice_us)
     summed = running(settled, key, order, "closed_us", slice_us, {"equity": ("sum", F.coalesce("pnl", F.lit(0.0)))})
     # The earliest row of the highest equity: later ties lose through the negated order.
     high = F.when(F.col("equity") > 0, F.struct(F.col("equity").alias("e"), (-F.col("closed_us")).alias("c"), (-F.col("trade_id")).alias("t")))
@@ -55,6 +55,7 @@ def backtest_summary(trades: DataFrame, key: str, capital: float = 2000.0, recen
     enough = trades.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum).select(key)
     last = top_per_key(trades, key, [F.desc("closed_us"), F.desc("trade_id")], recent) if recent else trades
     rows, order = last.join(enough, key, "left_semi").select(key, "closed_us", "trade_id", "pnl"), ["closed_us", "trade_id"]
+    slice_us = fit_width(rows, key, "closed_us", slice_us)
     curve = running(rows, key, order, "closed_us", slice_us, {"_e": ("sum", F.col("pnl"))}).withColumn("_e", capital + F.col("_e"))
     curve = running(curve, key, order, "closed_us", slice_us, {"_p": ("max", F.col("_e"))}).withColumn("_p", F.greatest(F.lit(capital), F.col("_p")))
     return curve.groupBy(key).agg(
@@ -108,6 +109,7 @@ def readiness_verdict(
 
 def tick_pnl(trades: DataFrame, slice_us: int = DAY) -> DataFrame:
     """PnL of each trade against the previous price of its asset (first trade of an asset has none)."""
+    slice_us = fit_width(trades, "asset_id", "ts_us", slice_us)
     stepped = previous_row(trades, "asset_id", ["ts_us", "event_id"], "ts_us", slice_us, {"prev_price": F.col("price")})
     size = F.greatest(F.coalesce("size", F.lit(25.0)), F.lit(1.0))
     return stepped.filter("prev_price is not null").withColumn("pnl", (F.col("price") - F.col("prev_price")) * size).withColumn(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewatch.functions import fixed as X
-from tapewatch.operators.sequence import US
 
 WINDOW_SECONDS = 300
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewatch.functions import fixed as X
 from tapewatch.operators import scalars as S
 from tapewatch.operators.lineage import cut_lineage
-from tapewatch.operators.sequence import DAY, US, previous_row, range_frame, running, top_per_key
+from tapewatch.operators.sequence import DAY, US, fit_width, previous_row, range_frame, running, top_per_key
 
 
 def wallet_features(observations: DataFrame, newest: int | None = None) -> DataFrame:
@@ -268,6 +268,7 @@ def replay_positions(fills: DataFrame, slice_us: int = DAY) -> DataFrame:
     keys, order = ["wallet", "market_id"], ["ts_us", "event_id"]
     signed = F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size"))
     base = fills.filter(F.col("side").isin("BUY", "SELL") & (F.col("size") > 0)).select(*keys, *order, "side", "size", "price")
+    slice_us = fit_width(base, keys, "ts_us", slice_us)
     summed = running(base, keys, order, "ts_us", slice_us, {"_s": ("sum", signed)})
     floored = running(summed, keys, order, "ts_us", slice_us, {"_low": ("min", F.col("_s"))})
     held = cut_lineage(floored).withColumn("_q", F.col("_s") - F.least(F.lit(0.0), F.col("_low")))
@@ -343,6 +344,7 @@ def receipt_status(observed: DataFrame) -> DataFrame:
 def coverage_log(polls: DataFrame, slice_us: int = DAY) -> DataFrame:
     """Identity-coverage rates of each poll and the running loss of its market."""
     rate = lambda part, whole: F.when(whole > 0, F.greatest(F.lit(0.0), 1.0 - part / whole))
+    slice_us = fit_width(polls, "market_id", "ts_us", slice_us)
     summed = running(
         polls, "market_id", ["ts_us", "poll_id"], "ts_us", slice_us,
         {"total_ws": ("sum", F.col("ws_ticks")), "total_api": ("sum", F.col("api_received"))},

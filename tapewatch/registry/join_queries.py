@@ -161,7 +161,7 @@ def _(t):
 @query("j14_consensus_ready", f"""SELECT market_id, count(DISTINCT address) AS wallet_count, max(ts_us) AS last_us FROM observations JOIN entities ON wallet = address
  WHERE insider_score >= 0.55 AND ts_us > {AS_OF_US - 10 * DAY} GROUP BY 1 HAVING count(DISTINCT address) >= 3""")
 def _(t):
-    return J.consensus_ready(t.observations, t.entities, AS_OF_US - 10 * DAY, 3)
+    return J.consensus_ready(t.since("observations", AS_OF_US - 10 * DAY), t.entities, AS_OF_US - 10 * DAY, 3)
 
 
 CATALYST_SQL = "catalysts AS (SELECT event_id AS catalyst_id, market_id, ts_us AS catalyst_us, price AS prob_before FROM trades WHERE event_type = 'view')"

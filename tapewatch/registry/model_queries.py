@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tapewatch.catalog import query
+from tapewatch.operators.lineage import cut_lineage
 from tapewatch.operators import consensus as C
 from tapewatch.operators import graph as G
 from tapewatch.operators import information as I
@@ -13,7 +14,6 @@ from tapewatch.registry.join_queries import FUNDED_SQL, SYNC_PAIRS_SQL, SYNC_US,
 from tapewatch.registry.micro import FILLS, fills
 from tapewatch.registry.predicate_queries import RISK_SQL
 from tapewatch.registry.scalar_queries import DEADLINE_SQL, STAMP_SQL
-from tapewatch.sources.bindings import AS_OF_US
 
 SERIES_SQL = f"""tg AS (SELECT market_id, slug, end_us, best_bid AS prob, {STAMP_SQL} AS w, {DEADLINE_SQL} AS lad, regexp_replace(slug, '-(\\d{{9,11}})$', '') AS rol FROM markets),
  mm AS (SELECT *, CASE WHEN w > 0 THEN rol WHEN lad <> slug THEN lad END AS series_id, CASE WHEN w > 0 THEN 'ROLLING_WINDOW' ELSE 'DEADLINE_LADDER' END AS series_type, CASE WHEN w > 0 THEN w ELSE end_us END AS position FROM tg),
@@ -64,10 +64,11 @@ def _(t):
 @query("a22_max_rho", f"""WITH {EDGES_SQL}, e AS (SELECT market_a AS market_id, market_b AS peer, rho FROM edges UNION ALL SELECT market_b, market_a, rho FROM edges)
  SELECT market_id, round(max(abs(rho)), 6) AS max_rho FROM e WHERE cast(substr(market_id, 2) AS bigint) // 20 = cast(substr(peer, 2) AS bigint) // 20 GROUP BY 1""")
 def _(t):
-    e = RK.both_ways(edges(t))
+    once = cut_lineage(edges(t))  # read twice below
+    e = RK.both_ways(once)
     grp = lambda c: F.floor(F.substring(c, 2, 20).cast("long") / 20)
     peers = e.filter(grp("market_a") == grp("market_b")).select(F.col("market_a").alias("market_id"), F.col("market_b").alias("peer"))
-    return RK.max_abs_rho(edges(t), peers).withColumn("max_rho", F.round("max_rho", 6))
+    return RK.max_abs_rho(once, peers).withColumn("max_rho", F.round("max_rho", 6))
 
 
 TE_KEY = "market_id, lead, w"

@@ -13,7 +13,6 @@ from tapewatch.registry.join_queries import MEMBERS_SQL, SCORES_SQL, SYNC_US, ro
 from tapewatch.registry.micro import ZSCORE_SQL, zscores
 from tapewatch.registry.model_queries import ENTITY_OF, reach
 from tapewatch.registry.wallet_queries import WALLET_PNL_SQL, wallet_pnl
-from tapewatch.sources.bindings import AS_OF_US
 
 XSIG_SQL = f"""{ZSCORE_SQL}, {SCORES_SQL}, {MEMBERS_SQL},
  sg AS (SELECT event_id AS signal_id, z.market_id, tier, round(z, 6) AS z, wallet, asset_id, ts_us AS signal_us, end_us, event_id % 5 = 0 AS te FROM zs z JOIN markets m ON m.market_id = z.market_id WHERE z.z IS NOT NULL),

@@ -1,13 +1,16 @@
 """Registered report, window, top-k and set queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapewatch.catalog import query
+from tapewatch.operators.lineage import checkpoint_folder
 from tapewatch.operators import joins as J
 from tapewatch.operators import reports as R
 from tapewatch.operators.sequence import DAY, HOUR
 from tapewatch.registry.join_queries import LEGS_SQL, arbs
-from tapewatch.registry.micro import FILLS, IMPACT_SQL, WARM_SQL, ZSCORE_SQL, fills, impact, zscores
+from tapewatch.registry.micro import FILLS, IMPACT_SQL, ZSCORE_SQL, fills, impact, zscores
 from tapewatch.registry.source_queries import raw_samples
 from tapewatch.registry.wallet_queries import observed_bets
 from tapewatch.sources import readers as RD
@@ -24,17 +27,17 @@ def r(name, digits, source=None):
 @query("a1_tier_coverage", f"""SELECT tier, count(*) AS total_signals, count(*) FILTER (WHERE accepted = 1) AS accepted, count(*) FILTER (WHERE accepted = 0) AS rejected, round(avg(ev_net) FILTER (WHERE accepted = 1), 6) + 0.0 AS avg_ev,
  round(avg(posterior), 6) AS avg_posterior, count(DISTINCT market_id) AS distinct_markets, round(count(*) FILTER (WHERE accepted = 1) / count(*), 3) AS pass_rate FROM executions WHERE created_us > {SINCE} GROUP BY 1""")
 def _(t):
-    return R.tier_coverage(t.executions, SINCE).withColumn("avg_ev", F.round("avg_ev", 6)).withColumn("avg_posterior", F.round("avg_posterior", 6))
+    return R.tier_coverage(t.since("executions", SINCE), SINCE).withColumn("avg_ev", F.round("avg_ev", 6)).withColumn("avg_posterior", F.round("avg_posterior", 6))
 
 
 @query("a2_active_markets", f"""SELECT tier, market_id, count(*) AS total_signals, count(*) FILTER (WHERE accepted = 1) AS accepted, max(created_us) AS last_us, round(avg(ev_net) FILTER (WHERE accepted = 1), 6) + 0.0 AS avg_ev FROM executions
  WHERE created_us > {SINCE} GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY tier ORDER BY max(created_us) DESC, market_id) <= 100""")
 def _(t):
-    return R.active_markets(t.executions, SINCE).withColumn("avg_ev", F.round("avg_ev", 6))
+    return R.active_markets(t.since("executions", SINCE), SINCE).withColumn("avg_ev", F.round("avg_ev", 6))
 
 
-def coverage_rows(t):
-    return t.trades.join(t.markets.select("market_id", "tier"), "market_id").select(
+def coverage_rows(t, since_us):
+    return t.since("trades", since_us).join(t.markets.select("market_id", "tier"), "market_id").select(
         "tier", "market_id", "ts_us", F.col("price").alias("loss_rate"), (F.col("size") / 1000).alias("wallet_coverage"), (F.col("size") > 40).alias("page_saturated"),
         F.round("size").cast("long").alias("ws_ticks"), F.round("usd").cast("long").alias("api_received"),
     )
@@ -45,13 +48,13 @@ COV = "count(DISTINCT t.market_id) AS distinct_markets, count(*) AS total_polls,
 
 @query("a3_coverage_by_tier", f"SELECT tier, {COV} FROM trades t JOIN markets USING (market_id) WHERE ts_us > {AS_OF_US - 20 * DAY} GROUP BY 1")
 def _(t):
-    c = R.coverage_summary(coverage_rows(t), AS_OF_US - 20 * DAY)
+    c = R.coverage_summary(coverage_rows(t, AS_OF_US - 20 * DAY), AS_OF_US - 20 * DAY)
     return c.withColumn("avg_loss", F.round("avg_loss", 6)).withColumn("avg_wallet_coverage", F.round("avg_wallet_coverage", 6))
 
 
 @query("a3_coverage_total", f"SELECT {COV} FROM trades t JOIN markets USING (market_id) WHERE ts_us > {AS_OF_US - 20 * DAY}")
 def _(t):
-    c = R.coverage_summary(coverage_rows(t), AS_OF_US - 20 * DAY, by_tier=False)
+    c = R.coverage_summary(coverage_rows(t, AS_OF_US - 20 * DAY), AS_OF_US - 20 * DAY, by_tier=False)
     return c.withColumn("avg_loss", F.round("avg_loss", 6)).withColumn("avg_wallet_coverage", F.round("avg_wallet_coverage", 6))
 
 
@@ -64,7 +67,11 @@ SAMPLES_SQL = f"{IMPACT_SQL}, samples AS (SELECT asset_id, market_id, ts_us, del
 
 @query("s12_impact_samples", f"WITH {SAMPLES_SQL} SELECT asset_id, ts_us, trade_size, round(lambda_obs, 6) AS lambda_obs FROM samples WHERE trade_size > 0 AND lambda_obs > 0")
 def _(t):
-    return K.accepted_samples(samples(t)).select("asset_id", "ts_us", "trade_size", r("lambda_obs", 6))
+    # The guarded append, then what later readers see.
+    good = K.accepted_samples(samples(t)).withColumn("day", F.floor(F.col("ts_us") / DAY))
+    folder = f"{checkpoint_folder(good)}/impact-{uuid.uuid4().hex}"
+    K.append_parquet(good, folder, ["day"])
+    return t.spark.read.parquet(folder).select("asset_id", "ts_us", "trade_size", r("lambda_obs", 6))
 
 
 @query("a6_impact_p75", """WITH s AS (SELECT asset_id, size / (price * 10) AS l FROM trades WHERE event_type <> 'error'), k AS (SELECT asset_id, l, row_number() OVER (PARTITION BY asset_id ORDER BY l) - 1 AS i, count(*) OVER (PARTITION BY asset_id) AS n FROM s),

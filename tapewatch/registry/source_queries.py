@@ -1,12 +1,15 @@
 """Registered source and sink queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapewatch.catalog import query
+from tapewatch.operators.lineage import checkpoint_folder
 from tapewatch.operators import predicates as P
 from tapewatch.sources import readers as R
 from tapewatch.sources import sinks as K
-from tapewatch.sources.bindings import AS_OF_US, DAY_US, HOUR_US
+from tapewatch.sources.bindings import AS_OF_US, DAY_US
 
 MS = "ts_us div 1000"
 MS_SQL = "(ts_us // 1000)"
@@ -148,7 +151,11 @@ def _(t):
         F.col("closed_us").alias("ts_us"), "reason", F.col("est").alias("expected_ev"), F.col("pnl").alias("realized_pnl"),
         F.col("entry_price").alias("posterior_probability"), F.lit(0.25).alias("alpha"),
     )
-    return R.attribution_records(t.settlements.select(F.to_json(doc).alias("value")))
+    # Appended in two writes, as closed days would be, then read back.
+    folder = f"{checkpoint_folder(t.settlements)}/attribution-{uuid.uuid4().hex}"
+    for part in ("trade_id % 2 = 0", "trade_id % 2 = 1"):
+        K.append_json(t.settlements.filter(part).select(doc.alias("d")).select("d.*"), folder)
+    return R.attribution_records(t.spark.read.text(folder))
 
 
 @query("s9_log_metrics", f"""WITH l AS (SELECT *, 't' || (event_id % 5 + 1) AS tr, ts_us // 1000000 * 1000000 AS s FROM trades)

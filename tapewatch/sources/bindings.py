@@ -9,8 +9,10 @@ are the only dialect differences. Every view keeps all rows its base table holds
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF_US = 1706659200000000  # 2024-01-31 00:00:00 UTC, end of the event stream
 ORDERS_AS_OF_US = 1004918400000000  # 2001-11-05 00:00:00 UTC, end of orders and lineitem
@@ -249,9 +251,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bind(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+#: Stored time column of the base tables whose views carry an event time.
+STORED_TIME = {"events": "ts", "lineitem": "l_shipdate", "orders": "o_orderdate"}
+
+
+def bind(spark: SparkSession, sf_dir: str, view: str, since_us: int | None = None) -> DataFrame:
+    """One view; ``since_us`` also bounds the stored time column, so that the scan itself skips older rows."""
     base, exprs, where = VIEWS[view]
     df = load(spark, sf_dir, base)
+    if since_us is not None:
+        stored = STORED_TIME[base]
+        since = datetime.fromtimestamp(since_us // US, UTC).replace(tzinfo=None)
+        df = df.filter(F.col(stored) >= F.lit(since.isoformat(" ")).cast(df.schema[stored].dataType))
     if where:
         df = df.filter(where)
     return df.selectExpr(*[_render(e, _SPARK_US, _SPARK_K) for e in exprs])

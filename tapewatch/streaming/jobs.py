@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewatch.operators.lineage import checkpoint_folder
@@ -30,12 +30,24 @@ def with_event_time(df: DataFrame, delay_us: int) -> DataFrame:
     return df.withColumn("at", F.timestamp_micros("ts_us")).withWatermark("at", interval(delay_us))
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def closed(stream: DataFrame, at_us: int = 4_102_444_800_000_000) -> DataFrame:
+    """The stream with one row of empty fields at ``at_us`` (year 2100), which moves the watermark past the end of a finished input.
+
+    Windows of real rows then close and are written; the row's own window stays open. For replays of stored input only.
+    """
+    spark = stream.sparkSession
+    folder = f"{checkpoint_folder(stream)}/closing-{uuid.uuid4().hex}"
+    fields = [F.lit(at_us if f.name == "ts_us" else None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*fields).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def run_available(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """Process everything available, then return what the query wrote.
 
-    Output and progress go to new folders in the session's checkpoint folder.
+    Output and progress go to new folders in the session's checkpoint folder, or to ``root``, where a later run goes on.
     """
-    root = f"{checkpoint_folder(stream)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{checkpoint_folder(stream)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
         .trigger(availableNow=True).start()
@@ -53,6 +65,10 @@ def stateful(stream: DataFrame, keys: list[str], processor, time_mode: str = "No
     )
 
 
+def time_mode(ttl_ms: int | None) -> str:
+    return "ProcessingTime" if ttl_ms else "None"
+
+
 def entropy_signals(ticks: DataFrame, window_us: int = 5 * US) -> DataFrame:
     return stateful(ticks.select("asset_id", "event_id", "ts_us", "side", "size"), ["asset_id"], P.EntropyDetector(window_us))
 
@@ -67,14 +83,14 @@ def arbitrage_legs(asks: DataFrame, max_total: float = 0.97, min_depth: float =
     return stateful(rows, ["market_id"], P.ArbitrageLegs(max_total, min_depth, ttl_us), "EventTime")
 
 
-def cooldown_triggers(trades: DataFrame, min_usd: float = 500.0, cooldown_us: int = 2 * US) -> DataFrame:
-    """Small trades are dropped before the shuffle."""
+def cooldown_triggers(trades: DataFrame, min_usd: float = 500.0, cooldown_us: int = 2 * US, ttl_ms: int | None = None) -> DataFrame:
+    """Small trades are dropped before the shuffle. ``ttl_ms`` (of processing time) needs a trigger that runs on, not one that ends."""
     rows = trades.filter(F.col("usd") >= min_usd).select("market_id", "event_id", "ts_us", "usd")
-    return stateful(rows, ["market_id"], P.Cooldown(min_usd, cooldown_us))
+    return stateful(rows, ["market_id"], P.Cooldown(min_usd, cooldown_us, ttl_ms), time_mode(ttl_ms))
 
 
-def first_alerts(alerts: DataFrame) -> DataFrame:
-    return stateful(alerts.select("alert_key", "event_id", "ts_us"), ["alert_key"], P.FirstAlert())
+def first_alerts(alerts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    return stateful(alerts.select("alert_key", "event_id", "ts_us"), ["alert_key"], P.FirstAlert(ttl_ms), time_mode(ttl_ms))
 
 
 def order_sessions(fills: DataFrame, gap_us: int = 30 * US) -> DataFrame:

@@ -1,12 +1,14 @@
 """Keyed state processors for detectors that need ordered per-key state.
 
-A key's rows of a micro-batch are sorted by event time; rows at or before the key's cursor are
-late and dropped. State is small and bounded by the detector's window.
+A key's rows of a micro-batch are sorted by (event time, event id), which is also a key's cursor. Rows of equal time are
+never lost; rows at or before the cursor are late and are handed on as such. State is small and bounded by the
+detector's window.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
@@ -16,11 +18,21 @@ def _batch(rows) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
 
 
+def _instants(rows, cursor: tuple[int, int]):
+    """Split a micro-batch: rows at or before the cursor (late), and the others in groups of equal time."""
+    frame = _batch(rows)
+    late = (frame["ts_us"] < cursor[0]) | ((frame["ts_us"] == cursor[0]) & (frame["event_id"] <= cursor[1]))
+    return frame[late], frame[~late].groupby("ts_us", sort=True)
+
+
 class EntropyDetector(StatefulProcessor):
-    """Rolling trade-side entropy and its z-score per asset (batch twin: rolling_entropy, entropy_zscore)."""
+    """Rolling trade-side entropy and its z-score per asset (batch twin: rolling_entropy, entropy_zscore).
+
+    Rows of one instant count together. Every row gives one output row; a row behind the key's cursor only gives one marked ``late``.
+    """
 
-    SCHEMA = "asset_id string, event_id long, ts_us long, entropy double, z double"
-    STATE = "ts array<bigint>, buy array<double>, sell array<double>, hist array<double>, last bigint"
+    SCHEMA = "asset_id string, event_id long, ts_us long, entropy double, z double, late boolean"
+    STATE = "ts array<bigint>, buy array<double>, sell array<double>, hist array<double>, last bigint, last_id bigint"
 
     def __init__(self, window_us: int, history: int = 200, min_history: int = 12):
         self.window_us, self.history, self.min_history = window_us, history, min_history
@@ -29,28 +41,36 @@ class EntropyDetector(StatefulProcessor):
         self.state = handle.getValueState("window", self.STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        kept = self.state.get() if self.state.exists() else ([], [], [], [], -1)
-        ts, buy, sell, hist, last = [list(x) if isinstance(x, (list, tuple)) else x for x in kept]
-        out = []
-        for r in _batch(rows).itertuples():
-            if r.ts_us <= last:
-                continue
-            last = int(r.ts_us)
-            ts.append(last)
-            buy.append(float(r.size) if r.side == "BUY" else 0.0)
-            sell.append(float(r.size) if r.side == "SELL" else 0.0)
-            drop = next(i for i, t in enumerate(ts) if t >= last - self.window_us)
-            ts, buy, sell = ts[drop:], buy[drop:], sell[drop:]
-            h = z = None
-            total = sum(buy) + sum(sell)
-            if len(ts) >= 2 and total > 0:
-                shares = (max(1e-18, v / total) for v in (sum(buy), sum(sell)))
-                h = -sum(p * math.log2(p) for p in shares)
-                hist = [*hist[-(self.history - 1):], h]
-                z = self._score(hist)
-            out.append((key[0], int(r.event_id), last, h, z))
-        self.state.update((ts, buy, sell, hist, last))
-        yield pd.DataFrame(out, columns=["asset_id", "event_id", "ts_us", "entropy", "z"])
+        ts, buy, sell, hist, last, last_id = self.state.get() if self.state.exists() else ([], [], [], [], -1, -1)
+        window, hist = deque(zip(ts, buy, sell)), deque(hist, maxlen=self.history)
+        bought, sold = math.fsum(buy), math.fsum(sell)
+        late, instants = _instants(rows, (last, last_id))
+        out = [(key[0], int(r.event_id), int(r.ts_us), None, None, True) for r in late.itertuples()]
+        for now, group in instants:
+            last, last_id = int(now), int(group["event_id"].iloc[-1])
+            for r in group.itertuples():
+                b, s = (float(r.size), 0.0) if r.side == "BUY" else (0.0, float(r.size))
+                window.append((last, b, s))
+                bought, sold = bought + b, sold + s
+            gone = len(window)
+            while window[0][0] < last - self.window_us:
+                _, b, s = window.popleft()
+                bought, sold = bought - b, sold - s
+            if len(window) < gone:
+                # What rounding leaves of a side that is gone counts as zero.
+                bought = bought if any(x[1] for x in window) else 0.0
+                sold = sold if any(x[2] for x in window) else 0.0
+            total, h = bought + sold, None
+            if len(window) >= 2 and total > 0:
+                h = -sum(p * math.log2(p) for p in (max(1e-18, v / total) for v in (bought, sold)))
+            for r in group.itertuples():
+                z = None
+                if h is not None:
+                    hist.append(h)
+                    z = self._score(list(hist))
+                out.append((key[0], int(r.event_id), last, h, z, False))
+        self.state.update(([x[0] for x in window], [x[1] for x in window], [x[2] for x in window], list(hist), last, last_id))
+        yield pd.DataFrame(out, columns=["asset_id", "event_id", "ts_us", "entropy", "z", "late"])
 
     def _score(self, hist: list[float]) -> float | None:
         if len(hist) < self.min_history or len(hist) < 3:
@@ -66,10 +86,13 @@ class EntropyDetector(StatefulProcessor):
 
 
 class FlowShockDetector(StatefulProcessor):
-    """One-sided flow shocks per coin (batch twin: flow_shocks without mids)."""
+    """One-sided flow shocks per coin (batch twin: flow_shocks without mids).
 
-    SCHEMA = "coin string, event_id long, ts_us long, n_events long, total_usd double, ofi double"
-    STATE = "ts array<bigint>, notional array<double>, last bigint"
+    Rows of one instant count together; rows behind the key's cursor give an output row marked ``late``.
+    """
+
+    SCHEMA = "coin string, event_id long, ts_us long, n_events long, total_usd double, ofi double, late boolean"
+    STATE = "ts array<bigint>, notional array<double>, last bigint, last_id bigint"
 
     def __init__(self, window_us: int, min_notional: float, imbalance: float, gap_us: int):
         self.window_us, self.min_notional, self.imbalance, self.gap_us = window_us, min_notional, imbalance, gap_us
@@ -78,26 +101,32 @@ class FlowShockDetector(StatefulProcessor):
         self.state = handle.getValueState("flow", self.STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        ts, signed, last = self.state.get() if self.state.exists() else ([], [], -1)
-        ts, signed = list(ts), list(signed)
-        out = []
-        for r in _batch(rows).itertuples():
-            if r.ts_us <= last or r.price <= 0 or r.size <= 0:
+        ts, signed, last, last_id = self.state.get() if self.state.exists() else ([], [], -1, -1)
+        window = deque(zip(ts, signed))
+        total, ofi = math.fsum(map(abs, signed)), math.fsum(signed)
+        late, instants = _instants(rows, (last, last_id))
+        out = [(key[0], int(r.event_id), int(r.ts_us), None, None, None, True) for r in late.itertuples()]
+        for now, group in instants:
+            valid, kept = group[(group["price"] > 0) & (group["size"] > 0)], []
+            for r in valid.itertuples():
+                stalled, last, last_id = 0 <= last < now - self.gap_us, int(now), int(r.event_id)
+                if stalled:
+                    window.clear()
+                    total = ofi = 0.0
+                    continue
+                usd = float(r.price * r.size) * (1 if r.side == "BUY" else -1)
+                window.append((last, usd))
+                total, ofi = total + abs(usd), ofi + usd
+                kept.append(int(r.event_id))
+            if not kept:
                 continue
-            now, gap = int(r.ts_us), int(r.ts_us) - last
-            stalled, last = last >= 0 and gap > self.gap_us, now
-            if stalled:
-                ts, signed = [], []
-                continue
-            ts.append(now)
-            signed.append(float(r.price * r.size) * (1 if r.side == "BUY" else -1))
-            drop = next(i for i, t in enumerate(ts) if t >= now - self.window_us)
-            ts, signed = ts[drop:], signed[drop:]
-            total, ofi = sum(map(abs, signed)), sum(signed)
-            if len(ts) >= 2 and total >= self.min_notional and abs(ofi) / max(total, 1e-12) >= self.imbalance:
-                out.append((key[0], int(r.event_id), now, len(ts), total, ofi))
-        self.state.update((ts, signed, last))
-        yield pd.DataFrame(out, columns=["coin", "event_id", "ts_us", "n_events", "total_usd", "ofi"])
+            while window[0][0] < last - self.window_us:
+                usd = window.popleft()[1]
+                total, ofi = total - abs(usd), ofi - usd
+            if len(window) >= 2 and total >= self.min_notional and abs(ofi) / max(total, 1e-12) >= self.imbalance:
+                out += [(key[0], i, last, len(window), total, ofi, False) for i in kept]
+        self.state.update(([x[0] for x in window], [x[1] for x in window], last, last_id))
+        yield pd.DataFrame(out, columns=["coin", "event_id", "ts_us", "n_events", "total_usd", "ofi", "late"])
 
     def close(self) -> None:
         pass
@@ -106,8 +135,8 @@ class FlowShockDetector(StatefulProcessor):
 class ArbitrageLegs(StatefulProcessor):
     """Latest YES and NO asks per market with expiry (batch twin: arbitrage_legs)."""
 
-    SCHEMA = "market_id string, event_id long, ts_us long, total double, depth double"
-    STATE = "yp double, ys double, yt bigint, np double, ns double, nt bigint"
+    SCHEMA = "market_id string, event_id long, ts_us long, total double, depth double, late boolean"
+    STATE = "yp double, ys double, yt bigint, np double, ns double, nt bigint, last_id bigint"
 
     def __init__(self, max_total: float, min_depth: float, ttl_us: int):
         self.max_total, self.min_depth, self.ttl_us = max_total, min_depth, ttl_us
@@ -117,42 +146,47 @@ class ArbitrageLegs(StatefulProcessor):
         self.state = handle.getValueState("legs", self.STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        yp, ys, yt, np_, ns, nt = self.state.get() if self.state.exists() else (0.0, 0.0, -1, 0.0, 0.0, -1)
+        yp, ys, yt, np_, ns, nt, last_id = self.state.get() if self.state.exists() else (0.0, 0.0, -1, 0.0, 0.0, -1, -1)
         out = []
         for r in _batch(rows).itertuples():
             now = int(r.ts_us)
-            if now <= max(yt, nt):
+            if (now, int(r.event_id)) <= (max(yt, nt), last_id):
+                out.append((key[0], int(r.event_id), now, None, None, True))
                 continue
+            last_id = int(r.event_id)
             if r.outcome == "YES":
                 yp, ys, yt = float(r.ask), float(r.ask_size), now
             else:
                 np_, ns, nt = float(r.ask), float(r.ask_size), now
-            if min(yt, nt) >= 0 and yp + np_ < self.max_total and min(ys, ns) >= self.min_depth:
-                out.append((key[0], int(r.event_id), now, yp + np_, min(ys, ns)))
-        self.state.update((yp, ys, yt, np_, ns, nt))
+            if min(yt, nt) >= 0 and round(yp + np_, 6) < self.max_total and min(ys, ns) >= self.min_depth:
+                out.append((key[0], int(r.event_id), now, yp + np_, min(ys, ns), False))
+        self.state.update((yp, ys, yt, np_, ns, nt, last_id))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
         self.handle.registerTimer(max(yt, nt) // 1000 + self.ttl_us // 1000)
-        yield pd.DataFrame(out, columns=["market_id", "event_id", "ts_us", "total", "depth"])
+        yield pd.DataFrame(out, columns=["market_id", "event_id", "ts_us", "total", "depth", "late"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.state.clear()
-        yield pd.DataFrame([], columns=["market_id", "event_id", "ts_us", "total", "depth"])
+        yield pd.DataFrame([], columns=["market_id", "event_id", "ts_us", "total", "depth", "late"])
 
     def close(self) -> None:
         pass
 
 
 class Cooldown(StatefulProcessor):
-    """Large trades, each silencing its market for the cooldown (batch twin: cooldown_triggers)."""
+    """Large trades, each silencing its market for the cooldown (batch twin: cooldown_triggers).
+
+    A market without a trigger for ``ttl_ms`` of processing time is forgotten.
+    """
 
     SCHEMA = "market_id string, event_id long, ts_us long, usd double"
 
-    def __init__(self, min_usd: float, cooldown_us: int):
-        self.min_usd, self.cooldown_us = min_usd, cooldown_us
+    def __init__(self, min_usd: float, cooldown_us: int, ttl_ms: int | None = None):
+        self.min_usd, self.cooldown_us, self.ttl_ms = min_usd, cooldown_us, ttl_ms
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("last", "ts bigint")
+        self.state = handle.getValueState("last", "ts bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         last = self.state.get()[0] if self.state.exists() else None

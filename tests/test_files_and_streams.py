@@ -64,7 +64,7 @@ def split_trades(spark, tmp_path):
 def test_entropy_stream_equals_batch(spark, split_trades):
     stream, trades = split_trades
     key = lambda df: df.withColumn("asset_id", F.col("market_id"))
-    out = S.run_available(S.entropy_signals(key(stream), 12 * HOUR)).filter("entropy is not null")
+    out = S.run_available(S.entropy_signals(key(stream), 12 * HOUR)).filter("not late and entropy is not null")
     got = {r.event_id: (round(r.entropy, 6), None if r.z is None else round(r.z, 4)) for r in out.collect()}
     z = M.entropy_zscore(M.rolling_entropy(key(trades), 12 * HOUR))
     want = {r.event_id: (round(r.entropy, 6), None if r.z is None else round(r.z, 4)) for r in z.collect()}
@@ -91,3 +91,36 @@ def test_upsert_stream_counts_every_row_once(spark, split_trades, tmp_path):
     got = {r.wallet: r.n for r in S.upsert_sink(stream, merge, table).collect()}
     want = {r.wallet: r["count"] for r in trades.groupBy("wallet").count().collect()}
     assert got == want
+
+
+def test_equal_times_and_late_rows(spark, tmp_path):
+    """Rows of one instant all count; rows behind the cursor come out as late, also after a restart."""
+    schema = "event_id long, ts_us long, asset_id string, side string, size double"
+    first = [(1, 100, "a", "BUY", 1.0), (2, 100, "a", "SELL", 3.0), (3, 200, "a", "BUY", 2.0), (4, 200, "a", "SELL", 2.0), (5, 300, "b", "BUY", 1.0)]
+    later = [(6, 150, "a", "BUY", 9.0), (7, 200, "a", "BUY", 4.0), (8, 250, "a", "SELL", 1.0)]
+    for rows in (first, later):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = S.run_available(S.entropy_signals(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 1000), root=f"{tmp_path}/run")
+    got = {r.event_id: (r.late, None if r.entropy is None else round(r.entropy, 4)) for r in out.collect()}
+    assert {k for k, v in got.items() if v[0]} == {6} and len(got) == 8
+    assert got[1] == got[2] == (False, 0.8113) and got[3] == got[4] and got[7][1] is not None
+    batch = M.rolling_entropy(spark.createDataFrame(first, schema), 1000)
+    assert all(got[r.event_id][1] == (None if r.entropy is None else round(r.entropy, 4)) for r in batch.collect())
+
+
+def test_both_legs_of_one_instant(spark, tmp_path):
+    rows = [(1, 100, "m", "YES", 0.4, 90.0), (2, 100, "m", "NO", 0.5, 80.0), (3, 90, "m", "NO", 0.1, 80.0)]
+    schema = "event_id long, ts_us long, market_id string, outcome string, ask double, ask_size double"
+    spark.createDataFrame(rows[:2], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    run = lambda: S.run_available(S.arbitrage_legs(S.with_event_time(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 10**9)), root=f"{tmp_path}/run")
+    assert [(r.event_id, r.total, r.late) for r in run().collect()] == [(2, 0.9, False)]
+    spark.createDataFrame(rows[2:], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert sorted((r.event_id, r.late) for r in run().collect()) == [(2, False), (3, True)]
+
+
+def test_windows_close_at_the_end_of_a_replay(spark, tmp_path):
+    schema = "event_id long, ts_us long, market_id string, usd double"
+    spark.createDataFrame([(1, 10**15, "m", 2.0), (2, 10**15 + 1, "m", 3.0)], schema).write.parquet(f"{tmp_path}/in")
+    stream = S.closed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    out = S.run_available(S.market_windows(S.with_event_time(stream, 3_600_000_000), 300_000_000)).collect()
+    assert [(r.market_id, r.trades, r.usd) for r in out] == [("m", 2, 5.0)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.operators import microstructure as M
 from tapewatch.operators import wallets as A
-from tapewatch.operators.sequence import HOUR, US, numbered, previous_row, row_frame, running, with_slice
+from tapewatch.operators.sequence import HOUR, US, fit_width, numbered, previous_row, row_frame, running, with_slice
 from tapewatch.sources import sinks as K
 
 
@@ -38,7 +38,7 @@ def same_for_all_widths(make):
 
 def test_slices_bound_the_largest_group(hot):
     whole = hot.groupBy("market_id").count().agg(F.max("count")).head()[0]
-    cut = with_slice(hot, "ts_us", HOUR).groupBy("market_id", "_slice").count().agg(F.max("count")).head()[0]
+    cut = with_slice(hot, "market_id", "ts_us", HOUR).groupBy("market_id", "_slice").count().agg(F.max("count")).head()[0]
     assert cut * 10 < whole
 
 
@@ -96,3 +96,64 @@ def test_retention_above_the_window_limit_threshold(spark):
     df = spark.range(5000).select(F.lit("k").alias("k"), F.col("id"))
     kept = K.keep_newest(df, ["k"], [F.desc("id")], 1440)
     assert kept.count() == 1440 and kept.agg(F.min("id")).head()[0] == 5000 - 1440
+
+
+def test_fitted_slices_bound_a_hot_hour(spark):
+    """A million rows of one key in one hour: no slice holds more than wanted, and null keys count as a key."""
+    rows = spark.range(1_000_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.lit(None)).alias("market_id"), (F.col("id") * 3600).alias("ts_us"), F.col("id").alias("event_id"))
+    width = fit_width(rows, "market_id", "ts_us", 24 * HOUR, rows=50_000)
+    fullest = with_slice(rows, "market_id", "ts_us", width).groupBy("_key", "_slice").count().agg(F.max("count")).head()[0]
+    assert fullest <= 50_000 and width > 1
+    n = numbered(rows, "market_id", ["ts_us", "event_id"], "ts_us", width)
+    assert sorted(tuple(r) for r in n.groupBy("market_id").agg(F.max("rn"), F.countDistinct("rn")).na.fill("-").collect()) == [("-", 100_000, 100_000), ("hot", 900_000, 900_000)]
+    assert fit_width(rows.limit(0), "market_id", "ts_us", HOUR) == HOUR
+
+
+def test_rows_are_shuffled_once(spark, hot):
+    """The window's partitioning serves the join of carried values; only one row per slice travels besides."""
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        source = spark.createDataFrame([(1, 1, "a", 1.0)], "event_id long, ts_us long, market_id string, size double")
+        plan = running(source, "market_id", ["ts_us", "event_id"], "ts_us", HOUR, {"s": ("sum", F.col("size"))})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    join = plan.index("SortMergeJoin")
+    rows_side = plan[join : plan.index("Window [sum(_s0", join)] if "Window [sum(_s0" in plan[join:] else plan[join:]
+    assert rows_side.count("Window") >= 1 and rows_side[: rows_side.index("Scan")].count("Exchange") == 1
+
+
+def test_range_frames_equal_plain_frames(hot):
+    from pyspark.sql import Window as W
+
+    from tapewatch.operators.sequence import range_frame
+
+    tied = hot.withColumn("ts_us", F.floor(F.col("ts_us") / (600 * US)) * 600 * US)
+    w = W.partitionBy("market_id").orderBy("ts_us").rangeBetween(-3 * HOUR, 0)
+    want = tied.select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.sum("size").over(w).alias("s"))
+    got = range_frame(tied, "market_id", "ts_us", 3 * HOUR, {"n": F.count(F.lit(1)), "s": F.sum("size")}).select("event_id", "n", "s")
+    assert rows_of(got) == rows_of(want)
+
+
+def test_time_bounds_reach_the_scan(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    for name, column in (("a1_tier_coverage", "l_shipdate"), ("a3_coverage_total", "ts"), ("j14_consensus_ready", "ts")):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"PushedFilters: \[[^\]]*GreaterThanOrEqual\({column}", plan), name
+
+
+def test_component_ids_are_one_formula(spark):
+    from tapewatch.operators.graph import member_ids
+
+    rows = [("small", f"w{k}") for k in range(5)] + [("large", f"v{k}") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "component string, node string")
+    ids = {r.component: r.entity_id for r in member_ids(df, "e_").collect()}
+    again = {r.component: r.entity_id for r in member_ids(df.orderBy(F.desc("node")).repartition(7), "e_").collect()}
+    less = {r.component: r.entity_id for r in member_ids(df.filter("node not in ('w4', 'v19999')"), "e_").collect()}
+    assert ids == again and all(less[k] != ids[k] and len(ids[k]) == 18 for k in ids)
