@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import cut_lineage, map_batches
+from tapewatch.llm.common import BROADCAST_ROWS, broadcast_if_small, cut_lineage, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -181,17 +181,18 @@ def score_graph(found: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tup
     """
     edges = found.groupBy("pattern", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed"))
     support = edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"), F.sum("n").alias("slots")).filter(F.col("seeds") >= MIN_SEEDS)
-    # What isn't found at MIN_SEEDS different seeds of a kind never becomes a pattern.
-    kept = cut_lineage(edges.join(support, ["pattern", "kind"]))
+    # What isn't found at MIN_SEEDS different seeds of a kind never becomes a pattern. The few patterns go to the many edges, as
+    # one shape may hold most edges of its kind.
+    kept = cut_lineage(edges.join(broadcast_if_small(cut_lineage(support)), ["pattern", "kind"]))
     asked = kept.select("pattern", "kind", "slots").distinct()
     total = words.select(F.concat(F.lit("w:"), "before").alias("pattern"), "total")
     known = cut_lineage(asked.filter("pattern like 'w:%'").join(total, "pattern").select("pattern", "kind", "total").union(asked.filter("pattern like 's:%'").select("pattern", "kind", "slots")))
-    instances = None
+    instances, to_edges = None, F.broadcast if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     for _ in range(rounds):
         scored = kept.withColumn("score", F.col("seed").cast("double")) if instances is None else kept.join(instances, ["kind", "value"])
         patterns = scored.groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.max("seeds").alias("seeds"))
         patterns = patterns.join(known, ["pattern", "kind"]).select("pattern", "kind", "seeds", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + SMOOTHING)).alias("p"))
-        instances = kept.join(patterns.select("pattern", "kind", "p"), ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("noisy_or"), F.max("seed").alias("is_seed"))
+        instances = kept.join(to_edges(patterns.select("pattern", "kind", "p")), ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("p")))))).alias("noisy_or"), F.max("seed").alias("is_seed"))
         instances = instances.select("kind", "value", F.when(F.col("is_seed") == 1, 1.0).otherwise(F.col("noisy_or")).alias("score"))
     return patterns.withColumnRenamed("p", "score"), instances
 
@@ -201,7 +202,7 @@ def personal_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = cut_lineage(scan(df, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     found = patterns_of(rows.select("row", F.inline("slots")))
     patterns, instances = score_graph(found, word_counts(df, text))
-    strong = patterns.filter(F.col("score") >= PATTERN_SCORE).select("pattern", "kind")
+    strong = broadcast_if_small(cut_lineage(patterns.filter(F.col("score") >= PATTERN_SCORE).select("pattern", "kind")))
     believed = instances.filter(F.col("score") >= INSTANCE_SCORE).select("kind", "value")
     new = found.filter("not seed").join(strong, ["pattern", "kind"]).join(believed, ["kind", "value"])
     added = new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
