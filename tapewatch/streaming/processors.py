@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from itertools import groupby
+from operator import attrgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -22,7 +25,7 @@ def _instants(rows, cursor: tuple[int, int]):
     """Split a micro-batch: rows at or before the cursor (late), and the others in groups of equal time."""
     frame = _batch(rows)
     late = (frame["ts_us"] < cursor[0]) | ((frame["ts_us"] == cursor[0]) & (frame["event_id"] <= cursor[1]))
-    return frame[late], frame[~late].groupby("ts_us", sort=True)
+    return frame[late], ((now, list(group)) for now, group in groupby(frame[~late].itertuples(), key=attrgetter("ts_us")))
 
 
 class EntropyDetector(StatefulProcessor):
@@ -43,41 +46,37 @@ class EntropyDetector(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         ts, buy, sell, hist, last, last_id = self.state.get() if self.state.exists() else ([], [], [], [], -1, -1)
         window, hist = deque(zip(ts, buy, sell)), deque(hist, maxlen=self.history)
-        bought, sold = math.fsum(buy), math.fsum(sell)
+        bought, sold, buys, sells = math.fsum(buy), math.fsum(sell), sum(map(bool, buy)), sum(map(bool, sell))
         late, instants = _instants(rows, (last, last_id))
         out = [(key[0], int(r.event_id), int(r.ts_us), None, None, True) for r in late.itertuples()]
         for now, group in instants:
-            last, last_id = int(now), int(group["event_id"].iloc[-1])
-            for r in group.itertuples():
+            last, last_id = int(now), int(group[-1].event_id)
+            for r in group:
                 b, s = (float(r.size), 0.0) if r.side == "BUY" else (0.0, float(r.size))
                 window.append((last, b, s))
-                bought, sold = bought + b, sold + s
-            gone = len(window)
+                bought, sold, buys, sells = bought + b, sold + s, buys + bool(b), sells + bool(s)
             while window[0][0] < last - self.window_us:
                 _, b, s = window.popleft()
-                bought, sold = bought - b, sold - s
-            if len(window) < gone:
-                # What rounding leaves of a side that is gone counts as zero.
-                bought = bought if any(x[1] for x in window) else 0.0
-                sold = sold if any(x[2] for x in window) else 0.0
+                bought, sold, buys, sells = bought - b, sold - s, buys - bool(b), sells - bool(s)
+            # What rounding leaves of a side that is gone counts as zero.
+            bought, sold = bought if buys else 0.0, sold if sells else 0.0
             total, h = bought + sold, None
             if len(window) >= 2 and total > 0:
                 h = -sum(p * math.log2(p) for p in (max(1e-18, v / total) for v in (bought, sold)))
-            for r in group.itertuples():
+            for r in group:
                 z = None
                 if h is not None:
                     hist.append(h)
-                    z = self._score(list(hist))
+                    z = self._score(hist)
                 out.append((key[0], int(r.event_id), last, h, z, False))
         self.state.update(([x[0] for x in window], [x[1] for x in window], [x[2] for x in window], list(hist), last, last_id))
         yield pd.DataFrame(out, columns=["asset_id", "event_id", "ts_us", "entropy", "z", "late"])
 
-    def _score(self, hist: list[float]) -> float | None:
+    def _score(self, hist: deque) -> float | None:
         if len(hist) < self.min_history or len(hist) < 3:
             return None
-        prior = hist[:-1]
-        mean = sum(prior) / len(prior)
-        var = sum((x - mean) ** 2 for x in prior) / (len(prior) - 1)
+        prior = np.fromiter(hist, dtype=float, count=len(hist))[:-1]
+        var = float(prior.var(ddof=1))
         sigma = math.sqrt(var) if var > 1e-12 else 1e-6
         return max(-50.0, min(50.0, (hist[-1] - hist[-2]) / sigma))
 
@@ -107,8 +106,10 @@ class FlowShockDetector(StatefulProcessor):
         late, instants = _instants(rows, (last, last_id))
         out = [(key[0], int(r.event_id), int(r.ts_us), None, None, None, True) for r in late.itertuples()]
         for now, group in instants:
-            valid, kept = group[(group["price"] > 0) & (group["size"] > 0)], []
-            for r in valid.itertuples():
+            kept = []
+            for r in group:
+                if not (r.price > 0 and r.size > 0):
+                    continue
                 stalled, last, last_id = 0 <= last < now - self.gap_us, int(now), int(r.event_id)
                 if stalled:
                     window.clear()
