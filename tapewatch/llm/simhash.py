@@ -164,15 +164,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return docs.join(known, "bits").select("doc_id", "bits", "component_id")
 
 
-def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of ``df`` per component, with its columns: the row of the smallest id, of equal ids the one of the smallest text digest, of rows that
+def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:
+    """One row of ``df`` per component that ``find`` names, with its columns: the row of the smallest id, of equal ids the one of the smallest text digest, of rows that
     repeat both the first; a row without id stays only if its component has no other.
 
     Rows are told apart by id and MD5 of the text, so no copy of the documents is made.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), digest.alias("digest"))
-    found = near_duplicates(df.select(order.alias("_order"), F.col(text).alias("_text")), "_order", "_text", **options)
+    found = find(df.select(order.alias("_order"), F.col(text).alias("_text")), "_order", "_text", **options)
     kept = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
     joined = df.withColumn("_order", order).join(broadcast_if_small(kept), F.col("_order") == F.col("_key"))
     once = joined.filter("_n = 1")
