@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -28,6 +29,9 @@ from tapewatch.llm.common import broadcast_if_small, cut_lineage, map_batches
 MAX_BITS = 16
 CHECKPOINT_IDS = 256
 BLOCK_IDS = 1 << 18
+#: Longer runs of white space are cut out of a text before its pattern is matched, as tiktoken's matcher fails at a million.
+LONG_RUN = 100_000
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 BLOCKS = "part int, block int, first_id bigint, n_ids bigint, doc_ids array<bigint>, doc_lengths array<bigint>, checkpoints binary, bits binary"
 
 
@@ -49,8 +53,23 @@ def byte_encoder(path: str):
     # The split pattern of byte-level BPE, fixed by the format.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
-    return lambda text: encoding.encode(text, allowed_special=allowed)
+    allowed, specials = set(special), tuple(special)
+
+    def encode(text: str) -> list[int]:
+        runs = [m.span() for m in WHITE.finditer(text) if m.end() - m.start() > LONG_RUN] if len(text) > LONG_RUN else []
+        if not runs:
+            return encoding.encode(text, allowed_special=allowed)
+        ids, at = [], 0
+        for begin, end in runs:
+            # A run is one piece of the pattern, but for its last character if other text follows.
+            if end < len(text) and not text.startswith(specials, end):
+                end -= 1
+            ids += encoding.encode(text[at:begin], allowed_special=allowed)
+            ids += encoding._encode_single_piece(text[begin:end].encode())
+            at = end
+        return ids + encoding.encode(text[at:], allowed_special=allowed)
+
+    return encode
 
 
 def id_width(path: str) -> str:

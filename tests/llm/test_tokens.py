@@ -126,6 +126,17 @@ def test_empty_file_set(spark, tmp_path):
     assert huffman.read_token_files(spark, f"{tmp_path}/f").count() == 0
 
 
+def test_long_white_space_runs(library, monkeypatch):
+    encode = huffman.byte_encoder(BYTE_FILE)
+    assert len(encode(" " * 2_000_000 + "x")) == 2_000_000
+    assert encode("a" + "\n" * 1_200_000 + "b") == library[1].encode("a" + "\n" * 1_200_000 + "b", add_special_tokens=False).ids
+    monkeypatch.setattr(huffman, "LONG_RUN", 3)
+    draw = random.Random(9)
+    for _ in range(2000):
+        text = "".join(draw.choice([" ", "    ", "\n", "\t \t\t", "\x1c", "\xa0", "\u3000\u2009 ", "it's", "é", "12", "..", "<|endoftext|>", "<|"]) for _ in range(draw.randint(1, 12)))
+        assert encode(text) == library[1].encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_file_query(spark, library):
     start = 0
     got = {r.doc_id: r for r in QUERIES["op10_huffman_token_files"](spark, FOLDER).collect()}
