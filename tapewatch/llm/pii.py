@@ -39,14 +39,22 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Slots: looser forms of each kind.
 LOOSE = {
-    "email": re.compile(r"(?<![\w.+-])[\w.+-]++(?: ?(?:@|[\[(]at[\])]) ?[\w-]++(?: ?(?:\.|[\[(]dot[\])]) ?[\w-]++)+| at [\w-]++(?: dot [\w-]++)+)", re.I),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ .-][0-9]{2,6}){2,4}(?![0-9])|(?<![0-9])[0-9]{12,19}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9(+])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9])|(?<![0-9])[0-9]{8,11}(?![0-9])"),
 }
-NEAR_AT = re.compile(r"@|[\[(]at[\])]| at (?=[\w-]{1,63} dot )", re.I)
+# Loose addresses are read from their "at": the local part backwards, the host forwards.
+_AT = r" ?(?:@|[\[(]at[\])])"
+#: After a blank, a host doesn't go on with the local part of the next address.
+_NEXT = rf"(?![\w.+-]++(?:{_AT}| at [\w-]++ dot ))"
+NEAR_AT = re.compile(rf"{_AT} ?[\w-]++(?: ?(?:\.|[\[(]dot[\])])(?: {_NEXT})?[\w-]++)+| at [\w-]++(?: dot [\w-]++)+", re.I)
+LOCAL = re.compile(r"[\w.+-]")
 NUMBERS = re.compile(r"[0-9][0-9 ()\[\].,/-]{5,}[0-9]")
-WORD_BEFORE = re.compile(r"(\S{1,40})[ \t]*$")
+#: A longer word before a slot counts by its end.
+WORD = 40
+WORD_BEFORE = re.compile(rf"(\S{{1,{WORD}}})[ \t]*$")
+#: Places in a word after which a slot may start: what stands before is a context glued to its value, as ``ip=``.
+GLUED = re.compile(r"\S(?=[(+])|[^\W\d](?=\d)|[^\w\s](?=[\w.])")
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +97,26 @@ def _word_before(text: str, at: int) -> str | None:
     return m[1].lower() if m else None
 
 
+def _addresses(text: str, known: list[tuple[int, int]]):
+    """Spans of loose addresses beside the ``known`` ones; a local part reaches back to the end of the address before, at most."""
+    free, at = 0, 0
+    known = iter(known)
+    taken = next(known, None)
+    while m := NEAR_AT.search(text, at):
+        while taken and taken[1] <= m.start():
+            free, taken = max(free, taken[1]), next(known, None)
+        if taken and taken[0] <= m.start():
+            at = taken[1]
+            continue
+        begin = m.start()
+        while begin > free and LOCAL.match(text[begin - 1]):
+            begin -= 1
+        if begin < m.start():
+            yield begin, m.end()
+            free = m.end()
+        at = m.end()
+
+
 def shape(kind: str, value: str) -> str:
     """Digits as 9 and letters as a; of addresses, whose parts vary in length, once per run."""
     out = re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", value))
@@ -105,22 +133,17 @@ def slots(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple]:
     taken.sort()
     # Loose number forms lie inside runs of digits and their separators.
     runs = [(m.start() - (text[m.start() - 1 : m.start()] in ("(", "+")), m.end()) for m in NUMBERS.finditer(text)]
-    for kind, pattern in LOOSE.items():
-        if kind == "email":
-            # Only around an "at": a form starts at most so many characters before it.
-            places = (m for hit in NEAR_AT.finditer(text) if not any(x <= hit.start() < y for x, y in taken) for m in [pattern.search(text, max(0, hit.start() - 80), hit.end() + 160)] if m and m.start() <= hit.start() < m.end())
-        else:
-            places = (m for a, b in runs for m in pattern.finditer(text, a, b))
+    for kind in KINDS:
+        places = _addresses(text, base["email"]) if kind == "email" else (m.span() for a, b in runs for m in LOOSE[kind].finditer(text, a, b))
         last = -1
-        for m in places:
-            a, b = m.span()
+        for a, b in places:
             if a < last or any(x < b and a < y for x, y in taken):
                 continue
-            last = b
-            digits = sum(map(str.isdigit, m[0]))
-            if kind == "phone" and not 7 <= digits <= 15 or kind == "card" and not (12 <= digits <= 19 and luhn(re.sub("[^0-9]", "", m[0]))):
+            last, value = b, text[a:b]
+            digits = sum(map(str.isdigit, value))
+            if kind == "phone" and not 7 <= digits <= 15 or kind == "card" and not (12 <= digits <= 19 and luhn(re.sub("[^0-9]", "", value))):
                 continue
-            out.append((kind, a, b, m[0].lower(), _word_before(text, a), shape(kind, m[0]), False))
+            out.append((kind, a, b, value.lower(), _word_before(text, a), shape(kind, value), False))
     return out
 
 
@@ -148,7 +171,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``before, total``: how often each lower-case word occurs in all texts."""
+    """``before, total``: how often each lower-case word, or the part of a word that a value may be glued to, occurs in all texts."""
 
     def run(batches):
         total: Counter = Counter()
@@ -158,7 +181,13 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total.update((t or "").lower().split())
+                t = t or ""
+                total.update("\n".join([w[-WORD:] for w in t.split()]).lower().split())
+                for m in GLUED.finditer(t):
+                    total[_word_before(t, m.end())] += 1
+                    if len(total) > COUNTED:
+                        yield out()
+                        total.clear()
                 if len(total) > COUNTED:
                     yield out()
                     total.clear()
@@ -186,7 +215,9 @@ def score_graph(found: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tup
     kept = cut_lineage(edges.join(broadcast_if_small(cut_lineage(support)), ["pattern", "kind"]))
     asked = kept.select("pattern", "kind", "slots").distinct()
     total = words.select(F.concat(F.lit("w:"), "before").alias("pattern"), "total")
-    known = cut_lineage(asked.filter("pattern like 'w:%'").join(total, "pattern").select("pattern", "kind", "total").union(asked.filter("pattern like 's:%'").select("pattern", "kind", "slots")))
+    # A word occurs at least as often as it stands before slots.
+    counted = asked.filter("pattern like 'w:%'").join(total, "pattern", "left").select("pattern", "kind", F.greatest("total", "slots").alias("total"))
+    known = cut_lineage(counted.union(asked.filter("pattern like 's:%'").select("pattern", "kind", "slots")))
     instances, to_edges = None, F.broadcast if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     for _ in range(rounds):
         scored = kept.withColumn("score", F.col("seed").cast("double")) if instances is None else kept.join(instances, ["kind", "value"])

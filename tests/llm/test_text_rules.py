@@ -144,6 +144,28 @@ def test_patterns_discover_unseen_identifiers_only_where_they_are_sure(spark):
     assert pii.personal_spans(df.limit(0)).count() == 0
 
 
+def test_every_loose_address_has_a_slot():
+    def loose(text):
+        base = pii.base_spans(text)
+        return [text[a:b] for kind, a, b, *_, seed in pii.slots(text, base) if kind == "email" and not seed]
+
+    names = ["anna [at] mail [dot] com", "bob [at] mail [dot] com", "carl at mail dot com", "dora(at)mail(dot)com"]
+    assert loose(", ".join(names)) == names and loose("x@y.org " + " ".join(names)) == names
+    for long in ("l" * 300 + " [at] mail [dot] com", "joe [at] " + "h" * 400 + " [dot] com", "joe at " + "h" * 100 + " dot com"):
+        assert loose(f"to {long}, thanks") == [long]
+    assert loose("Mail x@y.org. Bob.B [at] mail [dot] com. Eve [at] mail [dot] com.") == ["Bob.B [at] mail [dot] com", "Eve [at] mail [dot] com"]
+    assert loose("look at it, @ [at] a [dot] b") == [] and len(loose("a [at] b [dot] c, " * 20_000)) == 20_000
+
+
+def test_contexts_glued_to_their_values_are_patterns(spark):
+    rows = [(k, f"ip=10.0.{k}.7 x and mailto:u{k}@mail.org") for k in range(20)] + [(90, "see ip=10 . 3 . 4 . 5 here"), (91, "mailto:joe[at]mail[dot]org"), (92, "w" * 60 + " " + "v" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = {r.before: r.total for r in pii.word_counts(df).collect()}
+    assert total["ip="] == 21 and total["mailto:"] == 21 and total["w" * 40] == 1
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in pii.personal_spans(df).collect()}
+    assert got[90] == [("ip", 7, 21)] and got[91] == [("email", 7, 26)]
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
