@@ -162,3 +162,28 @@ def op8_noisy_channel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").filter(~held_out("doc_id")).select("doc_id", "toxic")
     scores = toxicity(docs, labels)
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# crc32 bit by bit: a zero after each byte's eight steps leaves room for the next byte.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+
+OP11_SQL = f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+cv AS (SELECT c, {CRC32.format("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT cv.c, o.i, role, text FROM cv JOIN o ON o.c = cv.c - cv.c % 100 AND o.i <= h UNION ALL SELECT cv.c, o.i, role, text FROM cv JOIN o ON o.c = cv.c AND o.i > h),
+p AS (SELECT c, row_number() OVER w AS d, string_agg(md5(md5(role) || text), '') OVER w AS k, length(text) AS chars FROM r WINDOW w AS (PARTITION BY c ORDER BY i ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT c, d, k, chars FROM p UNION ALL SELECT c, 0, '', 0 FROM cv),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(chars) AS own, k[: -33] AS up FROM q GROUP BY d, k),
+f AS (SELECT up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+s AS (SELECT k[: 32 * a] AS k, sum(own) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves FROM (SELECT n.*, n_children FROM n LEFT JOIN f USING (k)), unnest(range(0, d + 1)) AS u(a) GROUP BY 1),
+e AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, d) AS k FROM q GROUP BY c) GROUP BY k)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN f USING (k) LEFT JOIN e USING (k) LEFT JOIN n AS m ON n.d > 0 AND m.k = n.up
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.trie import prefix_trie, rebuilt_turns
+
+    return prefix_trie(rebuilt_turns(table(spark, folder, "conversations"))).drop("p1", "p2")
