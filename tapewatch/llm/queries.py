@@ -187,3 +187,58 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     from tapewatch.llm.trie import prefix_trie, rebuilt_turns
 
     return prefix_trie(rebuilt_turns(table(spark, folder, "conversations"))).drop("p1", "p2")
+
+
+def _op13_sql(passes: int = 3) -> str:
+    sql = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1])::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / w, source) AS k FROM w),
+t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, k) FROM l WHERE w * level <= cap)) AS target FROM l),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM t),
+u AS (SELECT doc_id, d.source, size, c.source_size, target, whole, rate - whole AS p, target - whole * c.source_size AS due, (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+o AS (SELECT *, u / (1 - u) * ((1 - p) / p) AS odds FROM u),
+r0 AS (SELECT doc_id, source, size, source_size, target, whole, due, CASE WHEN p > 0 THEN odds / (1 + odds) END AS rank, -1.0::DOUBLE AS reached, false AS extra FROM o)"""
+    for k in range(passes):
+        fits = " AND size <= due" if k else ""
+        sql += f""",
+a{k} AS (SELECT source, rank, due, sum(size) OVER (PARTITION BY source ORDER BY rank) AS words FROM r{k} WHERE rank > reached{fits}),
+b{k} AS (SELECT source, max(rank) AS now, max(words) AS words FROM a{k} WHERE words <= due GROUP BY source),
+r{k + 1} AS (SELECT doc_id, r.source, size, source_size, target, whole, due - coalesce(words, 0) AS due, rank, coalesce(now, reached) AS reached, extra OR coalesce(rank <= now{fits}, false) AS extra FROM r{k} r LEFT JOIN b{k} b ON r.source IS NOT DISTINCT FROM b.source)"""
+    return sql + f"\nSELECT doc_id, size, source_size, target, CAST(size * (whole + CAST(extra AS INT)) AS BIGINT) AS taken FROM r{passes}"
+
+
+@query("op13_pareto_mix", _op13_sql())
+def op13_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.mixing import plan_mix
+
+    docs = table(spark, folder, "documents")
+    return plan_mix(docs).rows(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Letters beyond ASCII stand for one byte each, as the distance is taken over bytes.
+_BYTES = "0123456789!#$%&()*+,-./:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^_`{|}"
+_LETTERS = "".join(map(chr, range(0xC0, 0x100)))
+
+OP12_SQL = f"""
+WITH RECURSIVE step8 AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY b) AS t FROM range(256) AS r(b)),
+r AS (SELECT CAST(doc_id AS VARCHAR) AS i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+g AS (SELECT i, w, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY i, w),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(encode(coalesce(i, '') || ':' || w)), '(..)', '\\1 ', 'g'), ' ')[: -2], lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295) AS h FROM g, step8),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+words AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+b AS (SELECT word, n, length(word) AS l, translate(word, '{_LETTERS}', '{_BYTES}') AS k FROM words),
+near AS (SELECT x.word, y.word AS other, y.n FROM b AS x JOIN b AS y ON x.l = y.l AND levenshtein(x.k, y.k) = 1 UNION ALL SELECT x.word, y.word, y.n FROM b AS x JOIN b AS y ON x.l = y.l + 1 AND levenshtein(x.k, y.k) = 1 UNION ALL SELECT x.word, y.word, y.n FROM b AS x JOIN b AS y ON x.l + 1 = y.l AND levenshtein(x.k, y.k) = 1),
+best AS (SELECT word, count(*) AS n_near, max(n) AS bn, min(struct_pack(a := -n, o := other)).o AS other FROM near GROUP BY word),
+f AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 10 * words.n THEN other END AS form, CASE WHEN bn >= 10 * words.n THEN bn END AS form_n FROM words LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, up.root FROM f JOIN up ON f.form = up.word)
+SELECT word, n, form, root, n_near, form_n FROM f JOIN up USING (word)
+"""
+
+
+@query("op12_letter_gram_variants", OP12_SQL)
+def op12_letter_gram_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from tapewatch.llm.variants import variants, word_counts
+
+    return variants(word_counts(table(spark, folder, "documents")))
