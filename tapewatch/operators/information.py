@@ -2,67 +2,100 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.operators.sequence import numbered, top_per_key
+from tapewatch.operators.lineage import cut_lineage
+from tapewatch.operators.sequence import DAY, fit_width, numbered, top_per_key
+
+
+#: Values of one series in a chunk; two blocks' chunks are held by a task.
+CHUNK = 4096
 
 
-def latest_series(rows: DataFrame, key: str, order: list[str], value: str, length: int) -> DataFrame:
-    """The last ``length`` values of each key with their distance from the end (1 is the newest)."""
-    newest = top_per_key(rows.select(key, *order, value), key, [F.desc(o) for o in order], length, "lag_no")
+def latest_series(rows: DataFrame, key: str, order: list[str], value: str, length: int | None = None, slice_us: int = 31 * DAY) -> DataFrame:
+    """The values of each key with their distance from the end (1 is the newest): all of them, or the last ``length``."""
+    rows = rows.select(key, *order, value)
+    if length:
+        newest = top_per_key(rows, key, [F.desc(o) for o in order], length, "lag_no")
+    else:
+        newest = numbered_back(rows, [key], order, order[0], fit_width(rows, key, order[0], slice_us)).withColumnRenamed("back", "lag_no")
     return newest.select(key, "lag_no", F.col(value).alias("value"))
 
 
-def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_length: int = 5, block_size: int = 256) -> DataFrame:
-    """Pearson correlation of every pair of keys over their common latest values.
+def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_length: int = 5, block_size: int = 256, chunk: int = CHUNK) -> DataFrame:
+    """Pearson correlation of every pair of keys over their common latest values, as far back as the shorter series goes.
 
-    All pairs are wanted, so the work is a blocked matrix product: keys are hashed to blocks of
-    about ``block_size``, each pair of blocks is one bounded task, and only edges reaching
-    ``min_abs`` leave it. Series are bounded by ``latest_series``.
+    All pairs are wanted, so the work is a blocked matrix product. Keys of similar length form blocks of about ``block_size`` and series are cut into chunks of ``chunk`` places, so a unit of
+    work (two blocks, one chunk) has a bounded size however long a series is. A unit gives the co-moments (n, sums of x, y, xx, yy, xy) of its pairs by products with the values, their squares and their
+    presence; values are taken from the key's mean, which leaves correlations as they are and sums small. A pair that ends in the first chunk is
+    judged there and leaves only if it reaches ``min_abs``; co-moments of longer pairs are added up over their chunks.
     """
-    packed = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lag_no", "value"))).alias("_s")).select(
-        F.col(key).alias("market"), F.transform("_s", lambda s: s["value"]).alias("values")
-    ).filter(F.size("values") >= min_length)
-    count = packed.agg(F.count(F.lit(1)).alias("n")).select(F.greatest(F.lit(1), F.ceil(F.col("n") / block_size)).cast("int").alias("blocks"), F.lit(1).alias("_one"))
-    blocked = packed.withColumn("_one", F.lit(1)).join(F.broadcast(count), "_one").drop("_one").withColumn(
-        "block", F.pmod(F.xxhash64("market"), F.col("blocks")).cast("int")
+    # Lengths by powers of two: at most 63 classes, whose sizes are all that reaches the driver.
+    sizes = cut_lineage(series.groupBy(F.col(key).alias("market")).agg(F.count(F.lit(1)).alias("length"), F.avg("value").alias("mean")).filter(F.col("length") >= min_length))
+    band = F.floor(F.log2("length") + 1e-9).cast("int")
+    held = {r.band: r.n for r in sizes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks, first = [math.ceil(held.get(k, 0) / block_size) for k in range(64)], [0]
+    for n in blocks:
+        first.append(first[-1] + n)
+    at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), k + 1)
+    placed = sizes.withColumn("block", at(first, band) + F.pmod(F.xxhash64("market"), F.greatest(F.lit(1), at(blocks, band))).cast("int"))
+    rows = series.select(F.col(key).alias("market"), "lag_no", "value").join(placed, "market").withColumn("chunk", F.floor((F.col("lag_no") - 1) / chunk).cast("int"))
+    packed = rows.groupBy("block", "market", "length", "chunk").agg(F.array_sort(F.collect_list(F.struct("lag_no", (F.col("value") - F.col("mean")).alias("v")))).alias("_s"))
+    packed = cut_lineage(packed.select("block", "market", "length", "chunk", F.transform("_s", lambda s: s["v"]).alias("values")))
+    # A chunk meets only blocks whose series reach it; blocks are in order of length.
+    reach = F.floor(F.log2(F.greatest(F.lit(1), F.col("chunk") * chunk + 1)) + 1e-9).cast("int")
+    left = packed.select("market", "length", "values", "chunk", F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(max(0, first[-1] - 1)))).alias("j"))
+    right = packed.withColumn("low", F.least(at(first, reach), F.col("block"))).select(
+        F.col("market").alias("market_r"), F.col("length").alias("length_r"), F.col("values").alias("values_r"), "chunk", F.explode(F.sequence("low", "block")).alias("i"), F.col("block").alias("j")
     )
-    left = blocked.select("market", "values", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = blocked.select(F.col("market").alias("market_r"), F.col("values").alias("values_r"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
-
-    def edges(blocks, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        first, second, rhos = [], [], []
-        for la, ga in a.groupby(a["values"].map(len)):
-            for lb, gb in b.groupby(b["values_r"].map(len)):
-                n = min(la, lb)
-                x = np.array([v[:n] for v in ga["values"]], dtype=float)
-                y = np.array([v[:n] for v in gb["values_r"]], dtype=float)
-                x -= x.mean(axis=1, keepdims=True)
-                y -= y.mean(axis=1, keepdims=True)
-                sx, sy = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    rho = np.clip((x @ y.T) / np.outer(sx, sy), -1.0, 1.0)
-                rho[sx < 1e-12, :] = np.nan
-                rho[:, sy < 1e-12] = np.nan
-                p, q = np.nonzero(np.abs(rho) >= min_abs)
-                left_ids, right_ids = list(ga["market"]), list(gb["market_r"])
-                for i, j in zip(p, q):
-                    ma, mb = left_ids[i], right_ids[j]
-                    if ma < mb or (ma > mb and blocks[0] != blocks[1]):
-                        first.append(min(ma, mb))
-                        second.append(max(ma, mb))
-                        rhos.append(float(rho[i, j]))
-        return pd.DataFrame(
-            {"market_a": pd.Series(first, dtype=object), "market_b": pd.Series(second, dtype=object), "rho": pd.Series(rhos, dtype=float)}
-        )
-
-    # A pair of blocks with an empty side holds no pair of keys.
-    both = left.select("i", "j").distinct().join(right.select("i", "j").distinct(), ["i", "j"])
-    left, right = left.join(both, ["i", "j"], "left_semi"), right.join(both, ["i", "j"], "left_semi")
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(edges, "market_a string, market_b string, rho double")
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def moments(unit, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        chunk_no, i, j = unit
+        out = pd.DataFrame({"market_a": pd.Series(dtype=object), "market_b": pd.Series(dtype=object), "whole": pd.Series(dtype=bool), **{c: pd.Series(dtype=float) for c in sums}})
+        if a.empty or b.empty:
+            return out
+        width = max(max(map(len, a["values"])), max(map(len, b["values_r"])))
+
+        def matrix(lists):
+            x, m = np.zeros((len(lists), width)), np.zeros((len(lists), width))
+            for k, v in enumerate(lists):
+                x[k, : len(v)], m[k, : len(v)] = v, 1.0
+            return x, m
+
+        (x, mx), (y, my) = matrix(list(a["values"])), matrix(list(b["values_r"]))
+        every = [mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T, x @ y.T]
+        la, lb = a["market"].to_numpy(dtype=object), b["market_r"].to_numpy(dtype=object)
+        whole = (np.minimum(a["length"].to_numpy()[:, None], b["length_r"].to_numpy()[None, :]) <= chunk) & (chunk_no == 0)
+        keep = every[0] > 0
+        if i == j:
+            keep &= la[:, None] < lb[None, :]
+        keep &= ~whole | (np.abs(np.nan_to_num(rho_of(*every))) >= min_abs - 1e-9)
+        p, q = np.nonzero(keep)
+        swap = la[p] > lb[q]
+        return pd.DataFrame({
+            "market_a": np.where(swap, lb[q], la[p]), "market_b": np.where(swap, la[p], lb[q]), "whole": whole[p, q],
+            **{c: np.where(swap, every[o][p, q], every[k][p, q]) for k, (c, o) in enumerate(zip(sums, (0, 2, 1, 4, 3, 5)))},
+        })
+
+    found = left.groupBy("chunk", "i", "j").cogroup(right.groupBy("chunk", "i", "j")).applyInPandas(moments, "market_a string, market_b string, whole boolean, " + ", ".join(f"{c} double" for c in sums))
+    found = found.groupBy("market_a", "market_b").agg(*(F.sum(c).alias(c) for c in sums))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    flat = (vx <= F.col("sxx") * 1e-12) | (vy <= F.col("syy") * 1e-12) | (vx <= 1e-24) | (vy <= 1e-24)
+    rho = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy)
+    return found.filter((F.col("n") >= min_length) & ~flat).select("market_a", "market_b", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho)).alias("rho")).filter(F.abs("rho") >= min_abs)
+
+
+def rho_of(n, sx, sy, sxx, syy, sxy):
+    """Correlations from co-moments; not a number where a side is constant."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+        return np.where((vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy), np.nan, (sxy - sx * sy / n) / np.sqrt(vx * vy))
 
 
 def paired_correlations(series: DataFrame, key: str, pairs: DataFrame, min_length: int = 5) -> DataFrame:

@@ -335,32 +335,49 @@ def funding_pairs(takers: DataFrame, roots: DataFrame, group_rows: int = 1000) -
     return hits.groupBy("shock_id", "wallet_a", "wallet_b").agg(F.lit(1.0).alias("weight"))
 
 
-def shared_market_pairs(observations: DataFrame, min_shared: int = 2) -> DataFrame:
-    """Wallet pairs that share at least two markets, with the number shared.
+#: Wallets above which a market is popular: its holders are never paired by it alone.
+POPULAR = 1000
 
-    Every wallet's most popular market is left out of the candidate join: a pair sharing two
-    markets also shares the less popular one, so nothing is lost and the hottest market never
-    forms pairs. The left-out markets are then added to the counts by lookups.
+
+def shared_market_pairs(observations: DataFrame, min_shared: int = 2, popular: int = POPULAR) -> DataFrame:
+    """Wallet pairs that share at least ``min_shared`` (2 or more) markets, with the number shared.
+
+    A prefix-filtered set join: with markets in order of popularity, two wallets that share two of them meet in the rarer one, so each wallet's most popular market is left out of the candidate join.
+    Markets of more than ``popular`` wallets are kept as one sorted set per wallet instead, and equal sets are one class. Pairs that share a rarer market look the classes up;
+    pairs that share popular markets only come from pairs of classes with two markets in common, each found at its first two, so no popular market is expanded and
+    nearly all that is formed is returned.
     """
     if min_shared < 2:
         raise ValueError("the candidate join needs min_shared >= 2")
-    held = observations.select("wallet", "market_id").distinct()
-    popularity = held.groupBy("market_id").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = held.join(popularity, "market_id")
-    top = ranked.groupBy("wallet").agg(F.max(F.struct("_n", "market_id")).alias("_t")).select("wallet", F.col("_t.market_id").alias("top_market"))
-    rare = held.join(top, "wallet").filter(F.col("market_id") != F.col("top_market")).select("wallet", "market_id")
+    held = cut_lineage(observations.filter("wallet is not null and market_id is not null").select("wallet", "market_id").distinct())
+    ranked = cut_lineage(held.join(held.groupBy("market_id").agg(F.count(F.lit(1)).alias("_n")), "market_id"))
+    own = ranked.groupBy("wallet").agg(F.max(F.struct("_n", "market_id")).alias("_t"), F.sort_array(F.collect_list(F.when(F.col("_n") > popular, F.col("market_id")))).alias("many"))
+    # A popular top market is in the set, so only a rare one has to be added by lookup.
+    own = cut_lineage(own.select("wallet", F.when(F.col("_t._n") <= popular, F.col("_t.market_id")).alias("top"), "many", F.xxhash64("many").alias("_class")))
+    rare = cut_lineage(ranked.filter(F.col("_n") <= popular).join(own.select("wallet", "top"), "wallet").filter("top is null or market_id <> top").select("wallet", "market_id"))
     a, b = rare.withColumnRenamed("wallet", "wallet_a"), rare.withColumnRenamed("wallet", "wallet_b")
     base = a.join(b, "market_id").filter(F.col("wallet_a") < F.col("wallet_b")).groupBy("wallet_a", "wallet_b").agg(F.count(F.lit(1)).alias("_base"))
-    ta = top.select(F.col("wallet").alias("wallet_a"), F.col("top_market").alias("_ta"))
-    tb = top.select(F.col("wallet").alias("wallet_b"), F.col("top_market").alias("_tb"))
+    of = lambda x: own.select(F.col("wallet").alias(f"wallet_{x}"), F.col("top").alias(f"_t{x}"), F.col("many").alias(f"_m{x}"))
     in_b = rare.select(F.col("wallet").alias("wallet_b"), F.col("market_id").alias("_ta"), F.lit(1).alias("_ia"))
     in_a = rare.select(F.col("wallet").alias("wallet_a"), F.col("market_id").alias("_tb"), F.lit(1).alias("_ib"))
-    full = (
-        base.join(ta, "wallet_a").join(tb, "wallet_b")
-        .join(in_b, ["wallet_b", "_ta"], "left").join(in_a, ["wallet_a", "_tb"], "left")
-    )
-    shared = F.col("_base") + F.coalesce("_ia", F.lit(0)) + F.coalesce("_ib", F.lit(0)) + (F.col("_ta") == F.col("_tb")).cast("int")
-    return full.withColumn("shared_markets", shared.cast("long")).filter(F.col("shared_markets") >= min_shared).select("wallet_a", "wallet_b", "shared_markets")
+    full = base.join(of("a"), "wallet_a").join(of("b"), "wallet_b").join(in_b, ["wallet_b", "_ta"], "left").join(in_a, ["wallet_a", "_tb"], "left")
+    shared = F.col("_base") + F.coalesce("_ia", F.lit(0)) + F.coalesce("_ib", F.lit(0)) + F.coalesce((F.col("_ta") == F.col("_tb")).cast("int"), F.lit(0)) + F.size(F.array_intersect("_ma", "_mb"))
+    met = cut_lineage(full.select("wallet_a", "wallet_b", shared.cast("long").alias("shared_markets")))
+    out = met.filter(F.col("shared_markets") >= min_shared)
+
+    classes = cut_lineage(own.filter(F.size("many") >= 2).select("_class", "many").distinct())
+    if classes.isEmpty():
+        return out
+    twos = F.flatten(F.transform("many", lambda x, k: F.transform(F.slice("many", k + 2, F.size("many")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keyed = classes.select("_class", "many", F.explode(twos).alias("_two"))
+    other = keyed.select(F.col("_class").alias("_other"), F.col("many").alias("_many"), "_two")
+    both = keyed.join(other, "_two").filter("_class <= _other").withColumn("_common", F.array_intersect("many", "_many"))
+    first_two = (F.element_at("_common", 1) == F.col("_two.x")) & (F.element_at("_common", 2) == F.col("_two.y"))
+    alike = cut_lineage(both.filter(first_two & (F.size("_common") >= min_shared)).select("_class", "_other", F.size("_common").cast("long").alias("shared_markets")))
+    x, y = own.select(F.col("wallet").alias("_x"), "_class"), own.select(F.col("wallet").alias("_y"), F.col("_class").alias("_other"))
+    pairs = alike.join(x, "_class").join(y, "_other").filter((F.col("_class") != F.col("_other")) | (F.col("_x") < F.col("_y")))
+    pairs = pairs.select(F.least("_x", "_y").alias("wallet_a"), F.greatest("_x", "_y").alias("wallet_b"), "shared_markets")
+    return out.unionByName(pairs.join(met.select("wallet_a", "wallet_b"), ["wallet_a", "wallet_b"], "left_anti"))
 
 
 def sync_scores(pairs: DataFrame, times: DataFrame, within_us: int = 3 * US) -> DataFrame:

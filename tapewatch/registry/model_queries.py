@@ -32,13 +32,12 @@ def _(t):
     return SR.ladder_violations(SR.series_members(t.markets)).withColumn("gap", F.round("gap", 6))
 
 
-SERIES_LEN = 40
-LAST_SQL = f"ls AS (SELECT market_id AS market, price AS value, row_number() OVER (PARTITION BY market_id ORDER BY ts_us DESC, event_id DESC) AS lag_no FROM trades QUALIFY lag_no <= {SERIES_LEN})"
+LAST_SQL = "ls AS (SELECT market_id AS market, price AS value, row_number() OVER (PARTITION BY market_id ORDER BY ts_us DESC, event_id DESC) AS lag_no FROM trades)"
 EDGES_SQL = f"""{LAST_SQL}, edges AS (SELECT a.market AS market_a, b.market AS market_b, corr(a.value, b.value) AS rho FROM ls a JOIN ls b ON a.lag_no = b.lag_no AND a.market < b.market GROUP BY 1, 2 HAVING count(*) >= 5 AND abs(corr(a.value, b.value)) >= 0.2)"""
 
 
 def series(t):
-    return I.latest_series(t.trades.withColumnRenamed("market_id", "market"), "market", ["ts_us", "event_id"], "price", SERIES_LEN)
+    return I.latest_series(t.trades.withColumnRenamed("market_id", "market"), "market", ["ts_us", "event_id"], "price")
 
 
 def edges(t):
@@ -207,13 +206,13 @@ def tracked(t):
     return t.entities.select("wallet", "entity_id", F.col("trust_score").alias("pnl"), F.lit("tier1").alias("quality"))
 
 
-TOP_SQL = "top AS (SELECT wallet, entity_id, trust_score AS pnl FROM entities ORDER BY trust_score DESC, wallet LIMIT 200)"
+TOP_SQL = "top AS (SELECT wallet, entity_id, trust_score AS pnl FROM entities)"
 
 
 @query("g4_wallet_graph_nodes", f"WITH {TOP_SQL} SELECT wallet, substr(wallet, 1, 6) || '...' || right(wallet, 4) AS label, entity_id, pnl, '#22d3ee' AS color, greatest(1.0, abs(pnl) / 100) AS node_size FROM top")
 def _(t):
     o = t.observations.filter("obs_type = 'clob_trade'").select(F.col("address").alias("wallet"), "market_id")
-    return G.wallet_graph(tracked(t), o, 200)[0]
+    return G.wallet_graph(tracked(t), o)[0]
 
 
 @query("g4_wallet_graph_edges", f"""WITH {TOP_SQL}, h AS (SELECT DISTINCT address AS wallet, market_id FROM observations WHERE obs_type = 'clob_trade' AND address IN (SELECT wallet FROM top)),
@@ -221,4 +220,4 @@ def _(t):
  SELECT * FROM sh UNION ALL SELECT a.wallet, b.wallet, 'SAME_ENTITY', 99 FROM top a JOIN top b ON a.entity_id = b.entity_id AND a.wallet < b.wallet WHERE NOT EXISTS (SELECT 1 FROM sh WHERE wallet_a = a.wallet AND wallet_b = b.wallet)""")
 def _(t):
     o = t.observations.filter("obs_type = 'clob_trade'").select(F.col("address").alias("wallet"), "market_id")
-    return G.wallet_graph(tracked(t), o, 200)[1]
+    return G.wallet_graph(tracked(t), o)[1]
