@@ -52,6 +52,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
     return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batch in parts, so that what is made from long texts leaves the worker soon. An empty batch is one part."""
     for k in range(0, max(1, batch.num_rows), rows):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import ascii_lower, broadcast_if_small, cut_lineage
+from tapewatch.llm.common import ascii_lower, broadcast_if_small, cut_lineage, own_name
 
 WINDOW = 10
 #: Term of the posting that holds a text's length.
@@ -117,10 +117,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def contaminated_rows(docs: DataFrame, items: DataFrame, keep: bool, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with hits (``keep``), or those without, with their columns.
 
-    A verdict depends on the text alone, so texts are told apart by their MD5 and no copy of the documents is made.
+    A verdict depends on the text alone, so texts are told apart by their MD5 and no copy of the documents is made. Columns of any name stay as they are.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     found = contamination(docs.select(digest.alias("_digest"), F.col(text).alias("_text")), items, "_digest", "_text", item_id, item_text, window)
-    hit = cut_lineage(found.filter("n_hit > 0").select("doc_id").distinct())
-    marked = docs.withColumn("_digest", digest)
-    return marked.join(broadcast_if_small(hit), F.col("_digest") == hit["doc_id"], "left_semi" if keep else "left_anti").select(*docs.columns)
+    own = own_name(docs, "_digest")
+    hit = cut_lineage(found.filter("n_hit > 0").select(F.col("doc_id").alias(f"{own}_hit")).distinct())
+    marked = docs.withColumn(own, digest)
+    return marked.join(broadcast_if_small(hit), F.col(own) == F.col(f"{own}_hit"), "left_semi" if keep else "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

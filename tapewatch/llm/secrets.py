@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import broadcast_if_small, cut_lineage
+from tapewatch.llm.common import broadcast_if_small, cut_lineage, own_name
 
 MAX_LABELLED = 20_000
 CONTEXT = 48
@@ -136,8 +136,10 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", labelled: Da
 
 
 def redact(df: DataFrame, findings: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every occurrence of a text's secrets replaced; columns and rows stay."""
-    secrets = findings.filter("secret").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-    joined = df.join(broadcast_if_small(cut_lineage(secrets)), F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate("_secrets", F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return joined.withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean)).drop("_id", "_secrets")
+    """``df`` with every occurrence of a text's secrets replaced; columns, of any name, and rows stay."""
+    own, held = own_name(df, "_id"), own_name(df, "_secrets")
+    secrets = findings.filter("secret").groupBy(F.col("doc_id").alias(own)).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias(held))
+    joined = df.join(broadcast_if_small(cut_lineage(secrets)), F.col(doc_id).eqNullSafe(F.col(own)), "left")
+    clean = F.aggregate(held, F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
+    replaced = F.when(F.col(held).isNull(), F.col(text)).otherwise(clean).alias(text)
+    return joined.select(*(replaced if c == text else F.col(f"`{c}`") for c in df.columns))

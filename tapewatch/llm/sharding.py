@@ -15,6 +15,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewatch.llm.common import own_name
+
 #: Slots per shard, about; more slots even out the shares and keep more places when shards change.
 SLOTS_PER_SHARD = 100
 
@@ -69,12 +71,13 @@ def slot_of(key: Column, size: int) -> Column:
 
 
 def place(df: DataFrame, shards: list[str], key: str = "doc_id", slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """Add ``slot`` and ``shard`` to every row of ``df``."""
+    """Add ``slot`` and ``shard`` to every row of ``df``, in place of columns of these names; all others stay."""
     df = df.drop(*[c for c in df.columns if c.lower() in ("slot", "shard") and c != key])
     size = prime_from(slots_per_shard * len(shards))
     slots = F.broadcast(lookup_table(df.sparkSession, shards, slots_per_shard))  # `size` rows
-    placed = df.withColumn("_slot", slot_of(F.col(key), size))
-    return placed.join(slots, placed["_slot"] == slots["slot"], "left").drop("_slot")
+    own = own_name(df, "_slot")
+    placed = df.withColumn(own, slot_of(F.col(key), size))
+    return placed.join(slots, placed[own] == slots["slot"], "left").drop(own)
 
 
 def write_shards(df: DataFrame, folder: str, shards: list[str], key: str = "doc_id", salts: int = 8) -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import broadcast_if_small, cut_lineage, map_batches
+from tapewatch.llm.common import broadcast_if_small, cut_lineage, map_batches, own_name
 from tapewatch.llm.components import components
 
 RADIUS = 3
@@ -168,14 +168,15 @@ def keep_representatives(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """One row of ``df`` per component that ``find`` names, with its columns: the row of the smallest id, of equal ids the one of the smallest text digest, of rows that
     repeat both the first; a row without id stays only if its component has no other.
 
-    Rows are told apart by id and MD5 of the text, so no copy of the documents is made.
+    Rows are told apart by id and MD5 of the text, so no copy of the documents is made. Columns of any name stay as they are.
     """
+    at, key, n = (own_name(df, c) for c in ("_order", "_key", "_n"))
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     order = F.struct(F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id"), digest.alias("digest"))
     found = find(df.select(order.alias("_order"), F.col(text).alias("_text")), "_order", "_text", **options)
-    kept = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
-    joined = df.withColumn("_order", order).join(broadcast_if_small(kept), F.col("_order") == F.col("_key"))
-    once = joined.filter("_n = 1")
-    if not kept.filter("_n > 1").isEmpty():
-        once = once.union(joined.filter("_n > 1").dropDuplicates(["_key"]))
-    return once.select(*df.columns)
+    kept = cut_lineage(found.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(n)))
+    joined = df.withColumn(at, order).join(broadcast_if_small(kept), F.col(at) == F.col(key))
+    once = joined.filter(F.col(n) == 1)
+    if not kept.filter(F.col(n) > 1).isEmpty():
+        once = once.union(joined.filter(F.col(n) > 1).dropDuplicates([key]))
+    return once.select(*(F.col(f"`{c}`") for c in df.columns))

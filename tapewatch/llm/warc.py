@@ -7,8 +7,8 @@ candidate by which the chain enters each split. Only candidates on that chain ar
 included. Archives may be plain (then Spark splits them) or compressed.
 
 A payload that itself holds the magic comes in several pieces; those of true records are put together in a second pass. Where the chain of a file breaks, the
-records before the break are returned; a record that ends beyond its file is not. Headers are at most ``HEADER`` bytes; one that holds the magic itself must lie in one split
-(the writer escapes it). Null texts are empty payloads. Pages without id are responses of their own. Repeated pages are written each. Empty tables give empty archives and no records.
+records before the break are returned, and one of type ``broken`` at the break (its offset, all else null); a record that ends beyond its file is not a record. Headers may have any length;
+one that holds the magic itself must lie in one split (the writer escapes it). Null texts are empty payloads. Pages without id are responses of their own. Repeated pages are written each. Empty tables give empty archives and no records.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from tapewatch.llm.common import broadcast_if_small, cut_lineage
 
 MAGIC = b"WARC/1."
 END = "\r\n\r\n"
-HEADER = 1 << 16
 #: Payloads shorter than this are never replaced by a reference.
 REVISIT_BYTES = 1000
 #: Bytes of a file that pieces and records are matched by.
@@ -86,7 +85,7 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_header(data: bytes) -> tuple[int, dict[str, str]] | None:
     """The length of a header without its magic, blank line included, and its fields; None if this is no record's header."""
-    end = data.find(b"\r\n\r\n", 0, HEADER)
+    end = data.find(b"\r\n\r\n")
     if end < 0 or data[1:3] != b"\r\n":
         return None
     fields = {}
@@ -107,15 +106,15 @@ class SplitReader:
     def add(self, raw: bytes) -> None:
         start = self.at - len(MAGIC)
         self.at += len(raw) + len(MAGIC)
-        # A header that holds the magic goes on in the next piece.
-        self.open = [(s, data + MAGIC + raw) for s, data in self.open if len(data) < HEADER]
+        # A header that holds the magic goes on in the next piece; what has a line that no header has is given up.
+        self.open = [(s, data + MAGIC + raw) for s, data in self.open]
         if self.split or start >= 0:
             self.open.append((start, raw))
         self.open = [x for x in self.open if not self._candidate(*x)]
 
     def _candidate(self, start: int, data: bytes) -> bool:
         if (parsed := parse_header(data)) is None:
-            return data.find(b"\r\n\r\n", 0, HEADER) >= 0 or data[1:3] != b"\r\n"
+            return data[1:3] != b"\r\n" or b"\r\n\r\n" in data or data.count(b"\n") != data.count(b"\r\n") or not all(b":" in line for line in data[3:].split(b"\r\n")[:-1])
         size, f = parsed
         length, payload = int(f["content-length"]), None
         if len(data) >= size + length:
@@ -202,11 +201,14 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
     whole = placed.join(entry, ["path", "split"]).filter("pre <= at and at <= post and base + next <= file_bytes")
     records = whole.select("path", F.col("abs").alias("offset"), (F.col("base") + F.col("next")).alias("end"), "type", "record_id", "uri", "declared_digest", "declared_bytes", "refers_to", "length", "head", "digest", "payload")
     cut = records.filter("digest is null").select("path", "offset", "end", "head", "length")
+    # A file's chain ends at its last byte; else it broke where the last record that it reaches would end.
+    known = bases.groupBy("path").agg(F.max("file_bytes").alias("file_bytes")).join(records.groupBy("path").agg(F.max("end").alias("end")), "path", "left")
+    broken = known.select("path", F.coalesce("end", F.lit(0)).alias("offset"), "file_bytes").filter("offset < file_bytes").drop("file_bytes").withColumn("type", F.lit("broken"))
     found = records
     if not cut.isEmpty():
         found = records.join(_assembled(spark, folder, bases, cut), ["path", "offset"], "left")
         found = found.withColumn("digest", F.coalesce("digest", F.sha1("content"))).withColumn("payload", F.coalesce("payload", "content") if payloads else F.col("payload"))
-    return found.select("path", "offset", "type", "record_id", "uri", "length", "digest", "declared_digest", "declared_bytes", "refers_to", *["payload"] * payloads)
+    return found.unionByName(broken, allowMissingColumns=True).select("path", "offset", "type", "record_id", "uri", "length", "digest", "declared_digest", "declared_bytes", "refers_to", *["payload"] * payloads)
 
 
 def _assembled(spark: SparkSession, folder: str, bases: DataFrame, cut: DataFrame) -> DataFrame:

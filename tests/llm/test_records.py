@@ -72,12 +72,51 @@ def test_broken_chains_and_empty_tables(spark, tmp_path):
     for name, data in (("cut", whole + record(b"three")[:-9]), ("gap", record(b"one") + b"??" + record(b"two")), ("none", b"no record WARC/1.0\r\n")):
         with open(f"{tmp_path}/a/{name}.warc", "wb") as f:
             f.write(data)
-    got = [(r.path.rsplit("/", 1)[1], r.length) for r in warc.read_archives(spark, f"{tmp_path}/a").collect()]
+    rows = warc.read_archives(spark, f"{tmp_path}/a").collect()
+    got = [(r.path.rsplit("/", 1)[1], r.length) for r in rows if r.type != "broken"]
     assert sorted(got) == [("cut.warc", 3), ("cut.warc", 3), ("gap.warc", 3)]
+    assert sorted((r.path.rsplit("/", 1)[1], r.offset) for r in rows if r.type == "broken") == [("cut.warc", len(whole)), ("gap.warc", len(record(b"one"))), ("none.warc", 0)]
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/b")
     assert warc.read_archives(spark, f"{tmp_path}/b").count() == 0
 
 
+@pytest.mark.parametrize("compression, split", [("none", 4096), ("gzip", 1 << 27)])
+def test_long_addresses_and_every_record_across_a_border(spark, tmp_path, compression, split):
+    rows = [(k, "data:," + "a" * (1_000_000 if k == 3 else 70_000 if k == 4 else 10), f"{k} " + "WARC/1.1\r\nX: y\r\n" * 3 + "z" * 5000) for k in range(30)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"{tmp_path}/w", compression=compression)
+        got = {int(r.record_id): (len(r.uri), r.digest) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: (len(u), hashlib.sha1(t.encode()).hexdigest()) for k, u, t in rows}
+
+
+def test_columns_of_clashing_names_stay(spark):
+    from tapewatch.llm import decontaminate, secrets, sharding, simhash
+
+    say = " ".join(f"w{k}" for k in range(40))
+    key = 'token = "ghp_' + "0aB1cD2eF3" * 4 + '"'
+    names = ["_n", "_key", "_order", "_digest", "_digest_hit", "_id", "_secrets", "_slot", "row", "node", "_text", "a.b"]
+    rows = [(1, say, *names), (2, say, *names), (3, "other text with " + key, *names)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    items = spark.createDataFrame([(9, say)], "item_id long, text string")
+    for out, ids in (
+        (simhash.keep_representatives(df), [1, 3]),
+        (decontaminate.contaminated_rows(df, items, keep=True), [1, 2]),
+        (decontaminate.contaminated_rows(df, items, keep=False), [3]),
+        (secrets.redact(df, secrets.scan(df)), [1, 2, 3]),
+        (sharding.place(df, ["x", "y"]).drop("slot", "shard"), [1, 2, 3]),
+    ):
+        assert out.columns == df.columns
+        found = sorted(map(tuple, out.collect()))
+        assert [r[0] for r in found] == ids and all(list(r[2:]) == names for r in found)
+    assert "[SECRET]" in secrets.redact(df, secrets.scan(df)).filter("doc_id = 3").head().text
+
+
 # --- shards ------------------------------------------------------------------------------------------------------------
 
 
