@@ -138,9 +138,9 @@ def rolling_entropy(
     framed = range_frame(
         trades, list(keys), "ts_us", window_us,
         {
-            "n_events": F.count(F.lit(1)),
-            "buy_volume": F.sum(F.when(F.col("side") == "BUY", F.col("size")).otherwise(0.0)),
-            "sell_volume": F.sum(F.when(F.col("side") == "SELL", F.col("size")).otherwise(0.0)),
+            "n_events": ("count", F.lit(1)),
+            "buy_volume": ("sum", F.when(F.col("side") == "BUY", F.col("size")).otherwise(0.0)),
+            "sell_volume": ("sum", F.when(F.col("side") == "SELL", F.col("size")).otherwise(0.0)),
         },
     )
     h = shannon(F.greatest("buy_volume", F.lit(0.0)), F.greatest("sell_volume", F.lit(0.0)))
@@ -290,20 +290,17 @@ def flow_shocks(
     framed = range_frame(
         kept, "coin", "ts_us", window_us,
         {
-            "n_events": F.count(F.lit(1)),
-            "total_usd": F.sum("notional"),
-            "ofi": F.sum(F.col("notional") * signed()),
+            "n_events": ("count", F.lit(1)),
+            "total_usd": ("sum", F.col("notional")),
+            "ofi": ("sum", F.col("notional") * signed()),
+            "first_us": ("min", F.col("ts_us")),
         },
-        width=slice_us,
     )
     hits = framed.filter(
         (F.col("n_events") >= 2)
         & (F.col("total_usd") >= min_notional)
         & (F.abs("ofi") / F.greatest("total_usd", F.lit(1e-12)) >= imbalance)
     )
-    # The window's first trade: the earliest one at or after its start, an as-of lookup on negated times.
-    starts = kept.select("coin", (-F.col("ts_us")).alias("_back"), F.col("ts_us").alias("first_us"))
-    hits = as_of(hits.withColumn("_from", F.lit(window_us) - F.col("ts_us")), starts, "coin", "_from", "_back", ["first_us"], "event_id", slice_us).drop("_from")
     hits = cut_lineage(hits)
     after = as_of(hits, lead_quotes.withColumnRenamed("mid", "price_after"), "coin", "ts_us", "ts_us", ["price_after"], "event_id", slice_us)
     both = as_of(after, lead_quotes.withColumnRenamed("mid", "price_before"), "coin", "first_us", "ts_us", ["price_before"], "event_id", slice_us)

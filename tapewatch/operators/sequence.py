@@ -192,38 +192,27 @@ def islands(
     return out.select(*df.columns, F.coalesce("_own", "_carry").alias(name))
 
 
-def range_frame(
-    df: DataFrame,
-    keys,
-    pos: str,
-    before: int,
-    aggs: dict[str, Column],
-    width: int | None = None,
-) -> DataFrame:
-    """Sums and counts over rows with ``pos`` in ``[current - before, current]`` of the same key.
+def range_frame(df: DataFrame, keys, pos: str, before: int, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Aggregates over rows with ``pos`` in ``[current - before, current]`` of the same key; ``aggs`` maps name -> (kind, expression), kinds ``sum``, ``count`` (of non-null values), ``min`` and ``max``.
 
-    A row lying within ``before`` of its slice's end is copied once into the next slice, so
-    each slice can be evaluated alone; copies are dropped afterwards. Rows of equal ``pos``
-    count together. A frame is the difference of two growing frames, each of which Spark adds up once
-    per slice, so the cost does not depend on how many rows a frame holds. What rounding leaves of a
-    sum that is gone from the frame counts as zero.
+    Time is cut into tiles of the frame's length, so a frame is the rows of its own tile up to the current one and the last rows of the tile before. Both parts only grow along a tile (one read
+    forwards, one backwards), so the cost does not depend on how many rows a frame holds, nothing is ever subtracted, and a huge or unlike number stays in the frames that hold it.
+    Each row is copied once, with its values only, to the next tile; a key's tiles are dealt to tasks apart. Rows of equal ``pos`` count together.
     """
-    keys = _cols(keys)
-    width = max(width or 8 * before, before, 1)
-    first = F.floor(F.col(pos) / F.lit(width)).cast("long")
-    last = F.floor((F.col(pos) + F.lit(before)) / F.lit(width)).cast("long")
-    copies = (
-        df.withColumn("_home", first)
-        .withColumn(SLICE, F.explode(F.sequence(first, last)))
-    )
-    by_pos = W.partitionBy(*keys, SLICE).orderBy(pos)
-    until, gone = by_pos.rangeBetween(W.unboundedPreceding, 0), by_pos.rangeBetween(W.unboundedPreceding, -before - 1)
-    out = copies.select("*", *[a.over(until).alias(f"_u{i}") for i, a in enumerate(aggs.values())], *[a.over(gone).alias(f"_g{i}") for i, a in enumerate(aggs.values())])
-    for i, name in enumerate(aggs):
-        rest = F.col(f"_u{i}") - F.coalesce(F.col(f"_g{i}"), F.lit(0))
-        out = out.withColumn(name, F.when(F.abs(rest) <= F.abs(F.col(f"_u{i}")) * 1e-12, rest - rest).otherwise(rest))
-    out = out.drop(*[f"_{c}{i}" for i in range(len(aggs)) for c in "ug"])
-    return out.filter(F.col("_home") == F.col(SLICE)).drop("_home", SLICE)
+    keys, fold = _cols(keys), {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    tile = F.floor(F.col(pos) / F.lit(max(before, 1))).cast("long")
+    values = [e.alias(f"_v{i}") for i, (_, e) in enumerate(aggs.values())]
+    own = df.select("*", tile.alias(SLICE), F.col(pos).alias("_p"), F.lit(False).alias("_old"), *values)
+    old = df.filter(F.col(pos).isNotNull()).select(*keys, (tile + 1).alias(SLICE), (F.col(pos) + F.lit(before)).cast(df.schema[pos].dataType).alias("_p"), F.lit(True).alias("_old"), *values)
+    by_tile = W.partitionBy(*keys, SLICE)
+    upto, since = (by_tile.orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.col("_p"), F.desc("_p")))
+    both, parts = own.unionByName(old, allowMissingColumns=True), {}
+    for i, (name, (kind, _)) in enumerate(aggs.items()):
+        here, there = (fold[kind](F.when(F.col("_old") == F.lit(part), F.col(f"_v{i}"))).over(w) for part, w in ((False, upto), (True, since)))
+        both = both.withColumn(f"_h{i}", here).withColumn(f"_t{i}", there)
+        h, t = F.col(f"_h{i}"), F.col(f"_t{i}")
+        parts[name] = F.least(h, t) if kind == "min" else F.greatest(h, t) if kind == "max" else F.coalesce(h + t, h, t)
+    return both.filter(~F.col("_old")).select(*(c for c in df.columns if c not in parts), *(e.alias(n) for n, e in parts.items()))
 
 
 def numbered(df: DataFrame, keys, order, pos: str, width: float, name: str = "rn") -> DataFrame:

@@ -134,7 +134,7 @@ def test_range_frames_equal_plain_frames(hot):
     tied = hot.withColumn("ts_us", F.floor(F.col("ts_us") / (600 * US)) * 600 * US)
     w = W.partitionBy("market_id").orderBy("ts_us").rangeBetween(-3 * HOUR, 0)
     want = tied.select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.sum("size").over(w).alias("s"))
-    got = range_frame(tied, "market_id", "ts_us", 3 * HOUR, {"n": F.count(F.lit(1)), "s": F.sum("size")}).select("event_id", "n", "s")
+    got = range_frame(tied, "market_id", "ts_us", 3 * HOUR, {"n": ("count", F.lit(1)), "s": ("sum", F.col("size"))}).select("event_id", "n", "s")
     assert rows_of(got) == rows_of(want)
 
 
@@ -157,3 +157,24 @@ def test_component_ids_are_one_formula(spark):
     again = {r.component: r.entity_id for r in member_ids(df.orderBy(F.desc("node")).repartition(7), "e_").collect()}
     less = {r.component: r.entity_id for r in member_ids(df.filter("node not in ('w4', 'v19999')"), "e_").collect()}
     assert ids == again and all(less[k] != ids[k] and len(ids[k]) == 18 for k in ids)
+
+
+def test_frames_hold_what_is_in_them(spark):
+    """One huge, one infinite value, nulls, ties, a key of one third of all rows, frames of any length against plain frames."""
+    import math
+    import random
+
+    from tapewatch.operators.sequence import range_frame
+
+    draw = random.Random(3)
+    rows = [(k, "hot" if k % 3 else f"k{k % 7}", draw.randint(-40, 400), draw.choice([10.0, 0.25, None])) for k in range(900)]
+    rows += [(1000, "hot", 50, 1e13), (1001, "hot", 250, math.inf), (1002, None, 5, 1.0), (1003, None, 6, 2.0)]
+    df = spark.createDataFrame(rows, "id long, key string, t long, x double")
+    for before in (0, 1, 7, 60, 1000):
+        got = {r.id: (r.n, r.s, r.low) for r in range_frame(df, "key", "t", before, {"n": ("count", F.lit(1)), "s": ("sum", F.col("x")), "low": ("min", F.col("t"))}).collect()}
+        for i, key, t, _ in rows:
+            inside = [r for r in rows if r[1] == key and t - before <= r[2] <= t]
+            known = [r[3] for r in inside if r[3] is not None]
+            n, s, low = got[i]
+            assert n == len(inside) and low == min(r[2] for r in inside) and (s is None) == (not known)
+            assert s is None or s == sum(known) or abs(s - sum(known)) <= 1e-9 * sum(known)
