@@ -29,15 +29,23 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two edges out, or edges out and in; if none has, the edges are stars and every root is the smallest node of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v`` of type long): the smallest node that it reaches.
 
     Ends when a round changes nothing; each round writes its edges to the shared checkpoint folder. Self-edges and
     repeated edges are ignored; no edges give no rows. ``parts`` bounds the tasks and files of a step, for tables that are small
-    beside what the session's shuffle partitions are made for.
+    beside what the session's shuffle partitions are made for; such a table is tested for stars, which saves the round that changes nothing.
     """
     edges = cut_lineage(_thin(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), parts))
-    before = _digest(edges)
+    while parts and _unsettled(edges):
+        edges = cut_lineage(_small_star(_large_star(edges, parts), parts))
+    before = (0,) if parts else _digest(edges)
     while before[0]:
         edges = cut_lineage(_small_star(_large_star(edges, parts), parts))
         now = _digest(edges)
