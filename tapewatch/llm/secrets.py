@@ -1,6 +1,7 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are long tokens that are no plain words: one finding per different token of a text, with its first place. A random forest judges them by
+Candidates are long tokens that are no plain words, and values of any kind that are assigned to a credential's name or stand as the password of an address: one finding
+per different token of a text, with its first own place, how often it is a candidate there, and the words around it (where it is assigned, if it is so anywhere). A random forest judges them by
 length, character classes and the transitions between them, distinct characters, coverage by words that the corpus uses often, the path or
 address around them, and the words beside them. It is grown from labelled findings: a table of the caller's own, or ``silver_labels``, rules that label what is
 beyond doubt (issuers' fixed formats and credentials assigned by name against card-like numbers, plain upper-case words and UUIDs) and leave the rest to the forest.
@@ -12,7 +13,7 @@ finding is a secret if its label says so. Empty tables give no findings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.llm.common import broadcast_if_small, cut_lineage, own_name
@@ -24,28 +25,49 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?![A-Z]?[a-z]+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+
 #: Names that credentials are assigned to, and the fixed formats of well-known issuers.
 NAMES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api_?key|access_?key|private_?key|auth|bearer|credential)s?$"
 ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^glpat-[A-Za-z0-9_-]{20}$"
+#: A value assigned to such a name: in quotes, right after the sign, or with a digit; and the password of an address.
+ASSIGNED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential)s?[\"']?(?:\s{0,4}[:=]\s{0,4}[\"']|=|\s{0,4}[:=]\s{0,4}(?=[^\s\"'`]*[0-9]))([^\s\"'`]{5,}[^\s\"'`.,;:!?)\]}])"
+USER_INFO = r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]*:([^\s/@]{6,})(?=@)"
+#: What stands for a value.
+PLACEHOLDER = r"(?i)^[$%]?[{(<\[]|^%\w+%$|^\$\w+$|^(.)\1+$|^(null|none|true|false|undefined|required|changeme)$"
 NO_SECRET = r"^[0-9_-]+$|^[A-Z]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[_/=+-]+$|^[A-Za-z]+([-_/][A-Za-z]+)+$"
 FEATURES = ["length", "digit_share", "upper_share", "lower_share", "other_share", "hex_only", "transitions", "distinct_share", "vowel_share", "longest_letters", "dictionary_share", "in_path", "in_address", "assigned", "quoted", "before_rate", "after_rate"]
 
 
-def candidates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``row, doc_id, candidate, start, times, before, after``: code-point place of the first occurrence and the text around it."""
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+def _occurrences(rows: DataFrame, pattern: str, group: int, assigned: bool) -> DataFrame:
+    """``row, doc_id, candidate, start, before, after, assigned_here`` per match; the value is the end of the match."""
+    held = rows.filter(F.col("text").rlike(pattern)).select(
+        "row", "doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"), F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("values")
+    )
+    at = lambda c, k: F.coalesce(F.get(F.col(c), k), F.lit(""))
+
+    def one(value: Column, k: Column) -> Column:
+        name = F.substring(at("hits", k), F.lit(1), F.length(at("hits", k)) - F.length(value))
+        before = F.concat(at("gaps", k - 1), at("hits", k - 1), at("gaps", k), name)
+        after = F.concat(at("gaps", k + 1), at("hits", k + 1), at("gaps", k + 2))
+        span = F.length(at("gaps", k)) + F.length(at("hits", k))
+        return F.struct(k.alias("k"), span.cast("bigint").alias("span"), value.alias("candidate"), F.substring(before, F.greatest(F.lit(1), F.length(before) - CONTEXT + 1), F.lit(CONTEXT)).alias("before"), F.substring(after, 1, CONTEXT).alias("after"))
 
-    def finding(c: Column) -> Column:
-        place = F.position(c, F.col("text"))
-        begin = F.greatest(F.lit(1), place - CONTEXT)
-        times = (F.length("text") - F.length(F.replace(F.col("text"), c))) / F.length(c)
-        return F.struct(c.alias("candidate"), (place - 1).cast("bigint").alias("start"), times.cast("bigint").alias("times"), F.substring(F.col("text"), begin, place - begin).alias("before"), F.substring(F.col("text"), place + F.length(c), F.lit(CONTEXT)).alias("after"))
+    found = held.select("row", "doc_id", F.inline(F.transform("values", one)))
+    end = F.sum("span").over(Window.partitionBy("row").orderBy("k"))  # a window holds one text's matches
+    return found.withColumn("start", end - F.length("candidate")).select("row", "doc_id", "candidate", "start", "before", "after", F.lit(assigned).alias("assigned_here"))
 
-    return rows.select("row", "doc_id", F.inline(F.transform(tokens, finding)))
+
+def candidates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row, doc_id, candidate, start, times, before, after``: code-point place of the first occurrence and the text around it."""
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    every = _occurrences(rows, CANDIDATE, 0, False).union(_occurrences(rows, ASSIGNED, 1, True)).union(_occurrences(rows, USER_INFO, 1, True))
+    best = F.min(F.struct(~F.col("assigned_here"), "start", "before", "after")).alias("best")
+    found = every.groupBy("row", "doc_id", "candidate").agg(F.min("start").alias("start"), F.count_distinct("start").alias("times"), best)
+    return found.select("row", "doc_id", "candidate", "start", "times", "best.before", "best.after")
 
 
 def silver_labels(findings: DataFrame) -> DataFrame:
     """Add ``label``: 1 for fixed formats and named assignments, 0 for what cannot be a secret, else null."""
     named = F.col("before").rlike(r"[:=]\s*[\"']?$") & F.col("before_word").rlike(NAMES)
-    return findings.withColumn("label", F.when(F.col("candidate").rlike(ISSUED), 1).when(F.col("candidate").rlike(NO_SECRET), 0).when(named, 1))
+    user = F.col("before").rlike(r"://[^\s/:@]*:$") & F.col("after").startswith("@")
+    never = F.col("candidate").rlike(NO_SECRET) | F.col("candidate").rlike(PLACEHOLDER)
+    return findings.withColumn("label", F.when(F.col("candidate").rlike(ISSUED), 1).when(never, 0).when(named | user, 1))
 
 
 def _share(pattern: str) -> Column:
