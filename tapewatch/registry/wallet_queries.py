@@ -204,7 +204,7 @@ def _(t):
  WHERE side = 'SELL' AND price >= 0.7 AND score >= 0.6 AND size / total >= 0.3""")
 def _(t):
     pos = t.trades.filter("side = 'BUY'").groupBy("wallet", "market_id").agg(F.sum("size").alias("total_size"), F.avg("price").alias("avg_entry_prob"))
-    pos = pos.filter("total_size > 0").withColumn("side", F.lit("YES")).withColumn("position_status", F.lit("OPEN"))
+    pos = pos.withColumn("side", F.lit("YES")).withColumn("position_status", F.lit("OPEN"))
     tr = t.trades.filter("side = 'SELL'").withColumn("trade_side", F.lit("SELL_YES"))
     e = A.smart_exits(tr, pos, scores(t))
     return e.select("event_id", "wallet", "market_id", F.round("sell_ratio", 6).alias("sell_ratio"), F.round("gap", 6).alias("gap"))

@@ -159,3 +159,10 @@ def test_value_at_rank_matches_sorting(spark):
         for k in "ab":
             vals = sorted(v for kk, v in rows if kk == k)
             assert got[k] == vals[int(len(vals) * q)]
+
+
+def test_sales_out_of_empty_positions(spark):
+    sales = spark.createDataFrame([(1, "w", "m", "SELL_YES", 0.8, 5.0), (2, "w", "m", "SELL_YES", 0.8, 0.0), (3, "w", "n", "SELL_YES", 0.8, 2.0), (4, "w", "n", "SELL_YES", 0.8, 3.0)], "event_id long, wallet string, market_id string, trade_side string, price double, size double")
+    held = spark.createDataFrame([("w", "m", 0.0, 0.5, "YES", "OPEN"), ("w", "n", 10.0, 0.5, "YES", "OPEN")], "wallet string, market_id string, total_size double, avg_entry_prob double, side string, position_status string")
+    found = A.smart_exits(sales, held, spark.createDataFrame([("w", 0.9)], "wallet string, score double")).collect()
+    assert sorted((r.event_id, str(r.sell_ratio)) for r in found) == [(1, "inf"), (2, "nan"), (4, "0.3")]
