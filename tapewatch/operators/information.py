@@ -15,6 +15,8 @@ from tapewatch.operators.sequence import DAY, fit_width, numbered, top_per_key
 
 #: Values of one series in a chunk; two blocks' chunks are held by a task.
 CHUNK = 4096
+#: Blocks that keys are dealt to, and the least and most keys of a block. Every value is copied once per block, and a unit of two blocks holds about ten numbers per pair.
+BLOCKS, SMALL_BLOCK, LARGE_BLOCK = 32, 256, 2048
 
 
 def latest_series(rows: DataFrame, key: str, order: list[str], value: str, length: int | None = None, slice_us: int = 31 * DAY) -> DataFrame:
@@ -27,10 +29,10 @@ def latest_series(rows: DataFrame, key: str, order: list[str], value: str, lengt
     return newest.select(key, "lag_no", F.col(value).alias("value"))
 
 
-def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_length: int = 5, block_size: int = 256, chunk: int = CHUNK) -> DataFrame:
+def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_length: int = 5, block_size: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Pearson correlation of every pair of keys over their common latest values, as far back as the shorter series goes.
 
-    All pairs are wanted, so the work is a blocked matrix product. Keys of similar length form blocks of about ``block_size`` and series are cut into chunks of ``chunk`` places, so a unit of
+    All pairs are wanted, so the work is a blocked matrix product. Keys of similar length form blocks of about ``block_size`` (by default the keys are dealt to ``BLOCKS`` blocks, within bounds) and series are cut into chunks of ``chunk`` places, so a unit of
     work (two blocks, one chunk) has a bounded size however long a series is. A unit gives the co-moments (n, sums of x, y, xx, yy, xy) of its pairs by products with the values, their squares and their
     presence; values are taken from the key's mean, which leaves correlations as they are and sums small. A pair that ends in the first chunk is
     judged there and leaves only if it reaches ``min_abs``; co-moments of longer pairs are added up over their chunks.
@@ -39,6 +41,7 @@ def correlation_edges(series: DataFrame, key: str, min_abs: float = 0.01, min_le
     sizes = cut_lineage(series.groupBy(F.col(key).alias("market")).agg(F.count(F.lit(1)).alias("length"), F.avg("value").alias("mean")).filter(F.col("length") >= min_length))
     band = F.floor(F.log2("length") + 1e-9).cast("int")
     held = {r.band: r.n for r in sizes.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    block_size = block_size or min(LARGE_BLOCK, max(SMALL_BLOCK, sum(held.values()) // BLOCKS))
     blocks, first = [math.ceil(held.get(k, 0) / block_size) for k in range(64)], [0]
     for n in blocks:
         first.append(first[-1] + n)
