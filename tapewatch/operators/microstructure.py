@@ -295,6 +295,7 @@ def flow_shocks(
             "ofi": ("sum", F.col("notional") * signed()),
             "first_us": ("min", F.col("ts_us")),
         },
+        valid.count(),
     )
     hits = framed.filter(
         (F.col("n_events") >= 2)

@@ -192,12 +192,17 @@ def islands(
     return out.select(*df.columns, F.coalesce("_own", "_carry").alias(name))
 
 
-def range_frame(df: DataFrame, keys, pos: str, before: int, aggs: dict[str, tuple[str, Column]]) -> DataFrame:
+#: Rows that a task of a frame should hold, before each is copied once.
+FRAME_ROWS = 250_000
+
+
+def range_frame(df: DataFrame, keys, pos: str, before: int, aggs: dict[str, tuple[str, Column]], rows: int | None = None) -> DataFrame:
     """Aggregates over rows with ``pos`` in ``[current - before, current]`` of the same key; ``aggs`` maps name -> (kind, expression), kinds ``sum``, ``count`` (of non-null values), ``min`` and ``max``.
 
     Time is cut into tiles of the frame's length, so a frame is the rows of its own tile up to the current one and the last rows of the tile before. Both parts only grow along a tile (one read
     forwards, one backwards), so the cost does not depend on how many rows a frame holds, nothing is ever subtracted, and a huge or unlike number stays in the frames that hold it.
-    Each row is copied once, with its values only, to the next tile; a key's tiles are dealt to tasks apart. Rows of equal ``pos`` count together.
+    Each row is copied once, with its values only, to the next tile; a key's tiles are dealt to tasks apart. Rows of equal ``pos`` count together. Sorts of both directions stand in one task: ``rows``,
+    a count of the source's rows, sets as many tasks as keep that bounded.
     """
     keys, fold = _cols(keys), {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     tile = F.floor(F.col(pos) / F.lit(max(before, 1))).cast("long")
@@ -207,6 +212,8 @@ def range_frame(df: DataFrame, keys, pos: str, before: int, aggs: dict[str, tupl
     by_tile = W.partitionBy(*keys, SLICE)
     upto, since = (by_tile.orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.col("_p"), F.desc("_p")))
     both, parts = own.unionByName(old, allowMissingColumns=True), {}
+    if rows and rows > FRAME_ROWS:
+        both = both.repartition(-(-rows // FRAME_ROWS), *keys, SLICE)
     for i, (name, (kind, _)) in enumerate(aggs.items()):
         here, there = (fold[kind](F.when(F.col("_old") == F.lit(part), F.col(f"_v{i}"))).over(w) for part, w in ((False, upto), (True, since)))
         both = both.withColumn(f"_h{i}", here).withColumn(f"_t{i}", there)

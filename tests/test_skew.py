@@ -178,3 +178,14 @@ def test_frames_hold_what_is_in_them(spark):
             n, s, low = got[i]
             assert n == len(inside) and low == min(r[2] for r in inside) and (s is None) == (not known)
             assert s is None or s == sum(known) or abs(s - sum(known)) <= 1e-9 * sum(known)
+
+
+def test_frames_keep_rows_of_a_task_bounded(spark, monkeypatch):
+    """Counted rows set the tasks of a frame, whatever the shuffle's own number; results are those without a count."""
+    from tapewatch.operators import sequence as Q
+
+    monkeypatch.setattr(Q, "FRAME_ROWS", 100)
+    df = spark.range(5_000).select(F.col("id"), (F.col("id") % 7).alias("k"), (F.col("id") * 37 % 1009).alias("t"))
+    frame = lambda rows: Q.range_frame(df, "k", "t", 50, {"n": ("count", F.lit(1)), "s": ("sum", F.col("id"))}, rows)
+    many = frame(5_000)
+    assert many.rdd.getNumPartitions() == 50 and sorted(map(tuple, many.collect())) == sorted(map(tuple, frame(None).collect()))
