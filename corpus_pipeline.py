@@ -31,7 +31,10 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document of the smallest id of each component of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """The document of the smallest id of each component of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    Candidates come from covering SimHash, then from min-hashing for what covering masks of three bits can't reach; all are compared exactly.
+    """
     return keep_representatives(docs, find=near_copies)
 
 

@@ -1,12 +1,15 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from min-hashing: ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity 0.8 shares no key with probability (1 - 0.8**5)**40, about
-1.3e-7, and a more similar pair less. What shares a key is then compared exactly, set against set, so no pair below the similarity is linked.
+Candidates come first from covering SimHash (``simhash.links``) on fingerprints of these sets: every pair of fingerprints that differ in at most ``RADIUS`` bits meets, and
+a spanning forest of these pairs is compared. A pair of similarity 0.8 differs in about ten bits, so what lies in different components goes on to min-hashing: ``BANDS`` keys of
+``ROWS`` minima each. A pair of similarity 0.8 shares no key with probability (1 - 0.8**5)**40, about 1.3e-7, and a more similar pair less. All candidates are compared exactly, set against set, so no
+pair below the similarity is linked.
 
 Texts of equal sets are one node. In a bucket every node is first compared with the smallest. What that leaves in different components is compared pair by pair in buckets
 of at most ``SMALL`` nodes. The nodes of larger ones go through a prefix index, which loses no link either: with shingles ordered from the rarest on, two sets of sizes n and m that share at least
 a = 0.8 / 1.8 (n + m) of them first agree at places i and j with n - i >= a and m - j >= a. What is unlike by its rare parts (a common passage in other surroundings) never meets there.
-An entry of the index compares with its smallest node first, then within parts of ``DRAWN`` nodes dealt by hash, and then what lies outside its main component with the rest. No bucket is cut short.
+An entry of the index compares with its smallest node first, then within parts of ``DRAWN`` nodes dealt by hash, and then what lies outside its main component with the rest: with a ``FEW``-th of it first, and
+what that leaves outside with more, up to all. No bucket is cut short.
 
 Words are lower-cased (A-Z only) and parted by ASCII white space; a text of fewer words than a shingle is one shingle. Texts without words (null ones
 too) are copies of each other. Repeated rows are returned each. Empty tables give no rows.
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tapewatch.llm.common import broadcast_if_small, cut_lineage, map_batches, slices
 from tapewatch.llm.components import components
+from tapewatch.llm.simhash import links
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -30,8 +34,10 @@ BANDS, ROWS = 40, 5
 STRETCH = 1024
 #: Nodes of a bucket that are compared pair by pair.
 SMALL = 16
-#: Rounds before an entry of the prefix index is compared in full, and the nodes of a part in these.
-ROUNDS, DRAWN = 3, 6
+#: Rounds before an entry of the prefix index is compared with its main component, and the nodes of a part in these.
+ROUNDS, DRAWN = 2, 6
+#: One of so many nodes of an entry is compared with what lies outside its main component, round by round; in the last all are.
+FEW = (32, 4, 1)
 #: Nodes in more pairs than this are looked up by broadcast, if they are few.
 HUB = 500
 #: Documents per task and file of a step between shuffles, and the least such tasks. A step never has more tasks than its shuffle has partitions.
@@ -56,6 +62,14 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(joined[a:b]) for a, b in zip(begin, end)), dtype=np.uint64, count=len(begin)))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes: a bit is set if more than half of them have it; zero for an empty one."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 64 * STRETCH):
+        ones += np.unpackbits(hashes[k : k + 64 * STRETCH].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "little")
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """``BANDS`` keys of a set; none of an empty one."""
     if not len(hashes):
@@ -72,7 +86,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, node, n, keys``: a row's set by its hash, its size and its band keys."""
+    """``doc_id, node, n, bits, keys``: a row's set by its hash, its size, its fingerprint and its band keys."""
 
     def make():
         import xxhash
@@ -81,11 +95,13 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
             for part in slices(batch):
                 sets = [shingle_set(t or "", shingle) for t in part.column("text").to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), _lists([band_keys(s) for s in sets])], names=["doc_id", "node", "n", "keys"])
+                bits = np.array([fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
+                sketch = [part.column("doc_id"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits), _lists([band_keys(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(sketch, names=["doc_id", "node", "n", "bits", "keys"])
 
         return step
 
-    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, keys array<bigint>")
+    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, bits bigint, keys array<bigint>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -139,6 +155,15 @@ def _joined(roots: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     return cut_lineage(moved.union(merged.join(roots, "node", "left_anti")).coalesce(parts))
 
 
+def _simhash_pairs(classes: DataFrame, parts: int) -> DataFrame:
+    """``u, v``: nodes of one fingerprint with its smallest node, and the smallest nodes of fingerprints that ``links`` joins."""
+    prints = cut_lineage(classes.groupBy("bits").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("held")).coalesce(parts))
+    least = lambda c: prints.select(F.col("bits").alias(c), F.col("least").alias(f"{c}n"))
+    between = cut_lineage(links(prints.select("bits")).coalesce(parts)).join(least("u"), "u").join(least("v"), "v").select(F.col("un").alias("a"), F.col("vn").alias("b"))
+    same = classes.select("bits", "node").join(prints.filter("held > 1"), "bits").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return same.union(between).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(parts).distinct().coalesce(parts)
+
+
 def _prefixes(nodes: DataFrame, sets: DataFrame, similarity: float, parts: int) -> DataFrame:
     """``shingle, node, n, at``: the places (from 0, the rarest first) of the shingles of ``node, n`` at which a similar set may first agree; shingles of one set only take places but are left out."""
     every = cut_lineage(nodes.join(sets, "node").select("node", "n", F.explode("hashes").alias("shingle")).coalesce(parts))
@@ -160,7 +185,7 @@ def _prefix_links(nodes: DataFrame, sets: DataFrame, roots: DataFrame, similarit
     most = similarity / (1 + similarity)
     own = F.struct("node", "n", "at", "root")
     agree = lambda a, b: F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (most - 1e-9)
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS + len(FEW)):
         rooted = cut_lineage(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(parts))
         mixed = rooted.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(own, F.col("node")).alias("p"), F.count(F.lit(1)).alias("held")).filter("a <> b")
         mixed = cut_lineage(mixed.select("shingle", "p", "held").coalesce(parts))
@@ -179,7 +204,8 @@ def _prefix_links(nodes: DataFrame, sets: DataFrame, roots: DataFrame, similarit
             counts = rooted.join(mixed.select("shingle"), "shingle").groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).coalesce(parts)
             main = cut_lineage(counts.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m")).select("shingle", F.col("m.root").alias("main")).coalesce(parts))
             here = cut_lineage(rooted.join(main, "shingle").coalesce(parts))
-            pairs = here.filter("root <> main").select("shingle", own.alias("x")).join(here.select("shingle", own.alias("y")), "shingle")
+            met = here.filter(F.pmod(F.xxhash64("node"), F.lit(FEW[turn - ROUNDS])) == 0)
+            pairs = here.filter("root <> main").select("shingle", own.alias("x")).join(met.select("shingle", own.alias("y")), "shingle")
             pairs = pairs.filter((F.col("x.root") != F.col("y.root")) & agree("x", "y")).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
         pairs = pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).coalesce(parts).distinct().coalesce(parts)
         pairs = cut_lineage(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti").coalesce(parts))
@@ -194,22 +220,29 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     docs = cut_lineage(_sketches(rows, shingle))
     parts = max(LEAST_PARTS, docs.count() // DOCS_A_PART)
-    classes = cut_lineage(docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")).coalesce(parts))
+    firsts = [F.first(c).alias(c) for c in ("n", "bits", "keys")]
+    classes = cut_lineage(docs.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts).coalesce(parts))
+    close = cut_lineage(_simhash_pairs(classes, parts))
     keyed = classes.select("node", "n", F.explode("keys").alias("key"))
     # Most buckets hold one node; these leave after a count.
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("low")).filter("size > 1")
-    keyed = cut_lineage(keyed.join(cut_lineage(buckets.coalesce(parts)), "key").select("key", "node", "n", "low").coalesce(parts))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    keyed = cut_lineage(keyed.join(cut_lineage(buckets.coalesce(parts)), "key").select("key", "node", "n").coalesce(parts))
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
 
-    named = keyed.select("node").distinct().join(classes.select("node", "least"), "node").select(F.col("least").alias("_asked")).coalesce(parts).distinct()
+    nodes = keyed.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    named = nodes.join(classes.select("node", "least"), "node").select(F.col("least").alias("_asked")).coalesce(parts).distinct()
     asked = broadcast_if_small(cut_lineage(named.coalesce(parts)))
     # A null id matches itself, and rows of equal id may differ in text: a set is known by its hash.
     sets = cut_lineage(_sets(rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_asked"))).select("text"), shingle).dropDuplicates(["node"]).coalesce(max(parts, 16)))
 
-    stars = keyed.filter((F.col("node") != F.col("low.node")) & fits(F.col("n"), F.col("low.n"))).select(F.col("node").alias("u"), F.col("low.node").alias("v"))
-    stars = cut_lineage(stars.distinct().coalesce(parts))
-    roots = cut_lineage(components(cut_lineage(_verified(stars, sets, similarity, parts)), parts).coalesce(parts))
-    placed = cut_lineage(keyed.drop("low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(parts))
+    roots = cut_lineage(components(cut_lineage(_verified(close, sets, similarity, parts)), parts).coalesce(parts))
+    rooted = lambda: cut_lineage(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(parts))
+    placed = rooted()
+    lows = placed.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("low"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "low")
+    stars = placed.join(cut_lineage(lows.coalesce(parts)), "key").filter((F.col("root") != F.col("low.root")) & fits(F.col("n"), F.col("low.n")))
+    stars = cut_lineage(stars.select(F.col("node").alias("u"), F.col("low.node").alias("v")).coalesce(parts).distinct().coalesce(parts))
+    roots = _joined(roots, cut_lineage(_verified(stars, sets, similarity, parts)), parts)
+    placed = rooted()
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("held")).filter("a <> b").select("key", "held")
     sized = cut_lineage(placed.join(mixed, "key").coalesce(parts))
     if not sized.isEmpty():

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tapewatch.llm import nearcopies
 from tapewatch.llm.nearcopies import near_copies
 
 
@@ -88,3 +89,22 @@ def test_long_texts_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, node string, root int")
     kept = corpus_pipeline.near_dedup(spark, df, None)
     assert kept.columns == df.columns and sorted(r.node for r in kept.collect()) == ["a", "c"]
+
+
+def test_covering_simhash_proposes_close_fingerprints(spark):
+    draw = random.Random(11)
+    bits, rows = [draw.getrandbits(64) for _ in range(30)], []
+    for b in list(bits):
+        bits += [b, b ^ sum(1 << k for k in draw.sample(range(64), 3)), b ^ sum(1 << k for k in draw.sample(range(64), 5))]
+    rows = [(k, b - (1 << 64) if b >> 63 else b) for k, b in enumerate(bits)]
+    got = nearcopies._simhash_pairs(spark.createDataFrame(rows, "node long, bits long"), 4).collect()
+
+    def least(pairs):
+        root = list(range(len(bits)))
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    assert all((bits[r.u] ^ bits[r.v]).bit_count() <= 3 for r in got) and len(got) < len(bits)
+    assert least([(r.u, r.v) for r in got]) == least([(a, b) for a in range(len(bits)) for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= 3])
