@@ -166,3 +166,21 @@ def test_sales_out_of_empty_positions(spark):
     held = spark.createDataFrame([("w", "m", 0.0, 0.5, "YES", "OPEN"), ("w", "n", 10.0, 0.5, "YES", "OPEN")], "wallet string, market_id string, total_size double, avg_entry_prob double, side string, position_status string")
     found = A.smart_exits(sales, held, spark.createDataFrame([("w", 0.9)], "wallet string, score double")).collect()
     assert sorted((r.event_id, str(r.sell_ratio)) for r in found) == [(1, "inf"), (2, "nan"), (4, "0.3")]
+
+
+def test_effective_wallets_link_only_shared_islands(spark, monkeypatch):
+    """Wallets that are alone in their islands need no node, and nodes are numbers."""
+    from tapewatch.operators import graph
+
+    seen, plain = [], graph.connected_components
+
+    def components(edges, a, b):
+        seen.append((edges.count(), sorted({kind for _, kind in edges.dtypes})))
+        return plain(edges, a, b)
+
+    monkeypatch.setattr(graph, "connected_components", components)
+    rows = [("m1", "a", 0), ("m1", "b", 5), ("m1", "b", 100), ("m1", "c", 105), ("m1", "d", 300), ("m2", "a", 0), ("m2", "b", 50), ("m2", "c", 100), ("m3", None, 0)]
+    trades = spark.createDataFrame([(m, w, t, k) for k, (m, w, t) in enumerate(rows)], "market_id string, wallet string, ts_us long, event_id long")
+    got = {(r.market_id, r.effective_wallets, r.wallets) for r in graph.effective_wallets(trades, ["market_id"], 10, 60).collect()}
+    assert got == {("m1", 2, 4), ("m2", 3, 3), ("m3", 1, 1)}
+    assert seen == [(2, ["bigint"])]
