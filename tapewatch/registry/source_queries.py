@@ -61,19 +61,8 @@ def raw_messages(t):
  UNION ALL SELECT 'tick_size', asset_id, t, 0.001::double FROM m WHERE event_type = 'signup'
  UNION ALL SELECT 'resolved', asset_id, t, CASE WHEN outcome = 'YES' THEN 1.0::double ELSE 0.0::double END FROM m WHERE event_type = 'error'""")
 def _(t):
-    m = R.messages(raw_messages(t))
-    pick = lambda df, k, v: df.select(F.lit(k).alias("kind"), "asset_id", "ts_us", v.alias("v"))
-    parts = [
-        pick(R.book_mids(m), "book", F.round("mid", 6)),
-        pick(R.price_change_mids(m), "price_change", F.round("mid", 6)),
-        pick(R.last_trades(m), "trade", F.col("size")),
-        pick(R.tick_size_changes(m), "tick_size", F.col("new_tick")),
-        pick(R.resolutions(m), "resolved", (F.col("winning_outcome") == "YES").cast("double")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    v = F.when(F.col("kind").isin("book", "price_change"), F.round("v", 6)).otherwise(F.col("v"))
+    return R.routed(R.messages(raw_messages(t))).withColumn("v", v)
 
 
 @query("s3_market_tokens", """SELECT market_id, cast(i AS int) AS outcome_index, 't' || market_no || CASE i WHEN 0 THEN 'y' ELSE 'n' END AS token_id

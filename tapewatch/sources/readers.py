@@ -120,6 +120,24 @@ def tick_size_changes(msgs: DataFrame) -> DataFrame:
     )
 
 
+def routed(msgs: DataFrame) -> DataFrame:
+    """``kind, asset_id, ts_us, v``: what the readers above make of each kind (mid, size, new tick, or 1 if YES has won), all in one pass, so that a document is parsed once."""
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    one = lambda kind, asset, v: F.struct(F.lit(kind).alias("kind"), asset.alias("asset_id"), v.alias("v"))
+    own, of = F.col("asset_id"), lambda name: F.col("event_type") == name
+    bid, ask, size = number("get(bids, 0).price"), number("get(asks, 0).price"), number("size")
+    quote = lambda c: (c["best_bid"].try_cast("double") + c["best_ask"].try_cast("double")) / 2
+    changed = F.filter(F.transform("price_changes", lambda c: one("price_change", c["asset_id"], quote(c))), lambda x: x["v"].isNotNull())
+    rows = (
+        F.when(of("book") & (bid > 0) & (ask > bid), F.array(one("book", own, (bid + ask) / 2)))
+        .when(of("price_change"), changed)
+        .when(of("last_trade_price") & (F.coalesce(size, F.lit(0.0)) != 0), F.array(one("trade", own, size)))
+        .when(of("tick_size_change"), F.array(one("tick_size", own, number("new_tick_size"))))
+        .when(of("market_resolved"), F.array(one("resolved", own, (F.col("winning_outcome") == "YES").cast("double"))))
+    )
+    return msgs.select("ts_us", F.explode(rows).alias("_r")).select("_r.kind", "_r.asset_id", "ts_us", "_r.v")
+
+
 def token_list(text: Column) -> Column:
     """Token ids from a JSON list or a list of lists."""
     nested = F.flatten(F.from_json(text, "array<array<string>>"))

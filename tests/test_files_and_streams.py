@@ -124,3 +124,26 @@ def test_windows_close_at_the_end_of_a_replay(spark, tmp_path):
     stream = S.closed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
     out = S.run_available(S.market_windows(S.with_event_time(stream, 3_600_000_000), 300_000_000)).collect()
     assert [(r.market_id, r.trades, r.usd) for r in out] == [("m", 2, 5.0)]
+
+
+def test_messages_are_routed_in_one_pass(spark):
+    docs = [
+        '{"event_type": "book", "asset_id": "a", "timestamp": "1706659200000", "bids": [{"price": "0.4", "size": "1"}], "asks": [{"price": "0.5", "size": "1"}]}',
+        '{"event_type": "book", "asset_id": "crossed", "timestamp": "1706659200000", "bids": [{"price": "0.6", "size": "1"}], "asks": [{"price": "0.5", "size": "1"}]}',
+        '{"event_type": "book", "asset_id": "empty", "timestamp": "1706659200000", "bids": [], "asks": []}',
+        '{"event_type": "price_change", "timestamp": "1706659200000", "price_changes": [{"asset_id": "b", "best_bid": "0.2", "best_ask": "0.4"}, {"asset_id": "c", "best_bid": "x", "best_ask": "0.4"}]}',
+        '{"event_type": "last_trade_price", "market": "d", "timestamp": "1706659200000", "price": "0.3", "size": "7", "side": "buy"}',
+        '{"event_type": "last_trade_price", "asset_id": "none", "timestamp": "1706659200000", "price": "0.3"}',
+        '{"event_type": "tick_size_change", "asset_id": "e", "timestamp": "1706659200000", "old_tick_size": "0.01"}',
+        '{"event_type": "market_resolved", "asset_id": "f", "timestamp": "1706659200000", "winning_outcome": "YES"}',
+        '{"event_type": "other", "asset_id": "g"}', "broken", None,
+    ]
+    msgs = R.messages(spark.createDataFrame([(d,) for d in docs], "value string"))
+    out = R.routed(msgs)
+    got = {(r.kind, r.asset_id, round(r.v, 6) if r.v is not None else None) for r in out.collect()}
+    assert got == {("book", "a", 0.45), ("price_change", "b", 0.3), ("trade", "d", 7.0), ("tick_size", "e", None), ("resolved", "f", 1.0)}
+    old = [(R.book_mids, "book", "mid"), (R.price_change_mids, "price_change", "mid"), (R.last_trades, "trade", "size"), (R.tick_size_changes, "tick_size", "new_tick")]
+    for read, kind, value in old:
+        same = out.filter(F.col("kind") == kind).select("asset_id", "ts_us", "v").collect()
+        assert sorted(same) == sorted(read(msgs).select("asset_id", "ts_us", value).collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
