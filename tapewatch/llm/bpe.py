@@ -51,7 +51,7 @@ class ForcedBoundaryCodec:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # On printable ASCII the letter and digit classes are these, and byte characters are the characters themselves.
         self.plain = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace("[[", "[").replace("]]", "]"), re.ASCII)
-        self.fragments: dict[tuple[str, bool], bytes] = {}
+        self.fragments: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # inner ones, and ends of words
         self.chunks: dict[str, bytes] = {}
 
     def cut(self, word: str) -> list[str]:
@@ -61,11 +61,11 @@ class ForcedBoundaryCodec:
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
     def fragment(self, text: str, final: bool) -> bytes:
-        got = self.fragments.get((text, final))
+        got = self.fragments[final].get(text)
         if got is None:
             got = np.array([t.id for t in (self.last if final else self.inner).tokenize(text)], dtype="<u4").tobytes()
-            if len(self.fragments) < REMEMBERED:
-                self.fragments[text, final] = got
+            if sum(map(len, self.fragments)) < REMEMBERED:
+                self.fragments[final][text] = got
         return got
 
     def chunk(self, text: str) -> bytes:

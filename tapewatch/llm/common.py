@@ -33,12 +33,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """Run ``make()`` once per task and its result on every Arrow batch of the task."""
+    """Run ``make()`` once per task and its result on every Arrow batch of the task. What Arrow keeps for later goes back at the task's end, as workers live on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             yield from step(batch)
+        batch = step = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -10,6 +10,7 @@ that are null or whose row is missing are ignored; without labels there are no r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewatch.llm.common import cut_lineage, map_batches
+from tapewatch.llm.common import cut_lineage, map_batches, slices
 
 MAX_LABELLED = 50_000
 WHITE = " \t\n\r\x0b\x0c"
@@ -71,6 +72,14 @@ def statistics(text: str) -> tuple:
     return n, chars, symbols, dup, repeat, chars / w, symbols / w, dup / max(lines, 1), repeat / w, upper / size, marks / w, digits / size, len(index) / w, n / max(lines, 1), float(longest)
 
 
+def measured(batch: pa.RecordBatch, text: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns ``kept`` and the statistics of ``text``, a part of the batch at a time, so that a worker holds few texts as Python strings."""
+    types = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(FEATURES)
+    for rows in slices(batch):
+        values = list(zip(*[statistics(t or "") for t in rows.column(text).to_pylist()])) or [()] * len(types)
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *(pa.array(v, t) for v, t in zip(values, types))], names=[*kept, *COUNTS, *FEATURES])
+
+
 def with_statistics(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``COUNTS`` (long) and ``FEATURES`` (double) of every text."""
     names = {*COUNTS, *FEATURES}
@@ -79,13 +88,7 @@ def with_statistics(df: DataFrame, text: str = "text", keep_text: bool = True) -
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in FEATURES)])
 
     def make():
-        def step(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-            values = list(zip(*[statistics(t or "") for t in batch.column(text).to_pylist()])) or [()] * (len(COUNTS) + len(FEATURES))
-            types = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(FEATURES)
-            own = [batch.column(f.name) for f in kept]
-            return [pa.RecordBatch.from_arrays([*own, *(pa.array(v, t) for v, t in zip(values, types))], names=[*(f.name for f in kept), *COUNTS, *FEATURES])]
-
-        return step
+        return lambda batch: measured(batch, text, [f.name for f in kept])
 
     return map_batches(df, make, schema)
 
@@ -196,7 +199,8 @@ def keep_good(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     chosen = cut_lineage(known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(MAX_LABELLED))
     marked = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     rules = learn_rules(with_statistics(marked, "_text", keep_text=False), "_label", "_id")
+    # Columns get names that no statistic has; the text is sent to the workers once.
     columns = {f"_c{k}": c for k, c in enumerate(df.columns)}
-    renamed = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()], F.col(text).alias("_text"))
-    judged = with_statistics(renamed, "_text", keep_text=False).filter(kept(rules))
+    renamed = df.select(*[F.col(f"`{c}`").alias(k) for k, c in columns.items()])
+    judged = with_statistics(renamed, next(k for k, c in columns.items() if c.lower() == text.lower())).filter(kept(rules))
     return judged.select(*[F.col(k).alias(c) for k, c in columns.items()])

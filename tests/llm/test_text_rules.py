@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,6 +57,18 @@ def test_decision_list_learns_conjunctions():
     assert quality.learn_list(x, np.zeros(n, dtype=bool), draw.random(n) < 0.5) == []
 
 
+def test_quality_holds_few_texts_at_once(spark):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1200)), "text": ["one two three"] * 1199 + [None]})
+    parts = list(quality.measured(batch, "text", ["doc_id"]))
+    assert max(p.num_rows for p in parts) <= 500 and sum(p.num_rows for p in parts) == 1200
+    assert pa.Table.from_batches(parts)["n_words"].to_pylist() == [3] * 1199 + [0]
+    # The workers get every text once.
+    df = spark.createDataFrame([(k, f"{k} " * 60) for k in range(20)], "doc_id long, text string")
+    kept = quality.keep_good(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    sent = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert len(sent) == 1 and "_text" not in sent[0] and kept.columns == ["doc_id", "text"]
+
+
 def test_quality_query(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
