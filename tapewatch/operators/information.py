@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewatch.operators.lineage import cut_lineage
@@ -121,11 +121,13 @@ def transfer_entropy(pairs: DataFrame, key: list[str], threshold: float = 0.05,
     ``pairs`` carries ``key, idx, x, y`` with consecutive ``idx``; keys of fewer than ``min_ticks`` pairs have no result. Each of
     the three series (Y now, Y before, X before) is binned over its own range.
     """
+    pairs = cut_lineage(pairs.select(*key, "idx", "x", "y"))
     n = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_ticks)
     now = pairs.select(*key, (F.col("idx") - 1).alias("idx"), F.col("y").alias("yt"))
-    rows = now.join(pairs.select(*key, "idx", F.col("y").alias("yl"), F.col("x").alias("xl")), [*key, "idx"])
+    # Written, as the ranges and the bins both read them: else a task would hold all joins and sums twice over.
+    rows = cut_lineage(now.join(pairs.select(*key, "idx", F.col("y").alias("yl"), F.col("x").alias("xl")), [*key, "idx"]).select(*key, "yt", "yl", "xl"))
     ranges = rows.groupBy(*key).agg(*[f(v).alias(f"{v}_{s}") for v in ("yt", "yl", "xl") for f, s in ((F.min, "lo"), (F.max, "hi"))])
-    j = rows.join(ranges, key).join(n, key)
+    j = rows.join(cut_lineage(ranges.join(n, key)), key)
     bins = F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.sqrt("n"))))
 
     def bin_of(v: str) -> Column:
@@ -133,15 +135,13 @@ def transfer_entropy(pairs: DataFrame, key: list[str], threshold: float = 0.05,
         step = F.floor((F.col(v) - lo) / (hi - lo) * bins + 1e-9)
         return F.when(hi > lo, F.least(step, bins - 1)).otherwise(0).cast("int").alias(f"{v}_b")
 
-    b = j.select(*key, bin_of("yt"), bin_of("yl"), bin_of("xl"))
-    full = b.groupBy(*key, "yt_b", "yl_b", "xl_b").agg(F.count(F.lit(1)).alias("c"))
-
-    def entropy(cols: list[str], name: str) -> DataFrame:
-        counts = full.groupBy(*key, *cols).agg(F.sum("c").alias("c"))
-        total = counts.groupBy(*key).agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-        return total.select(*key, (F.log2("t") - F.col("s") / F.col("t")).alias(name))
-
-    h = entropy(["yt_b", "yl_b"], "h1").join(entropy(["yl_b"], "h2"), key)
-    h = h.join(entropy(["yt_b", "yl_b", "xl_b"], "h3"), key).join(entropy(["yl_b", "xl_b"], "h4"), key)
-    te = F.greatest(F.lit(0.0), (F.col("h1") - F.col("h2")) - (F.col("h3") - F.col("h4")))
-    return h.join(n, key).select(*key, "n", te.alias("transfer_entropy")).withColumn("significant", F.col("transfer_entropy") > threshold)
+    b = j.select(*key, "n", bin_of("yt"), bin_of("yl"), bin_of("xl"))
+    full = cut_lineage(b.groupBy(*key, "n", "yt_b", "yl_b", "xl_b").agg(F.count(F.lit(1)).alias("c")))
+    # A key has a thousand cells at most. The entropy over some of the bins is log2(t) - sum(c * log2(cells equal in these bins)) / t, so all four come from one pass.
+    cells = full.repartition(*key)
+    for name, cols in (("s1", ["yl_b", "yt_b"]), ("s2", ["yl_b"]), ("s4", ["yl_b", "xl_b"])):
+        cells = cells.withColumn(name, F.col("c") * F.log2(F.sum("c").over(Window.partitionBy(*key, *cols))))
+    sums = cells.groupBy(*key, "n").agg(F.sum("c").alias("t"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum(F.col("c") * F.log2("c")).alias("s3"), F.sum("s4").alias("s4"))
+    h = {k: F.log2("t") - F.col(f"s{k}") / F.col("t") for k in (1, 2, 3, 4)}
+    te = F.greatest(F.lit(0.0), (h[1] - h[2]) - (h[3] - h[4]))
+    return sums.select(*key, "n", te.alias("transfer_entropy")).withColumn("significant", F.col("transfer_entropy") > threshold)

@@ -184,3 +184,13 @@ def test_effective_wallets_link_only_shared_islands(spark, monkeypatch):
     got = {(r.market_id, r.effective_wallets, r.wallets) for r in graph.effective_wallets(trades, ["market_id"], 10, 60).collect()}
     assert got == {("m1", 2, 4), ("m2", 3, 3), ("m3", 1, 1)}
     assert seen == [(2, ["bigint"])]
+
+
+def test_transfer_entropy_keeps_few_operators_in_a_task(spark):
+    rows = spark.range(200).selectExpr("'k' AS key", "id AS idx", "cast(id % 7 AS double) AS x", "cast((id + 6) % 7 AS double) AS y")
+    te = I.transfer_entropy(rows, ["key"])
+    assert te._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    # Y takes the value that X had before; of a cycle Y's own past says as much.
+    assert [(r.n, round(r.transfer_entropy, 9)) for r in te.collect()] == [(200, 0.0)]
+    rows = spark.range(4000).selectExpr("'k' AS key", "id AS idx", "cast(pmod(xxhash64(id), 2) AS double) AS x", "cast(pmod(xxhash64(id - 1), 2) AS double) AS y")
+    assert 0.98 < I.transfer_entropy(rows, ["key"]).head().transfer_entropy <= 1
