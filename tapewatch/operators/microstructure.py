@@ -156,7 +156,8 @@ def entropy_zscore(
 ) -> DataFrame:
     """z of the latest entropy step against the spread of the preceding entropy levels."""
     keys = list(keys)
-    defined = entropies.filter(F.col("entropy").isNotNull())
+    # Written, as running values read their rows twice: else the frames before would be made twice.
+    defined = cut_lineage(entropies.filter(F.col("entropy").isNotNull()))
     stepped = running(
         defined, keys, TIME_ORDER, "ts_us", slice_us, {"_h": ("lag", F.col("entropy")), "_no": ("count", F.lit(1))}
     )

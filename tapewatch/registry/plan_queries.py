@@ -35,7 +35,8 @@ XSIG_SQL = f"""{ZSCORE_SQL}, {SCORES_SQL}, {MEMBERS_SQL},
  round(CASE WHEN early IS NULL THEN padj ELSE 0 END, 5) AS p_adj, round(CASE WHEN early IS NULL THEN ev ELSE 0 END, 4) + 0.0 AS ev_net, round(CASE WHEN early IS NULL THEN ask WHEN early = 'NO_PRICE_DATA' THEN coalesce(prev_entry, 0) ELSE 0 END, 5) AS avg_entry_price FROM f""")
 def _(t):
     z = zscores(t).filter("z is not null").select(F.col("event_id").alias("signal_id"), "market_id", F.round("z", 6).alias("z"), "wallet", "asset_id", F.col("ts_us").alias("signal_us"))
-    sig = z.join(t.markets.select("market_id", "tier", "end_us"), "market_id").filter(F.abs("z") >= 0.8)
+    # Written, as the as-of join reads its rows twice and z-scores are long chains.
+    sig = cut_lineage(z.filter(F.abs("z") >= 0.8).join(t.markets.select("market_id", "tier", "end_us"), "market_id"))
     priced = Q.as_of(sig, t.quotes, "asset_id", "signal_us", "ts_us", ["bid", "ask"], "signal_id", 2 * DAY)
     priced = cut_lineage(
         priced.withColumn("last_price", F.when(F.col("signal_id") % 4 == 0, 0.5).otherwise(F.round(F.col("bid") + 0.03, 4))).withColumn("te_significant", F.col("signal_id") % 5 == 0)

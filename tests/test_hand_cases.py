@@ -194,3 +194,9 @@ def test_transfer_entropy_keeps_few_operators_in_a_task(spark):
     assert [(r.n, round(r.transfer_entropy, 9)) for r in te.collect()] == [(200, 0.0)]
     rows = spark.range(4000).selectExpr("'k' AS key", "id AS idx", "cast(pmod(xxhash64(id), 2) AS double) AS x", "cast(pmod(xxhash64(id - 1), 2) AS double) AS y")
     assert 0.98 < I.transfer_entropy(rows, ["key"]).head().transfer_entropy <= 1
+
+
+def test_zscores_make_their_frames_once(spark):
+    z = M.entropy_zscore(M.rolling_entropy(tape(spark, [(k, A1, "BUY" if k % 3 else "SELL", 1 + k % 5, 0.5, "m") for k in range(40)])))
+    assert "LogicalRDD" not in z._jdf.queryExecution().optimizedPlan().toString()
+    assert z.filter("z is not null").count() == 28
