@@ -45,40 +45,56 @@ class EntropyDetector(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         ts, buy, sell, hist, last, last_id = self.state.get() if self.state.exists() else ([], [], [], [], -1, -1)
-        window, hist = deque(zip(ts, buy, sell)), deque(hist, maxlen=self.history)
+        window = deque(zip(ts, buy, sell))
         bought, sold, buys, sells = math.fsum(buy), math.fsum(sell), sum(map(bool, buy)), sum(map(bool, sell))
-        late, instants = _instants(rows, (last, last_id))
-        out = [(key[0], int(r.event_id), int(r.ts_us), None, None, True) for r in late.itertuples()]
-        for now, group in instants:
-            last, last_id = int(now), int(group[-1].event_id)
-            for r in group:
-                b, s = (float(r.size), 0.0) if r.side == "BUY" else (0.0, float(r.size))
+        frame = _batch(rows)
+        behind = ((frame["ts_us"] < last) | ((frame["ts_us"] == last) & (frame["event_id"] <= last_id))).to_numpy()
+        late, frame = frame[behind], frame[~behind]
+        times, sizes, bids = frame["ts_us"].tolist(), frame["size"].tolist(), (frame["side"] == "BUY").tolist()
+        entropies, begin = np.full(len(times), np.nan), 0
+        while begin < len(times):
+            last, end = int(times[begin]), begin
+            while end < len(times) and times[end] == last:
+                b, s = (float(sizes[end]), 0.0) if bids[end] else (0.0, float(sizes[end]))
                 window.append((last, b, s))
                 bought, sold, buys, sells = bought + b, sold + s, buys + bool(b), sells + bool(s)
+                end += 1
             while window[0][0] < last - self.window_us:
                 _, b, s = window.popleft()
                 bought, sold, buys, sells = bought - b, sold - s, buys - bool(b), sells - bool(s)
             # What rounding leaves of a side that is gone counts as zero.
             bought, sold = bought if buys else 0.0, sold if sells else 0.0
-            total, h = bought + sold, None
+            total = bought + sold
             if len(window) >= 2 and total > 0:
-                h = -sum(p * math.log2(p) for p in (max(1e-18, v / total) for v in (bought, sold)))
-            for r in group:
-                z = None
-                if h is not None:
-                    hist.append(h)
-                    z = self._score(hist)
-                out.append((key[0], int(r.event_id), last, h, z, False))
-        self.state.update(([x[0] for x in window], [x[1] for x in window], [x[2] for x in window], list(hist), last, last_id))
-        yield pd.DataFrame(out, columns=["asset_id", "event_id", "ts_us", "entropy", "z", "late"])
-
-    def _score(self, hist: deque) -> float | None:
-        if len(hist) < self.min_history or len(hist) < 3:
-            return None
-        prior = np.fromiter(hist, dtype=float, count=len(hist))[:-1]
-        var = float(prior.var(ddof=1))
-        sigma = math.sqrt(var) if var > 1e-12 else 1e-6
-        return max(-50.0, min(50.0, (hist[-1] - hist[-2]) / sigma))
+                entropies[begin:end] = -sum(p * math.log2(p) for p in (max(1e-18, v / total) for v in (bought, sold)))
+            begin = end
+        if times:
+            last_id = int(frame["event_id"].iloc[-1])
+        defined = ~np.isnan(entropies)
+        levels, z = np.concatenate([hist, entropies[defined]]), np.full(len(times), np.nan)
+        z[defined] = self._scores(levels, len(hist))
+        self.state.update(([x[0] for x in window], [x[1] for x in window], [x[2] for x in window], levels[-self.history :].tolist(), last, last_id))
+        none = np.full(len(late), np.nan)
+        yield pd.DataFrame({
+            "asset_id": key[0], "event_id": np.concatenate([late["event_id"], frame["event_id"]]).astype(np.int64), "ts_us": np.concatenate([late["ts_us"], frame["ts_us"]]).astype(np.int64),
+            "entropy": np.concatenate([none, entropies]), "z": np.concatenate([none, z]), "late": np.repeat([True, False], [len(late), len(frame)]),
+        })
+
+    def _scores(self, levels: np.ndarray, known: int, block: int = 4096) -> np.ndarray:
+        """The z of each level from number ``known`` on, against the spread of at most ``history - 1`` levels before it; NaN where these are too few."""
+        width, out = self.history - 1, np.full(len(levels) - known, np.nan)
+        if not len(out):
+            return out
+        before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(width), levels[:-1]]), width)
+        for begin in range(max(known, self.min_history - 1, 2), len(levels), block):
+            at = np.arange(begin, min(begin + block, len(levels)))
+            held = np.minimum(at, width)
+            mean = before[at].sum(axis=1) / held
+            there = np.arange(width) >= (width - held)[:, None]
+            var = (np.where(there, before[at] - mean[:, None], 0.0) ** 2).sum(axis=1) / (held - 1)
+            sigma = np.where(var > 1e-12, np.sqrt(var), 1e-6)
+            out[at - known] = np.clip((levels[at] - levels[at - 1]) / sigma, -50.0, 50.0)
+        return out
 
     def close(self) -> None:
         pass

@@ -200,3 +200,17 @@ def test_zscores_make_their_frames_once(spark):
     z = M.entropy_zscore(M.rolling_entropy(tape(spark, [(k, A1, "BUY" if k % 3 else "SELL", 1 + k % 5, 0.5, "m") for k in range(40)])))
     assert "LogicalRDD" not in z._jdf.queryExecution().optimizedPlan().toString()
     assert z.filter("z is not null").count() == 28
+
+
+def test_stream_scores_of_many_levels_equal_single_ones():
+    import numpy as np
+
+    from tapewatch.streaming.processors import EntropyDetector
+
+    levels = np.concatenate([np.round(np.random.default_rng(1).random(600), 3), np.full(250, 0.5), [0.1]])
+    got = EntropyDetector(5)._scores(levels, 5, block=64)
+    for k in range(5, len(levels)):
+        prior = levels[max(0, k - 199) : k]
+        sigma = prior.std(ddof=1) if prior.var(ddof=1) > 1e-12 else 1e-6
+        want = np.clip((levels[k] - levels[k - 1]) / sigma, -50, 50) if k >= 11 else np.nan
+        np.testing.assert_allclose(got[k - 5], want, rtol=1e-9, atol=1e-12)
