@@ -241,17 +241,11 @@ def _(t):
 PAIRS_SQL = "pairs AS (SELECT DISTINCT a.wallet AS wallet_a, b.wallet AS wallet_b FROM funding a JOIN funding b ON a.root_a = b.root_a AND a.wallet <> b.wallet)"
 
 
-def root_pairs(t):
-    f = t.funding
-    a, b = f.select(F.col("wallet").alias("wallet_a"), "root_a"), f.select(F.col("wallet").alias("wallet_b"), "root_a")
-    return a.join(b, "root_a").filter("wallet_a <> wallet_b").select("wallet_a", "wallet_b").distinct()
-
-
 @query("j21_sync_scores", f"""WITH {PAIRS_SQL}, h AS (SELECT wallet_a, wallet_b, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM trades b WHERE b.wallet = wallet_b AND abs(b.ts_us - a.ts_us) <= {3 * HOUR})) AS hits
   FROM pairs JOIN trades a ON a.wallet = wallet_a GROUP BY 1, 2)
  SELECT p.wallet_a, p.wallet_b, round(coalesce(hits, 0) / greatest(coalesce(n, 1), 1), 6) AS sync FROM pairs p LEFT JOIN h USING (wallet_a, wallet_b)""")
 def _(t):
-    return J.sync_scores(root_pairs(t), t.trades, 3 * HOUR).withColumn("sync", F.round("sync", 6))
+    return J.sync_scores(J.root_pairs(t.funding), t.trades, 3 * HOUR).withColumn("sync", F.round("sync", 6))
 
 
 SYNC_US = HOUR // 12
